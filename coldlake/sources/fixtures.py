@@ -44,6 +44,8 @@ def raw_sensor_arrivals(spark: SparkSession, sf_dir: str, clock: RunClock = RunC
         ev.filter(F.col("event_id") % F.lit(REPLAY_EVERY) == F.lit(0)).withColumn("arrival_seq", F.lit(1)))
     eid = F.col("event_id")
     k = F.get_json_object("props", "$.k").cast("int")
+    # measures derived in decimal so that rounding ties resolve identically in every engine
+    v = F.col("value").cast("decimal(18,2)")
     batch_id = F.floor(eid / F.lit(events_per_run)).cast("long")
     ingested = run_start(batch_id, clock)
     return arrivals.select(
@@ -58,13 +60,13 @@ def raw_sensor_arrivals(spark: SparkSession, sf_dir: str, clock: RunClock = RunC
         _pick(WAREHOUSES, F.col("user_id") % 8).alias("warehouse"),
         _pick(DESTINATIONS, F.col("user_id") % 10).alias("destination"),
         _pick(FOOD_CATEGORIES, F.col("user_id") % 12).alias("food_category"),
-        F.round(F.col("value") % 52 - F.lit(11.5), 2).alias("temperature_c"),
-        F.round((F.col("value") * 7) % 102, 1).alias("humidity_pct"),
+        F.round(v % 52 - F.lit(Decimal("11.5")), 2).cast("double").alias("temperature_c"),
+        F.round((v * 7) % 102, 1).cast("double").alias("humidity_pct"),
         (F.lit(18.9) + k / F.lit(300)).alias("latitude"),
         F.when(eid % 971 == 7, F.lit(200.0)).otherwise(F.lit(72.8) + k / F.lit(300)).alias("longitude"),
         F.when(F.col("event_type") == F.lit("error"), F.lit(1)).otherwise(F.lit(0)).alias("door_open"),
         F.when(eid % 967 == 8, F.lit(101.0)).otherwise(k.cast("double")).alias("battery_pct"),
-        F.round((F.col("value") * 3) % 162, 1).alias("speed_kmh"),
+        F.round((v * 3) % 162, 1).cast("double").alias("speed_kmh"),
         _pick(DELIVERY_STATUSES, eid % 6).alias("delivery_status"),
         ingested.alias("ingested_at"),
         batch_id.alias("batch_id"),
