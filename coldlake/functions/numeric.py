@@ -58,4 +58,5 @@ def floor_div(a: Column, b: Column) -> Column:
 
     ``floor(a / b)`` differs from Python when a / b rounds up to an integer.
     """
-    return F.round((a - F.pmod(a, b)) / b)
+    safe_b = F.when(b != 0, b)     # NULL divisor -> NULL result instead of an ANSI error
+    return F.round((a - a % safe_b) / safe_b)

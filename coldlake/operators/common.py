@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -37,3 +38,27 @@ def first_by(metric: Column, name: Column) -> Column:
 def stat(c: Column, digits: int = 6) -> Column:
     """Presentation rounding (half-even) of an unrounded floating-point statistic."""
     return F.bround(c.cast("double"), digits)
+
+
+def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str, partitions: int | None = None) -> DataFrame:
+    """Running sum of ``value`` in ``order`` without a global (single-task) window.
+
+    1. range-partition on the order keys (balanced, contiguous ranges) and sort within partitions;
+    2. checkpoint to the shared checkpoint folder, so the ranges are fixed for both uses below;
+    3. per-partition totals -> exclusive offsets (one row per partition: a proven size bound,
+       hence broadcast);
+    4. running sum inside each partition plus its offset.
+    """
+    from coldlake.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+              .withColumn("_pid", F.spark_partition_id()).checkpoint())
+    totals = ranged.groupBy("_pid").agg(F.sum(value).alias("_t"))
+    offsets = totals.select("_pid", F.coalesce(
+        F.sum("_t").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    running = F.sum(value).over(W.partitionBy("_pid").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    return (ranged.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, running + F.col("_off")).drop("_pid", "_off"))
