@@ -354,29 +354,29 @@ CORR_COLUMNS = ["temperature_c", "humidity_pct", "battery_pct", "speed_kmh", "ri
 
 
 def correlation_long(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
-    """Pearson matrix in long form (var_x, var_y, corr) from ONE aggregate over all pairs.
+    """Pearson matrix in long form (var_x, var_y, corr) from ONE aggregate.
 
     corr = covar_pop / (stddev_pop * stddev_pop) with try_divide: zero variance gives NULL
-    (pandas NaN) instead of an ANSI division error. Diagonal = 1.0 unless variance is 0.
+    (pandas NaN) instead of an ANSI division error. Rows with a NULL in any of the columns
+    are dropped first (the validated tables have none), so the per-column stddev aggregates
+    are shared by all pairs. Diagonal = 1.0 unless the variance is 0.
     """
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    sd = {c: F.stddev_pop(c) for c in columns}
     aggs = []
-    names = []
     for i, a in enumerate(columns):
-        for b in columns[i:]:
-            x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            both = x.isNotNull() & y.isNotNull()
-            xx, yy = F.when(both, x), F.when(both, y)
-            r = F.try_divide(F.covar_pop(xx, yy), F.stddev_pop(xx) * F.stddev_pop(yy))
-            if a == b:
-                r = F.when(F.stddev_pop(xx) > 0, F.lit(1.0))
-            names.append((a, b))
+        aggs.append(F.when(sd[a] > 0, F.lit(1.0)).alias(f"{a}__{a}"))
+        for b in columns[i + 1:]:
+            r = F.try_divide(F.covar_pop(a, b), sd[a] * sd[b])
             aggs.append(half_even(r, digits).alias(f"{a}__{b}"))
-    wide = df.agg(*aggs)
+    wide = data.agg(*aggs)
     pairs = []
-    for a, b in names:
-        pairs.append(F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"), F.col(f"{a}__{b}").alias("corr")))
-        if a != b:
-            pairs.append(F.struct(F.lit(b).alias("var_x"), F.lit(a).alias("var_y"), F.col(f"{a}__{b}").alias("corr")))
+    for i, a in enumerate(columns):
+        for b in columns[i:]:
+            pairs.append(F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"), F.col(f"{a}__{b}").alias("corr")))
+            if a != b:
+                pairs.append(F.struct(F.lit(b).alias("var_x"), F.lit(a).alias("var_y"),
+                                      F.col(f"{a}__{b}").alias("corr")))
     return wide.select(F.explode(F.array(*pairs)).alias("p")).select("p.var_x", "p.var_y", "p.corr")
 
 

@@ -56,7 +56,7 @@ def retention_rate(df: DataFrame) -> DataFrame:
     months = cm.select("period").distinct().withColumn("rank", F.dense_rank().over(W.orderBy("period")))
     ranked = cm.join(months, "period")
     prev_rank = F.lag("rank").over(W.partitionBy("customer_id").orderBy("rank"))
-    per = ranked.withColumn("retained", (prev_rank == F.col("rank") - 1).cast("int"))
+    per = ranked.withColumn("retained", F.coalesce((prev_rank == F.col("rank") - 1).cast("int"), F.lit(0)))
     by_month = per.groupBy("period", "rank").agg(F.count(F.lit(1)).alias("active"),
                                                 F.sum("retained").alias("retained"))
     prev_active = F.lag("active").over(W.orderBy("rank"))

@@ -33,8 +33,9 @@ def equal_width_distribution(values: DataFrame, col: str = "x", bins: int = 20)
     lo = stats.select("lo").scalar()
     hi = stats.select("hi").scalar()
     step = (hi - lo) / F.lit(float(bins))
-    bucket = F.when(lo == hi, F.bround(lo, 2)).otherwise(
-        F.bround(floor_div(F.col("x") - lo, step) * step + lo, 2))
+    edge = F.when(lo == hi, lo).otherwise(floor_div(F.col("x") - lo, step) * step + lo)
+    # snap to 10 decimals before the half-even rounding, so binary noise never decides a tie
+    bucket = F.bround(edge.cast("decimal(38,10)"), 2).cast("double")
     return v.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("count")).orderBy("bucket")
 
 

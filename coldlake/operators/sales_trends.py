@@ -80,7 +80,8 @@ def _growth(df: DataFrame, period: str, clamp: float) -> DataFrame:
            .when((prev == 0) & (cur == 0), F.lit(None).cast("double"))
            .when(prev == 0, F.when(cur > 0, F.lit(clamp)).otherwise(F.lit(-clamp)))
            .otherwise((cur / prev - F.lit(1.0)) * F.lit(100.0)))
-    g = F.greatest(F.least(raw, F.lit(clamp)), F.lit(-clamp))
+    # least/greatest skip NULLs, so the 0/0 case (NaN in the reference) must bypass the clamp
+    g = F.when(raw.isNotNull(), F.greatest(F.least(raw, F.lit(clamp)), F.lit(-clamp)))
     return s.select("period", F.bround("revenue", 2).alias("revenue"), stat(g).alias("growth_pct")).orderBy("period")
 
 

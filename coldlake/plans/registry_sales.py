@@ -383,9 +383,10 @@ def _dist_sql(values_cte: str) -> str:
     """Equal-width buckets with Python floor-division: round((a - a % step) / step), % being IEEE fmod."""
     return SW(values_cte + """,
 st AS (SELECT min(x) AS lo, max(x) AS hi FROM v)""", """
-SELECT CASE WHEN st.lo = st.hi THEN round_even(st.lo, 2)
-            ELSE round_even(round((x - st.lo - ((x - st.lo) % ((st.hi - st.lo) / 20.0)))
-                                  / ((st.hi - st.lo) / 20.0)) * ((st.hi - st.lo) / 20.0) + st.lo, 2) END AS bucket,
+SELECT CAST(round_even(CAST(CASE WHEN st.lo = st.hi THEN st.lo
+            ELSE round((x - st.lo - ((x - st.lo) % ((st.hi - st.lo) / 20.0)))
+                       / ((st.hi - st.lo) / 20.0)) * ((st.hi - st.lo) / 20.0) + st.lo END
+            AS DECIMAL(38,10)), 2) AS DOUBLE) AS bucket,
        count(*) AS count
 FROM v, st GROUP BY 1""")
 
@@ -558,11 +559,11 @@ def _f46(c: Catalog):
 
 def _growth_sql(label: str) -> str:
     return S(f"""
-SELECT period, round_even(rev, 2) AS revenue, round_even(greatest(least(CASE
+SELECT period, round_even(rev, 2) AS revenue, round_even(CASE
          WHEN prev IS NULL THEN 0.0
          WHEN prev = 0 AND rev = 0 THEN NULL
          WHEN prev = 0 THEN CASE WHEN rev > 0 THEN 999.9 ELSE -999.9 END
-         ELSE (rev / prev - 1.0) * 100.0 END, 999.9), -999.9), 6) AS growth_pct
+         ELSE greatest(least((rev / prev - 1.0) * 100.0, 999.9), -999.9) END, 6) AS growth_pct
 FROM (SELECT period, rev, lag(rev) OVER (ORDER BY period) AS prev
       FROM (SELECT {label} AS period, CAST(sum(revenue) AS DOUBLE) AS rev FROM fo GROUP BY 1))""")
 

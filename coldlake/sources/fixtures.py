@@ -39,7 +39,14 @@ def raw_sensor_arrivals(spark: SparkSession, sf_dir: str, clock: RunClock = RunC
     ``batch_id`` (the pipeline run that receives the row) and ``arrival_seq``
     (arrival order inside the run, 0 = first copy, 1 = replayed copy).
     """
-    ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    ev = read_table(spark, sf_dir, "events")
+    return arrivals_from_events(ev, clock, events_per_run)
+
+
+def arrivals_from_events(events: DataFrame, clock: RunClock = RunClock(),
+                         events_per_run: int = EVENTS_PER_RUN) -> DataFrame:
+    """The fixture mapping on any ``events`` frame, batch or streaming (narrow operations only)."""
+    ev = events.select("event_id", "ts", "user_id", "event_type", "value", "props")
     arrivals = ev.withColumn("arrival_seq", F.lit(0)).unionByName(
         ev.filter(F.col("event_id") % F.lit(REPLAY_EVERY) == F.lit(0)).withColumn("arrival_seq", F.lit(1)))
     eid = F.col("event_id")
