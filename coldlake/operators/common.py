@@ -8,15 +8,20 @@ from pyspark.sql import functions as F
 
 
 def attach_scalars(base: DataFrame, *one_row_frames: DataFrame) -> DataFrame:
-    """Add every column of each one-row aggregate to ``base`` as an uncorrelated scalar
-    subquery (each subquery runs once; no join, no cross product)."""
-    out = base
-    for frame in one_row_frames:
-        cols = frame.columns
-        packed = frame.select(F.struct(*cols).alias("_v")).scalar()
-        out = out.withColumn("_v", packed)
-        out = out.select(*[c for c in out.columns if c != "_v"], *[F.col("_v")[c].alias(c) for c in cols])
-    return out
+    """Combine one-row aggregates (with distinct column names) into one row - one job, no join.
+
+    The frames are stacked with ``unionByName`` (missing columns NULL) and folded with
+    ``max``; each column is non-NULL in exactly one input row. Branches that share a
+    subplan (e.g. the same pre-aggregate) reuse its exchange instead of re-scanning.
+    """
+    frames = [base, *one_row_frames]
+    cols: list[str] = []
+    for f in frames:
+        cols += [c for c in f.columns if c not in cols]
+    stacked = frames[0]
+    for f in frames[1:]:
+        stacked = stacked.unionByName(f, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in cols])
 
 
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:

@@ -29,9 +29,8 @@ def equal_width_distribution(values: DataFrame, col: str = "x", bins: int = 20)
     lo and hi come from one small aggregate used as scalar subqueries (no join).
     """
     v = values.select(F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
-    stats = v.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    lo = stats.select("lo").scalar()
-    hi = stats.select("hi").scalar()
+    st = v.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi")).alias("s")).scalar()
+    lo, hi = st["lo"], st["hi"]   # one subquery, referenced twice (reused, not re-run)
     step = (hi - lo) / F.lit(float(bins))
     edge = F.when(lo == hi, lo).otherwise(floor_div(F.col("x") - lo, step) * step + lo)
     # snap to 10 decimals before the half-even rounding, so binary noise never decides a tie

@@ -11,6 +11,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from coldlake.config import DEFAULT_RULES, FUNNEL_STAGES, Rules
@@ -20,48 +21,51 @@ from coldlake.operators.common import attach_scalars
 from coldlake.operators.sales_customers import orders_per_customer, retention_rate
 
 
-def _series_growth(series: DataFrame, key: str, prefix: str) -> DataFrame:
-    """Last-vs-previous growth of revenue / net / customers on a small per-period series."""
-    agg = series.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(key).alias("k_last"),
-        F.max_by(F.struct("rev", "net", "cust"), F.col(key)).alias("last"))
-    k_last = series.agg(F.max(key)).scalar()
-    prev = series.filter(F.col(key) < k_last).agg(
-        F.max_by(F.struct("rev", "net", "cust"), F.col(key)).alias("prev"))
-    both = attach_scalars(agg, prev)
+def order_grain(df: DataFrame) -> DataFrame:
+    """Lines pre-aggregated to (order_date, customer_id, order_id): the one shuffle every
+    headline KPI shares (partial aggregation runs map-side)."""
+    return df.groupBy("order_date", "customer_id", "order_id").agg(
+        F.sum("revenue").alias("rev"), F.sum("gross_profit").alias("gross"), F.sum("net_profit").alias("net"),
+        F.count(F.lit(1)).alias("lines"))
+
+
+def _last_two_growth(og: DataFrame, period: Column, prefix: str) -> DataFrame:
+    """One row: number of observed periods and last-vs-previous growth of revenue, net and
+    distinct customers. The window runs over the per-period series (small), never over lines."""
+    series = og.groupBy(period.alias("p")).agg(F.sum("rev").alias("rev"), F.sum("net").alias("net"),
+                                               F.count_distinct("customer_id").alias("cust"))
+    ranked = series.select("*", F.row_number().over(W.orderBy(F.col("p").desc())).alias("rn"))
+    top2 = ranked.filter(F.col("rn") <= 2)
 
     def g(m: str) -> Column:
-        cur, pre = F.col(f"last.{m}").cast("double"), F.col(f"prev.{m}").cast("double")
+        cur = F.max(F.when(F.col("rn") == 1, F.col(m))).cast("double")
+        pre = F.max(F.when(F.col("rn") == 2, F.col(m))).cast("double")
         return F.when(pre == 0, F.lit(0.0)).otherwise((cur - pre) / pre * F.lit(100.0))
 
-    return both.select(F.col("n").alias(f"{prefix}_n"), g("rev").alias(f"{prefix}_rev_g"),
-                       g("net").alias(f"{prefix}_net_g"), g("cust").alias(f"{prefix}_cust_g"))
+    n = series.agg(F.count(F.lit(1)).alias(f"{prefix}_n"))
+    growth = top2.agg(g("rev").alias(f"{prefix}_rev_g"), g("net").alias(f"{prefix}_net_g"),
+                      g("cust").alias(f"{prefix}_cust_g"))
+    return attach_scalars(n, growth)
 
 
-def kpis(df: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """revenue, orders, customers, AOV, gross/net profit and margins, ARPC and growth."""
-    tot = df.agg(F.sum("revenue").alias("rev"), F.sum("gross_profit").alias("gross"),
-                 F.sum("net_profit").alias("net"), F.count_distinct("order_id").alias("transactions"),
+def _kpi_row(og: DataFrame, rules: Rules) -> DataFrame:
+    tot = og.agg(F.sum("rev").alias("rev"), F.sum("gross").alias("gross"), F.sum("net").alias("net"),
+                 F.count_distinct("order_id").alias("transactions"),
                  F.count_distinct("customer_id").alias("customers"))
-    monthly = df.groupBy(period_label("order_date", "month").alias("p")).agg(
-        F.sum("revenue").alias("rev"), F.sum("net_profit").alias("net"), F.count_distinct("customer_id").alias("cust"))
-    daily = df.groupBy(F.col("order_date").alias("p")).agg(
-        F.sum("revenue").alias("rev"), F.sum("net_profit").alias("net"), F.count_distinct("customer_id").alias("cust"))
-    out = attach_scalars(tot, _series_growth(monthly, "p", "m"), _series_growth(daily, "p", "d"))
-
+    out = attach_scalars(tot, _last_two_growth(og, period_label("order_date", "month"), "m"),
+                         _last_two_growth(og, F.col("order_date"), "d"))
     c = rules.kpi_growth_clamp
 
     def growth(m: str) -> Column:
         v = (F.when(F.col("m_n") >= 2, F.col(f"m_{m}_g"))
              .when(F.col("d_n") >= 2, F.col(f"d_{m}_g")).otherwise(F.lit(0.0)))
-        return F.coalesce(half_even(clamp(v, c), 1), F.lit(0.0))
+        return F.coalesce(half_even(F.when(v.isNotNull(), clamp(v, c)), 1), F.lit(0.0))
 
     rev = F.col("rev").cast("double")
     return out.select(
         F.coalesce(F.bround("rev", 2).cast("double"), F.lit(0.0)).alias("revenue"),
-        F.col("transactions").alias("transactions"),
-        F.col("customers").alias("customers"),
+        F.coalesce(F.col("transactions"), F.lit(0)).alias("transactions"),
+        F.coalesce(F.col("customers"), F.lit(0)).alias("customers"),
         F.coalesce(half_even(F.try_divide(rev, F.col("transactions")), 2), F.lit(0.0)).alias("aov"),
         F.coalesce(F.bround("gross", 2).cast("double"), F.lit(0.0)).alias("gross_profit"),
         F.coalesce(half_even(pct("gross", "rev"), 1), F.lit(0.0)).alias("gross_margin"),
@@ -74,12 +78,19 @@ def kpis(df: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     )
 
 
+def kpis(df: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """revenue, orders, customers, AOV, gross/net profit and margins, ARPC and growth
+    (last two observed months, else last two observed days, else 0; clamped)."""
+    return _kpi_row(order_grain(df), rules)
+
+
 def executive_score(df: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """weighted 0-100 score from rounded KPIs, mean monthly retention (first month's 0
     included) and the repeat-purchase rate."""
-    k = kpis(df, rules).select("gross_margin", "net_margin", "revenue_growth", "revenue")
-    ret = retention_rate(df).agg(F.avg("retention").alias("avg_retention"))
-    per = orders_per_customer(df)
+    og = order_grain(df)
+    k = _kpi_row(og, rules).select("gross_margin", "net_margin", "revenue_growth", "revenue")
+    ret = retention_rate(og).agg(F.avg("retention").alias("avg_retention"))
+    per = og.groupBy("customer_id").agg(F.count_distinct("order_id").alias("orders"))
     rep = per.agg(F.coalesce(half_even(pct(F.count_if(F.col("orders") > 1), F.count(F.lit(1))), 1), F.lit(0.0))
                   .alias("repeat_rate"))
     out = attach_scalars(k, ret, rep)
