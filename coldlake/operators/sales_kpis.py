@@ -29,31 +29,34 @@ def order_grain(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("lines"))
 
 
-def _last_two_growth(og: DataFrame, period: Column, prefix: str) -> DataFrame:
-    """One row: number of observed periods and last-vs-previous growth of revenue, net and
-    distinct customers. The window runs over the per-period series (small), never over lines."""
-    series = og.groupBy(period.alias("p")).agg(F.sum("rev").alias("rev"), F.sum("net").alias("net"),
-                                               F.count_distinct("customer_id").alias("cust"))
-    ranked = series.select("*", F.row_number().over(W.orderBy(F.col("p").desc())).alias("rn"))
-    top2 = ranked.filter(F.col("rn") <= 2)
-
-    def g(m: str) -> Column:
-        cur = F.max(F.when(F.col("rn") == 1, F.col(m))).cast("double")
-        pre = F.max(F.when(F.col("rn") == 2, F.col(m))).cast("double")
+def _kpi_row(og: DataFrame, rules: Rules) -> DataFrame:
+    """Totals, the monthly and the daily series from ONE grouping-sets aggregate over the
+    order-grain frame; windows then rank only that small result (one row per period)."""
+    gs = (og.withColumn("month", period_label("order_date", "month"))
+          .groupingSets([[], ["month"], ["order_date"]], "month", "order_date")
+          .agg(F.sum("rev").alias("rev"), F.sum("gross").alias("gross"), F.sum("net").alias("net"),
+               F.count_distinct("order_id").alias("orders"), F.count_distinct("customer_id").alias("cust"),
+               F.grouping_id().alias("gid")))
+    key = F.coalesce(F.col("month"), F.col("order_date").cast("string"))
+    ranked = gs.select("*", F.row_number().over(W.partitionBy("gid").orderBy(key.desc())).alias("rn"),
+                       F.count(F.lit(1)).over(W.partitionBy("gid")).alias("n")).filter(F.col("rn") <= 2)
+    TOTAL, MONTH, DAY = 3, 1, 2   # grouping_id over (month, order_date)
+
+    def pick(gid: int, rn: int, m: str) -> Column:
+        return F.max(F.when((F.col("gid") == gid) & (F.col("rn") == rn), F.col(m)))
+
+    def g(gid: int, m: str) -> Column:
+        cur, pre = pick(gid, 1, m).cast("double"), pick(gid, 2, m).cast("double")
         return F.when(pre == 0, F.lit(0.0)).otherwise((cur - pre) / pre * F.lit(100.0))
 
-    n = series.agg(F.count(F.lit(1)).alias(f"{prefix}_n"))
-    growth = top2.agg(g("rev").alias(f"{prefix}_rev_g"), g("net").alias(f"{prefix}_net_g"),
-                      g("cust").alias(f"{prefix}_cust_g"))
-    return attach_scalars(n, growth)
-
-
-def _kpi_row(og: DataFrame, rules: Rules) -> DataFrame:
-    tot = og.agg(F.sum("rev").alias("rev"), F.sum("gross").alias("gross"), F.sum("net").alias("net"),
-                 F.count_distinct("order_id").alias("transactions"),
-                 F.count_distinct("customer_id").alias("customers"))
-    out = attach_scalars(tot, _last_two_growth(og, period_label("order_date", "month"), "m"),
-                         _last_two_growth(og, F.col("order_date"), "d"))
+    out = ranked.agg(
+        pick(TOTAL, 1, "rev").alias("rev"), pick(TOTAL, 1, "gross").alias("gross"),
+        pick(TOTAL, 1, "net").alias("net"), pick(TOTAL, 1, "orders").alias("transactions"),
+        pick(TOTAL, 1, "cust").alias("customers"),
+        F.max(F.when(F.col("gid") == MONTH, F.col("n"))).alias("m_n"),
+        F.max(F.when(F.col("gid") == DAY, F.col("n"))).alias("d_n"),
+        *[g(MONTH, m).alias(f"m_{m}_g") for m in ("rev", "net", "cust")],
+        *[g(DAY, m).alias(f"d_{m}_g") for m in ("rev", "net", "cust")])
     c = rules.kpi_growth_clamp
 
     def growth(m: str) -> Column:
