@@ -501,3 +501,63 @@ SELECT event_timestamp, temperature_c, temperature_status, shipment_id, vehicle_
 FROM fact ORDER BY event_timestamp DESC, event_id DESC LIMIT 200"""))
 def _d14(c: Catalog):
     return V.to_display_time(R.recent_temperature(c.fact), "event_timestamp")
+
+
+# ------------------------------------------------------------------ A16, B11 and the streaming operators
+
+@q("A16_shipment_bounds", O.sensor("""
+SELECT d.shipment_id, d.food_category, d.warehouse, d.destination, coalesce(r.lo, -30.0) AS required_min_temp,
+       coalesce(r.hi, 30.0) AS required_max_temp
+FROM dim_shipment d LEFT JOIN temp_ranges r ON r.cat = d.food_category"""))
+def _a16(c: Catalog):
+    return c.dim_shipment.drop("created_at")
+
+
+@q("B11_run_report", O.sensor("""
+SELECT run_id, rows_generated, rows_processed, rows_rejected, incidents_created FROM runs"""))
+def _b11(c: Catalog):
+    return c.sensor_batch.report()
+
+
+@q("H03_minute_status_counts", O.sensor("""
+SELECT strftime(event_timestamp, '%Y-%m-%dT%H:%M') AS minute, temperature_status, count(*) AS count
+FROM fact GROUP BY 1, 2"""))
+def _h03(c: Catalog):
+    from coldlake.streaming.sensor_stream import minute_status_counts
+    return minute_status_counts(c.fact)
+
+
+@q("H05_freshness_state", O.sensor("SELECT max(event_timestamp) AS latest_event_timestamp FROM fact"))
+def _h05(c: Catalog):
+    from coldlake.streaming.sensor_stream import freshness_state
+    return freshness_state(c.fact)
+
+
+@q("H06_latest_position", O.sensor("""
+SELECT vehicle_id, latitude, longitude, temperature_c, risk_level, event_timestamp FROM (
+  SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY event_timestamp DESC, event_id DESC) AS rn FROM fact)
+WHERE rn = 1"""))
+def _h06(c: Catalog):
+    from coldlake.streaming.sensor_stream import latest_position
+    return latest_position(c.fact)
+
+
+@q("H02_dedupe_within_watermark", O.sensor("""
+SELECT DISTINCT event_id, event_timestamp FROM arrivals WHERE event_timestamp IS NOT NULL"""))
+def _h02(c: Catalog):
+    """Runs as a real stream (availableNow) into parquet under the checkpoint folder, then reads it back."""
+    import os
+    import uuid
+
+    from coldlake.session import ensure_checkpoint_dir
+    from coldlake.sources import fixtures
+    from coldlake.streaming.sensor_stream import dedupe_within_watermark, event_stream
+
+    base = os.path.join(ensure_checkpoint_dir(c.spark), f"h02-{uuid.uuid4().hex[:8]}")
+    arrivals = fixtures.arrivals_from_events(event_stream(c.spark, c.sf_dir, "events*.parquet"), c.clock)
+    deduped = dedupe_within_watermark(arrivals.filter(F.col("event_timestamp").isNotNull()))
+    q = (deduped.select("event_id", "event_timestamp").writeStream.format("parquet")
+         .option("path", os.path.join(base, "out")).option("checkpointLocation", os.path.join(base, "ckpt"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return c.spark.read.parquet(os.path.join(base, "out"))

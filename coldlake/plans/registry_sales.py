@@ -709,3 +709,20 @@ SELECT executive_score, CASE WHEN executive_score >= 70 THEN 'POSITIVE' WHEN exe
 def _g05(c: Catalog):
     s = SK.executive_score(c.orders)
     return s.select("executive_score", SP.score_band(F.col("executive_score")).alias("band"))
+
+
+@q("A18_denormalize_lines", """
+SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS order_line_id, r_name AS region,
+       n_name AS state, n_name AS city, c_mktsegment AS channel, p_type AS category
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+     JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+     JOIN part ON l_partkey = p_partkey""")
+def _a18(c: Catalog):
+    li = fixtures.read_table(c.spark, c.sf_dir, "lineitem")
+    o = fixtures.read_table(c.spark, c.sf_dir, "orders")
+    lines = li.join(o, li.l_orderkey == o.o_orderkey).select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("order_line_id"),
+        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("customer_id"),
+        F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("product_id"))
+    out = M.denormalize_lines(lines, c.dim_customer, c.dim_product)
+    return out.select("order_line_id", "region", "state", "city", "channel", "category")
