@@ -33,10 +33,14 @@ def mark_duplicates(arrivals: DataFrame) -> DataFrame:
     skewed key partition in that join is split by AQE's skew-join handling instead
     of landing in one window task.
     """
-    first = arrivals.groupBy("batch_id", "event_id").agg(F.min("arrival_seq").alias("_first_seq"))
+    first = arrivals.groupBy("batch_id", "event_id").agg(
+        F.min("arrival_seq").alias("_first_seq"),
+        # The raw table keeps the first arrival among rows with a timestamp
+        F.min(F.when(F.col("event_timestamp").isNotNull(), F.col("arrival_seq"))).alias("_first_ok_seq"))
     return (arrivals.join(first, ["batch_id", "event_id"])
             .withColumn("is_duplicate", F.col("arrival_seq") > F.col("_first_seq"))
-            .drop("_first_seq"))
+            .withColumn("keep_raw", F.coalesce(F.col("arrival_seq") == F.col("_first_ok_seq"), F.lit(False)))
+            .drop("_first_seq", "_first_ok_seq"))
 
 
 def label(arrivals: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
@@ -92,10 +96,13 @@ class SensorBatch:
         return label(self.arrivals, self.rules)
 
     def persist_labelled(self) -> "SensorBatch":
+        """Keep the labelled batch (it feeds every output) and the per-run counters (runs and quality)."""
         self.labelled.persist(StorageLevel.MEMORY_AND_DISK)
+        self.batch_stats.persist(StorageLevel.MEMORY_AND_DISK)
         return self
 
     def unpersist(self) -> None:
+        self.batch_stats.unpersist()
         self.labelled.unpersist()
 
     @cached_property
@@ -126,9 +133,7 @@ class SensorBatch:
     def raw(self) -> DataFrame:
         """A3 + B12: the raw rows a keyed, NOT NULL insert keeps: first arrival per event_id
         among rows with a non-null key and timestamp."""
-        ok = self.arrivals.filter(F.col("event_id").isNotNull() & F.col("event_timestamp").isNotNull())
-        first = ok.groupBy("batch_id", "event_id").agg(F.min("arrival_seq").alias("arrival_seq"))
-        return ok.join(first, ["batch_id", "event_id", "arrival_seq"], "left_semi").select(*RAW_COLS)
+        return self.labelled.filter(F.col("keep_raw")).select(*RAW_COLS)
 
     @cached_property
     def batch_stats(self) -> DataFrame:
