@@ -140,11 +140,12 @@ quality AS (
              FROM rejects GROUP BY ALL) f ON f.run_id = r.run_id AND f.rejection_reason = c.check_name
 ),
 dim_shipment AS (
-  SELECT 'SHIP-' || lpad(CAST(n AS VARCHAR), 4, '0') AS shipment_id,
+  SELECT shipment_id,
          ({_list(FOOD_CATEGORIES)})[(n - 1) % 12 + 1] AS food_category,
          ({_list(WAREHOUSES)})[(n - 1) % 8 + 1] AS warehouse,
          ({_list(DESTINATIONS)})[(n - 1) % 10 + 1] AS destination
-  FROM range(1, 61) t(n)
+  FROM (SELECT DISTINCT shipment_id, CAST(substr(shipment_id, 6) AS INTEGER) AS n
+        FROM arrivals WHERE shipment_id LIKE 'SHIP-%')
 )
 """
 

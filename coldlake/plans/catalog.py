@@ -52,7 +52,7 @@ class Catalog:
             "rejected_events": lambda: b.rejects,
             "pipeline_runs": lambda: b.runs,
             "data_quality_results": lambda: b.quality,
-            "dim_shipment": lambda: fixtures.dim_shipment(self.spark, self.clock),
+            "dim_shipment": lambda: fixtures.dim_shipment(self.spark, self.sf_dir, self.clock),
             "dim_vehicle": lambda: fixtures.dim_vehicle(self.spark),
             "fact_order": lambda: fixtures.fact_order(self.spark, self.sf_dir),
             "dim_customer": lambda: fixtures.dim_customer(self.spark, self.sf_dir),

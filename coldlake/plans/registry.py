@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from coldlake.plans.catalog import Catalog
+from coldlake.session import REQUIRED_CONF
 
 _CATALOGS: dict[tuple[int, str], Catalog] = {}
 
 
 def catalog_for(spark: SparkSession, sf_dir: str) -> Catalog:
-    """One catalog per (session, folder), so a materialized catalog serves later queries."""
+    """One catalog per (session, folder), so a materialized catalog serves later queries.
+
+    The settings results depend on (UTC session time zone, ANSI arithmetic, AQE) are
+    applied to whatever session the caller passes in.
+    """
+    for k, v in REQUIRED_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
     key = (id(spark), sf_dir)
     if key not in _CATALOGS:
         _CATALOGS[key] = Catalog(spark, sf_dir)

@@ -516,7 +516,7 @@ def _a16(c: Catalog):
 @q("B11_run_report", O.sensor("""
 SELECT run_id, rows_generated, rows_processed, rows_rejected, incidents_created FROM runs"""))
 def _b11(c: Catalog):
-    return c.sensor_batch.report()
+    return c.runs.select("run_id", "rows_generated", "rows_processed", "rows_rejected", "incidents_created")
 
 
 @q("H03_minute_status_counts", O.sensor("""

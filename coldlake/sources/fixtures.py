@@ -20,7 +20,6 @@ from coldlake.functions.sensor import safe_bounds
 # Fixed fixture parameters (see FIXTURES.md).
 REPLAY_EVERY = 500          # events whose id is a multiple of this arrive a second time
 EVENTS_PER_RUN = 500        # consecutive event ids that arrive in one pipeline run
-N_SHIPMENTS = 60
 N_VEHICLES = 30
 
 
@@ -101,13 +100,16 @@ def run_start(batch_id: Column, clock: RunClock = RunClock()) -> Column:
     return F.timestamp_seconds(F.lit(int(start)) + batch_id * F.lit(clock.cycle_seconds))
 
 
-def dim_shipment(spark: SparkSession, clock: RunClock = RunClock()) -> DataFrame:
-    """SHIP-0001..0060 with category, warehouse, destination by position and the category's bounds."""
-    n = F.col("id")
-    cat = _pick(FOOD_CATEGORIES, (n - 1) % 12)
-    df = spark.range(1, N_SHIPMENTS + 1).select(
-        F.concat(F.lit("SHIP-"), F.lpad(n.cast("string"), 4, "0")).alias("shipment_id"),
-        cat.alias("food_category"),
+def dim_shipment(spark: SparkSession, sf_dir: str, clock: RunClock = RunClock()) -> DataFrame:
+    """Shipment dimension seeded from the shipment ids observed in the raw events
+    ('SHIP-nnnn'): category, warehouse and destination by position n, bounds from the
+    category's safe range (A15, A16). Grows with the data; a distinct over one column."""
+    ids = (raw_sensor_arrivals(spark, sf_dir, clock).select("shipment_id")
+           .filter(F.col("shipment_id").startswith("SHIP-")).distinct())
+    n = F.substring("shipment_id", 6, 10).cast("int")
+    df = ids.select(
+        "shipment_id",
+        _pick(FOOD_CATEGORIES, (n - 1) % 12).alias("food_category"),
         _pick(WAREHOUSES, (n - 1) % 8).alias("warehouse"),
         _pick(DESTINATIONS, (n - 1) % 10).alias("destination"),
     )
