@@ -88,3 +88,9 @@ def first_order_dates(customers: DataFrame, orders: DataFrame) -> DataFrame:
 def missing_members(expected: DataFrame, dim: DataFrame, col: str) -> DataFrame:
     """Expected values absent from the dimension (set difference)."""
     return expected.select(col).distinct().join(dim.select(col).distinct(), col, "left_anti")
+
+
+def seed_master_data(store, dim_vehicle: DataFrame, dim_shipment: DataFrame) -> None:
+    """Insert the vehicle and shipment dimensions; rows already stored win (insert-if-absent)."""
+    store.insert_if_absent("dim_vehicle", dim_vehicle)
+    store.insert_if_absent("dim_shipment", dim_shipment)

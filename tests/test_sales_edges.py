@@ -105,3 +105,14 @@ def test_unknown_region_gets_default_position(spark):
     assert (r["lat"], r["lon"]) == (20.0, 78.0)
     r = SP.sales_by_region(df).collect()[0]
     assert (r["lat"], r["lon"]) == (19.5, 73.0)
+
+
+def test_derive_line_measures_hand_row(spark):
+    from coldlake.operators import maintenance as M
+    lines = spark.createDataFrame([("L1", "P1", 3, 10.0, 0.1)],
+                                  "order_line_id string, product_id string, quantity int, unit_price double, "
+                                  "discount_pct double")
+    products = spark.createDataFrame([("P1", 6.0)], "product_id string, unit_cost double")
+    r = M.derive_line_measures(lines, products).collect()[0]
+    assert (r["revenue"], r["cost"], r["gross_profit"], r["net_profit"]) == (
+        Decimal("27.00"), Decimal("18.00"), Decimal("9.00"), Decimal("6.84"))

@@ -64,3 +64,35 @@ def test_upsert_delete_returns_purge_and_csv(spark, scratch):
     out = os.path.join(scratch, "csv")
     export_csv(kept.limit(5), out)
     assert any(f.endswith(".csv") for f in os.listdir(out))
+
+
+def test_windowed_counts_in_a_stream_equal_batch_report(spark, scratch):
+    from coldlake.operators import ops_reports as R
+    from coldlake.streaming.sensor_stream import latest_position, minute_status_counts
+
+    fact = SensorBatch(fixtures.raw_sensor_arrivals(spark, SF_SMALL)).fact
+    src = os.path.join(scratch, "fact")
+    fact.write.parquet(src)
+    stream = spark.readStream.schema(fact.schema).parquet(src)
+    q1 = (minute_status_counts(stream).writeStream.outputMode("complete").format("memory")
+          .queryName("h3_counts").trigger(availableNow=True).start())
+    q2 = (latest_position(stream).writeStream.outputMode("complete").format("memory")
+          .queryName("h6_latest").trigger(availableNow=True).start())
+    q1.awaitTermination(300)
+    q2.awaitTermination(300)
+    got = sorted(tuple(r) for r in spark.table("h3_counts").collect())
+    want = sorted(tuple(r) for r in R.status_over_time(spark.read.parquet(src)).collect())
+    assert got == want
+    got6 = sorted(tuple(r) for r in spark.table("h6_latest").collect())
+    want6 = sorted(tuple(r) for r in R.latest_vehicle_locations(spark.read.parquet(src)).collect())
+    assert got6 == want6
+
+
+def test_seed_master_data_keeps_existing_rows(spark, scratch):
+    store = TableStore(spark, scratch)
+    dims = fixtures.dim_shipment(spark, SF_SMALL)
+    M.seed_master_data(store, fixtures.dim_vehicle(spark), dims)
+    changed = dims.withColumn("warehouse", F.lit("Elsewhere"))
+    M.seed_master_data(store, fixtures.dim_vehicle(spark), changed)
+    assert store.read("dim_shipment").filter(F.col("warehouse") == "Elsewhere").count() == 0
+    assert store.read("dim_vehicle").count() == 30
