@@ -38,6 +38,7 @@ class Catalog:
         self.clock = clock
         self._stored: dict[str, str] = {}
         self._bucketed: dict[str, str] = {}
+        self._persisting = False
 
     @cached_property
     def sensor_batch(self) -> SensorBatch:
@@ -52,7 +53,8 @@ class Catalog:
             "rejected_events": lambda: b.rejects,
             "pipeline_runs": lambda: b.runs,
             "data_quality_results": lambda: b.quality,
-            "dim_shipment": lambda: fixtures.dim_shipment(self.spark, self.sf_dir, self.clock),
+            "dim_shipment": lambda: fixtures.dim_shipment(
+                self.spark, self.sf_dir, self.clock, b.labelled if self._persisting else None),
             "dim_vehicle": lambda: fixtures.dim_vehicle(self.spark),
             "fact_order": lambda: fixtures.fact_order(self.spark, self.sf_dir),
             "dim_customer": lambda: fixtures.dim_customer(self.spark, self.sf_dir),
@@ -84,6 +86,7 @@ class Catalog:
         sensor = [n for n in names if n in SENSOR_TABLES]
         if sensor:
             self.sensor_batch.persist_labelled()
+            self._persisting = True
         buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         tag = uuid.uuid4().hex[:8]
         try:
@@ -101,5 +104,6 @@ class Catalog:
                 self._stored[n] = path
         finally:
             if sensor:
+                self._persisting = False
                 self.sensor_batch.unpersist()
         return dict(self._stored)

@@ -100,12 +100,14 @@ def run_start(batch_id: Column, clock: RunClock = RunClock()) -> Column:
     return F.timestamp_seconds(F.lit(int(start)) + batch_id * F.lit(clock.cycle_seconds))
 
 
-def dim_shipment(spark: SparkSession, sf_dir: str, clock: RunClock = RunClock()) -> DataFrame:
+def dim_shipment(spark: SparkSession, sf_dir: str, clock: RunClock = RunClock(),
+                 arrivals: DataFrame | None = None) -> DataFrame:
     """Shipment dimension seeded from the shipment ids observed in the raw events
     ('SHIP-nnnn'): category, warehouse and destination by position n, bounds from the
-    category's safe range (A15, A16). Grows with the data; a distinct over one column."""
-    ids = (raw_sensor_arrivals(spark, sf_dir, clock).select("shipment_id")
-           .filter(F.col("shipment_id").startswith("SHIP-")).distinct())
+    category's safe range (A15, A16). Grows with the data; a distinct over one column.
+    ``arrivals`` may be a frame already holding the arrivals (e.g. a persisted batch)."""
+    src = arrivals if arrivals is not None else raw_sensor_arrivals(spark, sf_dir, clock)
+    ids = src.select("shipment_id").filter(F.col("shipment_id").startswith("SHIP-")).distinct()
     n = F.substring("shipment_id", 6, 10).cast("int")
     df = ids.select(
         "shipment_id",
