@@ -97,37 +97,44 @@ def anomaly_flag(status: str = "temperature_status") -> Column:
     return (F.col(status) != F.lit("SAFE")).cast("int")
 
 
-def incident_structs(rules: Rules = DEFAULT_RULES) -> Column:
-    """Array of 0..4 (incident_type, severity, description) structs per reading.
+def incident_rules(rules: Rules = DEFAULT_RULES) -> list[tuple[str, Column, Column, Column]]:
+    """The four incident rules as (incident_type, condition, severity, description).
 
     Requires temperature_status, risk_score, risk_level, door_open, battery_pct,
     temperature_c and food_category on the row.
     """
     r = rules
+    score_txt = F.col("risk_score").cast("int").cast("string")
+    return [
+        ("TEMPERATURE_CRITICAL", F.col("temperature_status") == F.lit("CRITICAL"), F.lit("HIGH"),
+         F.concat(F.lit("Temperature "), F.col("temperature_c").cast("string"),
+                  F.lit("C outside safe range for "), F.coalesce(F.col("food_category"), F.lit("None")), F.lit("."))),
+        ("HIGH_RISK", F.col("risk_score") >= F.lit(r.high_risk_score),
+         F.when(F.col("risk_level") == F.lit("CRITICAL"), F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
+         F.concat(F.lit("Shipment risk score reached "), score_txt, F.lit("."))),
+        ("DOOR_OPEN", F.coalesce(F.col("door_open"), F.lit(0)) != F.lit(0), F.lit("MEDIUM"),
+         F.lit("Cargo door opened during transit.")),
+        ("LOW_BATTERY", F.col("battery_pct") < F.lit(r.low_battery_below), F.lit("LOW"),
+         F.concat(F.lit("Sensor battery at "), F.col("battery_pct").cast("string"), F.lit("%."))),
+    ]
 
-    def inc(t: str, sev: Column, desc: Column) -> Column:
-        return F.struct(F.lit(t).alias("incident_type"), sev.alias("severity"), desc.alias("description"))
 
-    score_txt = F.col("risk_score").cast("int").cast("string")
-    candidates = F.array(
-        F.when(F.col("temperature_status") == F.lit("CRITICAL"),
-               inc("TEMPERATURE_CRITICAL", F.lit("HIGH"),
-                   F.concat(F.lit("Temperature "), F.col("temperature_c").cast("string"),
-                            F.lit("C outside safe range for "), F.coalesce(F.col("food_category"), F.lit("None")),
-                            F.lit(".")))),
-        F.when(F.col("risk_score") >= F.lit(r.high_risk_score),
-               inc("HIGH_RISK",
-                   F.when(F.col("risk_level") == F.lit("CRITICAL"), F.lit("HIGH")).otherwise(F.lit("MEDIUM")),
-                   F.concat(F.lit("Shipment risk score reached "), score_txt, F.lit(".")))),
-        F.when(F.coalesce(F.col("door_open"), F.lit(0)) != F.lit(0),
-               inc("DOOR_OPEN", F.lit("MEDIUM"), F.lit("Cargo door opened during transit."))),
-        F.when(F.col("battery_pct") < F.lit(r.low_battery_below),
-               inc("LOW_BATTERY", F.lit("LOW"),
-                   F.concat(F.lit("Sensor battery at "), F.col("battery_pct").cast("string"), F.lit("%.")))),
-    )
+def incident_structs(rules: Rules = DEFAULT_RULES) -> Column:
+    """Array of 0..4 (incident_type, severity, description) structs per reading."""
+    candidates = F.array(*[
+        F.when(cond, F.struct(F.lit(t).alias("incident_type"), sev.alias("severity"), desc.alias("description")))
+        for t, cond, sev, desc in incident_rules(rules)])
     return F.filter(candidates, lambda x: x.isNotNull())
 
 
+def incident_count(rules: Rules = DEFAULT_RULES) -> Column:
+    """Number of incidents a reading produces, without building their descriptions."""
+    total = F.lit(0)
+    for _, cond, _, _ in incident_rules(rules):
+        total = total + F.when(cond, F.lit(1)).otherwise(F.lit(0))
+    return total
+
+
 def row_key(*cols: str | Column) -> Column:
     """Deterministic 256-bit hex key over the given parts (replaces random UUIDs)."""
     parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("\u0000")) for c in cols]

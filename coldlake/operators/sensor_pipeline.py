@@ -144,7 +144,7 @@ class SensorBatch:
             F.count(F.lit(1)).alias("rows_generated"),
             F.count_if(valid).alias("rows_processed"),
             F.count_if(~valid).alias("rows_rejected"),
-            F.sum(F.when(valid, F.size(fx.incident_structs(self.rules))).otherwise(F.lit(0))).cast("long")
+            F.sum(F.when(valid, fx.incident_count(self.rules)).otherwise(F.lit(0))).cast("long")
             .alias("incidents_created"),
         ] + [F.count_if(reason == F.lit(c)).alias(f"_fail_{c}") for c in DQ_CHECKS]
         # scoring columns are only read for valid rows (the incident count)
