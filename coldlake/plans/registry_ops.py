@@ -207,8 +207,9 @@ def _c15(c: Catalog):
 
 
 @q("C16_pipeline_health", O.sensor("""
-SELECT coalesce(sum(rows_generated), 0) AS records_generated, coalesce(sum(rows_processed), 0) AS records_processed,
-       coalesce(sum(rows_rejected), 0) AS records_rejected,
+SELECT CAST(coalesce(sum(rows_generated), 0) AS BIGINT) AS records_generated,
+       CAST(coalesce(sum(rows_processed), 0) AS BIGINT) AS records_processed,
+       CAST(coalesce(sum(rows_rejected), 0) AS BIGINT) AS records_rejected,
        CASE WHEN coalesce(sum(rows_generated), 0) = 0 THEN 100.0
             ELSE round_even(100.0::DOUBLE * sum(rows_processed) / sum(rows_generated), 1) END
          AS processing_success_rate,
@@ -228,7 +229,7 @@ def _c17(c: Catalog):
 
 
 @q("C18a_data_quality_summary", O.sensor("""
-SELECT check_name, sum(records_checked) AS records_checked, sum(failures) AS failures,
+SELECT check_name, CAST(sum(records_checked) AS BIGINT) AS records_checked, CAST(sum(failures) AS BIGINT) AS failures,
        CASE WHEN sum(failures) = 0 THEN 'PASS' ELSE 'FAIL' END AS status
 FROM quality GROUP BY check_name"""))
 def _c18a(c: Catalog):
@@ -295,7 +296,8 @@ def _c26(c: Catalog):
 
 
 @q("C27_door_open_trend", O.sensor("""
-SELECT strftime(event_timestamp, '%Y-%m-%dT%H:%M') AS minute, sum(door_open) AS door_opens, count(*) AS total
+SELECT strftime(event_timestamp, '%Y-%m-%dT%H:%M') AS minute, CAST(sum(door_open) AS BIGINT) AS door_opens,
+       count(*) AS total
 FROM fact GROUP BY 1"""))
 def _c27(c: Catalog):
     return R.door_open_trend(c.fact)
@@ -447,9 +449,9 @@ def _d07b(c: Catalog):
   SELECT r.warehouse AS warehouse, ds.food_category AS food_category, f.risk_level AS risk_level, count(*) AS n
   FROM fact f JOIN raw r ON r.event_id = f.event_id JOIN dim_shipment ds ON ds.shipment_id = f.shipment_id
   GROUP BY 1, 2, 3)
-SELECT warehouse AS source, food_category AS target, sum(n) AS value, 1 AS stage FROM flow GROUP BY 1, 2
+SELECT warehouse AS source, food_category AS target, CAST(sum(n) AS BIGINT) AS value, 1 AS stage FROM flow GROUP BY 1, 2
 UNION ALL
-SELECT food_category, risk_level, sum(n), 2 FROM flow GROUP BY 1, 2"""))
+SELECT food_category, risk_level, CAST(sum(n) AS BIGINT), 2 FROM flow GROUP BY 1, 2"""))
 def _d08(c: Catalog):
     return V.flow_edges(c.fact, c.raw, c.dim_shipment)
 
@@ -475,7 +477,7 @@ def _d10(c: Catalog):
 
 @q("D11_throughput_indexed", O.sensor("""
 SELECT started_at, rows_generated, rows_processed, rows_rejected, incidents_created,
-       row_number() OVER (ORDER BY started_at) AS run_index
+       CAST(row_number() OVER (ORDER BY started_at) AS INTEGER) AS run_index
 FROM (SELECT * FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 25)"""))
 def _d11(c: Catalog):
     return V.throughput_indexed(c.runs)

@@ -431,7 +431,7 @@ def _f30(c: Catalog):
     return ST.sales_by_hour(c.orders)
 
 
-@q("F31_sales_by_day", S("SELECT day(order_date) AS day, count(*) AS orders FROM fo GROUP BY 1"))
+@q("F31_sales_by_day", S("SELECT CAST(day(order_date) AS INTEGER) AS day, count(*) AS orders FROM fo GROUP BY 1"))
 def _f31(c: Catalog):
     return ST.sales_by_day(c.orders)
 
@@ -518,7 +518,7 @@ def _f41(c: Catalog):
 
 
 @q("F42_hourly_trends", S("""
-SELECT hour(CAST(order_date AS TIMESTAMP)) AS hour, CAST(sum(revenue) AS DOUBLE) AS revenue,
+SELECT CAST(hour(CAST(order_date AS TIMESTAMP)) AS INTEGER) AS hour, CAST(sum(revenue) AS DOUBLE) AS revenue,
        count(DISTINCT order_id) AS orders FROM fo GROUP BY 1"""))
 def _f42(c: Catalog):
     return ST.hourly_trends(c.orders)
@@ -609,7 +609,8 @@ def _f50(c: Catalog):
 
 
 @q("F51_basket_size", S("""
-SELECT basket_size, count(*) AS orders FROM (SELECT order_id, sum(quantity) AS basket_size FROM fo GROUP BY 1)
+SELECT basket_size, count(*) AS orders FROM (SELECT order_id, CAST(sum(quantity) AS BIGINT) AS basket_size
+                                             FROM fo GROUP BY 1)
 GROUP BY 1"""))
 def _f51(c: Catalog):
     return SP.basket_size(c.orders)
