@@ -116,3 +116,16 @@ def test_derive_line_measures_hand_row(spark):
     r = M.derive_line_measures(lines, products).collect()[0]
     assert (r["revenue"], r["cost"], r["gross_profit"], r["net_profit"]) == (
         Decimal("27.00"), Decimal("18.00"), Decimal("9.00"), Decimal("6.84"))
+
+
+def test_load_orders_filters(spark):
+    from coldlake.operators import sales_filters as SF
+    df = _orders(spark, [("1", "o1", date(2024, 1, 1), "a", 1), ("2", "o2", date(2024, 1, 31), "b", 2),
+                         ("3", "o3", date(2024, 2, 1), "c", 3)])
+    assert SF.load_orders(df, categories=[], regions=[], channels=[]).count() == 3
+    assert SF.load_orders(df, start="2024-01-01", end="2024-01-31").count() == 2
+    assert SF.load_orders(df, categories=["Dairy"], regions=["North"]).count() == 0
+    r = SF.default_date_range(df).collect()[0]
+    assert (r["start"], r["end"]) == (date(2024, 1, 31), date(2024, 2, 1))
+    empty = SF.default_date_range(spark.createDataFrame([], FACT_ORDER)).collect()[0]
+    assert empty["end"] is not None and (empty["end"] - empty["start"]).days == 1
