@@ -46,7 +46,10 @@ def retention_cutoff(as_of: Column, hours: int = ORDER_RETENTION_HOURS) -> Colum
 def purge_before(orders: DataFrame, cutoff: Column) -> DataFrame:
     """Keep order_date >= cutoff (strict < is deleted). On a date-partitioned table this
     filter prunes whole partitions."""
-    return orders.filter(F.col("order_date") >= cutoff)
+    keep = F.col("order_date") >= cutoff
+    if "order_year" in orders.columns:           # year-partitioned storage: drop whole partitions
+        keep = keep & (F.col("order_year") >= F.year(cutoff))
+    return orders.filter(keep)
 
 
 def random_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:

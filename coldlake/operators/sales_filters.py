@@ -32,10 +32,15 @@ def load_orders(orders: DataFrame, start: str | None = None, end: str | None = N
     date partitions when the table is partitioned by date).
     """
     cond = F.lit(True)
+    partitioned = "order_year" in orders.columns     # stored tables are partitioned by year
     if start:
         cond = cond & (F.col("order_date") >= F.to_date(F.lit(start)))
+        if partitioned:
+            cond = cond & (F.col("order_year") >= F.year(F.to_date(F.lit(start))))
     if end:
         cond = cond & (F.col("order_date") <= F.to_date(F.lit(end)))
+        if partitioned:
+            cond = cond & (F.col("order_year") <= F.year(F.to_date(F.lit(end))))
     if categories:
         cond = cond & F.col("category").isin(list(categories))
     if regions:

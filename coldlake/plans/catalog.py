@@ -15,6 +15,7 @@ import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from coldlake.config import DEFAULT_RULES, Rules, RunClock
 from coldlake.operators.sensor_pipeline import SensorBatch
@@ -27,6 +28,8 @@ DIM_TABLES = ["dim_shipment", "dim_vehicle"]
 SALES_TABLES = ["fact_order", "dim_customer", "dim_product"]
 # raw and fact readings are joined on event_id (C19, C31, C33): store both bucketed on it
 BUCKET_KEYS = {"raw_sensor_events": "event_id", "fact_sensor_reading": "event_id"}
+# order lines are stored partitioned by year: date filters (E3) and the purge (A8) prune partitions
+PARTITION_COLS = {"fact_order": ("order_year", lambda: F.year("order_date"))}
 
 
 class Catalog:
@@ -99,6 +102,9 @@ class Catalog:
                     (self._build(n).write.mode("overwrite").option("path", path)
                      .bucketBy(buckets, BUCKET_KEYS[n]).sortBy(BUCKET_KEYS[n]).saveAsTable(tname))
                     self._bucketed[n] = tname
+                elif n in PARTITION_COLS:
+                    col, expr = PARTITION_COLS[n]
+                    self._build(n).withColumn(col, expr()).write.mode("overwrite").partitionBy(col).parquet(path)
                 else:
                     self._build(n).write.mode("overwrite").parquet(path)
                 self._stored[n] = path

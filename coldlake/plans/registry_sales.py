@@ -96,8 +96,9 @@ SELECT order_line_id, order_id, order_date, customer_id, product_id, region, sta
        CAST(gross_profit AS DOUBLE) AS gross_profit, CAST(net_profit AS DOUBLE) AS net_profit, hour
 FROM fo"""))
 def _a17(c: Catalog):
-    o = c.orders
-    return o.select(*[F.col(x).cast("double").alias(x) if x in SD.MONEY_COLS else F.col(x) for x in o.columns])
+    from coldlake.schemas import FACT_ORDER
+    cols = [f.name for f in FACT_ORDER.fields]
+    return c.orders.select(*[F.col(x).cast("double").alias(x) if x in SD.MONEY_COLS else F.col(x) for x in cols])
 
 
 @q("A19_first_order_date", S("""
