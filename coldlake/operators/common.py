@@ -35,11 +35,6 @@ def last_k_ascending(df: DataFrame, k: int, ts: str, tiebreak: list[str]) -> Dat
     return newest.orderBy(F.col(ts).asc(), *[F.col(c).asc() for c in tiebreak])
 
 
-def first_by(metric: Column, name: Column) -> Column:
-    """Aggregate: ``name`` of the row with the largest ``metric`` (ties -> largest name)."""
-    return F.max_by(name, F.struct(metric, name))
-
-
 def stat(c: Column, digits: int = 6) -> Column:
     """Presentation rounding (half-even) of an unrounded floating-point statistic."""
     return F.bround(c.cast("double"), digits)

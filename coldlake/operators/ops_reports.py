@@ -170,9 +170,6 @@ def shipment_health(fact: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
 
 # ---------------------------------------------------------------- incidents
 
-INCIDENT_ORDER = ["event_id", "incident_type"]
-
-
 def recent_incidents(incidents: DataFrame, limit: int = 20) -> DataFrame:
     """Newest first."""
     return top_k(incidents, limit, F.col("incident_timestamp").desc(), F.col("event_id").desc(),

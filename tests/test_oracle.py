@@ -1,7 +1,6 @@
 """Every registered query equals its DuckDB oracle on the sf0.001 tables (the driver uses sf0.01)."""
 
 import math
-import os
 
 import duckdb
 import pytest

@@ -129,3 +129,12 @@ def test_load_orders_filters(spark):
     assert (r["start"], r["end"]) == (date(2024, 1, 31), date(2024, 2, 1))
     empty = SF.default_date_range(spark.createDataFrame([], FACT_ORDER)).collect()[0]
     assert empty["end"] is not None and (empty["end"] - empty["start"]).days == 1
+
+
+def test_wide_pivots_take_explicit_columns(spark):
+    df = _orders(spark, [("1", "o1", date(2024, 1, 1), "a", 10), ("2", "o2", date(2024, 2, 1), "a", 20),
+                         ("3", "o3", date(2024, 2, 1), "b", 5)])
+    coh = SC.cohort_pivot(SC.cohort_retention(df), ["2024-01", "2024-02", "2024-03"]).collect()
+    assert [tuple(r) for r in coh] == [("2024-01", 1, 1, 0), ("2024-02", 0, 1, 0)]
+    hm = SD.heatmap_pivot(SD.kpi_heatmap(df), ["2024-01", "2024-02"]).collect()
+    assert [tuple(r) for r in hm] == [("Dairy", 10.0, 25.0)]
