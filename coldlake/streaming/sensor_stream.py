@@ -87,3 +87,14 @@ def latest_position(readings: DataFrame) -> DataFrame:
 def freshness_state(readings: DataFrame) -> DataFrame:
     """H5: running maximum event time (complete mode); freshness = now - latest."""
     return readings.agg(F.max("event_timestamp").alias("latest_event_timestamp"))
+
+
+def late_rows_dropped(query: StreamingQuery) -> int:
+    """H4: rows the watermark dropped as late, summed over the query's recorded progress
+    (Spark counts them in the stateful operators; no extra pass over the data)."""
+    total = 0
+    for p in query.recentProgress:
+        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
+            n = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
+            total += int(n or 0)
+    return total

@@ -96,3 +96,26 @@ def test_seed_master_data_keeps_existing_rows(spark, scratch):
     M.seed_master_data(store, fixtures.dim_vehicle(spark), changed)
     assert store.read("dim_shipment").filter(F.col("warehouse") == "Elsewhere").count() == 0
     assert store.read("dim_vehicle").count() == 30
+
+
+def test_watermark_drops_and_reports_late_rows(spark, scratch):
+    from datetime import datetime, timedelta
+
+    from coldlake.streaming.sensor_stream import late_rows_dropped, minute_status_counts
+
+    schema = "event_id string, event_timestamp timestamp, temperature_status string"
+    t0 = datetime(2024, 1, 1, 12, 0, 0)
+    src = os.path.join(scratch, "late")
+    spark.createDataFrame([(f"a{i}", t0 + timedelta(minutes=30 + i), "SAFE") for i in range(5)], schema) \
+        .coalesce(1).write.parquet(os.path.join(src, "b1"))
+    spark.createDataFrame([(f"b{i}", t0 + timedelta(minutes=40 + i), "SAFE") for i in range(2)], schema) \
+        .coalesce(1).write.parquet(os.path.join(src, "b2"))
+    # late rows arrive in a third micro-batch: late-event filtering uses the previous batch's watermark
+    spark.createDataFrame([(f"c{i}", t0 + timedelta(minutes=i), "SAFE") for i in range(3)], schema) \
+        .coalesce(1).write.parquet(os.path.join(src, "b3"))
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+              .option("recursiveFileLookup", "true").parquet(src))
+    q = (minute_status_counts(stream, watermark="1 minute").writeStream.outputMode("append").format("memory")
+         .queryName("late_counts").trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    assert late_rows_dropped(q) == 3
