@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -82,7 +83,7 @@ class Catalog:
         return self.table(alias.get(name, name))
 
     def materialize(self, names: list[str] | None = None, base_dir: str | None = None,
-                    buckets: int | None = None) -> dict[str, str]:
+                    buckets: int | None = None, parallel_writes: int = 4) -> dict[str, str]:
         """Write the given tables once (sensor outputs share one persisted labelled batch)."""
         names = names or SENSOR_TABLES + DIM_TABLES + SALES_TABLES
         base = base_dir or os.path.join(ensure_checkpoint_dir(self.spark), f"catalog-{uuid.uuid4().hex[:8]}")
@@ -92,22 +93,29 @@ class Catalog:
             self._persisting = True
         buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         tag = uuid.uuid4().hex[:8]
+
+        def write(n: str) -> None:
+            path = os.path.join(base, n)
+            if n in BUCKET_KEYS:
+                # external bucketed table: joins on the bucket key between equally bucketed
+                # tables need no exchange on either side
+                tname = f"coldlake_{n}_{tag}"
+                (self._build(n).write.mode("overwrite").option("path", path)
+                 .bucketBy(buckets, BUCKET_KEYS[n]).sortBy(BUCKET_KEYS[n]).saveAsTable(tname))
+                self._bucketed[n] = tname
+            elif n in PARTITION_COLS:
+                col, expr = PARTITION_COLS[n]
+                self._build(n).withColumn(col, expr()).write.mode("overwrite").partitionBy(col).parquet(path)
+            else:
+                self._build(n).write.mode("overwrite").parquet(path)
+            self._stored[n] = path
+
         try:
-            for n in names:
-                path = os.path.join(base, n)
-                if n in BUCKET_KEYS:
-                    # external bucketed table: joins on the bucket key between equally bucketed
-                    # tables need no exchange on either side
-                    tname = f"coldlake_{n}_{tag}"
-                    (self._build(n).write.mode("overwrite").option("path", path)
-                     .bucketBy(buckets, BUCKET_KEYS[n]).sortBy(BUCKET_KEYS[n]).saveAsTable(tname))
-                    self._bucketed[n] = tname
-                elif n in PARTITION_COLS:
-                    col, expr = PARTITION_COLS[n]
-                    self._build(n).withColumn(col, expr()).write.mode("overwrite").partitionBy(col).parquet(path)
-                else:
-                    self._build(n).write.mode("overwrite").parquet(path)
-                self._stored[n] = path
+            # the writes are independent jobs over the shared persisted batch: run them
+            # concurrently so their per-job overheads overlap and idle task slots are used
+            with ThreadPoolExecutor(max_workers=max(1, min(parallel_writes, len(names)))) as pool:
+                for f in [pool.submit(write, n) for n in names]:
+                    f.result()
         finally:
             if sensor:
                 self._persisting = False
