@@ -52,19 +52,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     round at least halves path lengths, so 60 cover any graph that fits on disk).
     """
     cur = staged(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+        edges.select(_max(a, b).alias("u"), _min(a, b).alias("v"))
         .where("u is not null and v is not null and u <> v").distinct(), "edges")
     state = _digest(cur)
     for _ in range(max_rounds):
         if state[0] == 0:
             break
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", _min("u", "m").alias("m")), "low")
         large = (both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where("u <> v").distinct())
         large = staged(large, "large")
         low2 = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = (large.join(low2, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        small = (large.join(low2, "u").select(_max("v", "m").alias("u"), _min("v", "m").alias("v"))
                  .where("u <> v").unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
         nxt = staged(small, "edges")
         new = _digest(nxt)
@@ -79,6 +79,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _min(a: str, b: str) -> Column:
+    return F.when(F.col(a) <= F.col(b), F.col(a)).otherwise(F.col(b))
+
+
+def _max(a: str, b: str) -> Column:
+    return F.when(F.col(a) <= F.col(b), F.col(b)).otherwise(F.col(a))
+
+
 def _digest(df: DataFrame) -> tuple:
     r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return r["n"], r["h"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldlake.llm import decontaminate, packing, sharding, simhash
+from coldlake.llm import decontaminate, lines, packing, sharding, simhash, toxicity
 from coldlake.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    crf = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, crf, ["doc_id"])
+    return found.select("row.doc_id", toxicity.is_held_out(F.col("row.doc_id"), 4, 2).alias("held_out"), "score", "predicted",
+                        F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])).alias("spans"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = packing.pack(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -31,5 +39,15 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op7_packing, op8_decontaminate, op9_sharding)}
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    gone = lines.removals(docs).select(F.col("doc_id").alias("id"), F.col("t").alias("key"), "gone")
+    count = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    mine = docs.select("doc_id", lines.text_key(F.col("text")).alias("t"), F.when(F.col("text").isNull(), 0).otherwise(count).cast("long").alias("n_lines"))
+    joined = mine.join(gone, mine["doc_id"].eqNullSafe(gone["id"]) & (mine["t"] == gone["key"]), "left")
+    return joined.select("doc_id", "n_lines", F.when(F.col("gone").isNull(), F.col("n_lines")).otherwise(F.col("n_lines") - F.size("gone")).alias("n_kept"),
+                         F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op6_toxicity, op7_packing, op8_decontaminate, op9_sharding, op10_lines)}
 ORACLE: dict[str, str] = {}
