@@ -5,15 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldlake.llm import decontaminate, lines, packing, sharding, simhash, toxicity
+from coldlake.llm import chat, decontaminate, lines, packing, pii, sharding, simhash, toxicity
 from coldlake.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.written(pii.base_by_start()), 256).alias("base_sha256"),
+                        pii.written(pii.all_spans()).alias("spans"), F.size("terms").cast("long").alias("n_term"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     crf = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -49,5 +60,5 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op6_toxicity, op7_packing, op8_decontaminate, op9_sharding, op10_lines)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op5_chat, op6_toxicity, op7_packing, op8_decontaminate, op9_sharding, op10_lines)}
+ORACLE: dict[str, str] = {"op5_chat": chat.ORACLE_SQL}
