@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldlake.llm import chat, decontaminate, lines, packing, pii, sharding, simhash, toxicity
+from coldlake.llm import chat, ctw, decontaminate, lines, packing, pii, sharding, simhash, toxicity
 from coldlake.llm.common import table
 
 
@@ -21,6 +21,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ctw.score(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", ctw.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+                        (-F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -60,5 +66,5 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op5_chat, op6_toxicity, op7_packing, op8_decontaminate, op9_sharding, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_ctw, op5_chat, op6_toxicity, op7_packing, op8_decontaminate, op9_sharding, op10_lines)}
 ORACLE: dict[str, str] = {"op5_chat": chat.ORACLE_SQL}
