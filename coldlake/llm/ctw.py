@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from coldlake.llm.common import discard, staged, utf8
 
 #: Bytes of context. A context and its next byte share one long, so at most 7.
-DEPTH = 4
+DEPTH = 5
 #: Byte that starts and ends every text; it never occurs in UTF-8.
 EDGE = 0xFF
 #: Most (context, byte) scores that are broadcast, 16 bytes each; beyond, scores are joined.
