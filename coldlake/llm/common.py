@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldlake.session import ensure_checkpoint_dir
+from coldlake.session import checkpoint_dir, ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     executor costs only the tasks it was running.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/coldlake-llm/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark) or ensure_checkpoint_dir(spark)}/coldlake-llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._coldlake_path = path
