@@ -62,6 +62,9 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the configured checkpoint folder; only a local test session gets its own."""
+    d = spark.sparkContext.getCheckpointDir()
+    if d:
+        return d
     d = checkpoint_dir(spark)
     if d is None:
         master = spark.sparkContext.master
