@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldlake.llm import chat, ctw, decontaminate, lines, packing, pii, sharding, simhash, toxicity
+from coldlake.llm import chat, covertree, ctw, decontaminate, lines, packing, pii, sharding, simhash, toxicity
 from coldlake.llm.common import table
 
 
@@ -27,6 +27,11 @@ def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (-F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
 
 
+def op4_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -66,5 +71,5 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_ctw, op5_chat, op6_toxicity, op7_packing, op8_decontaminate, op9_sharding, op10_lines)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_ctw, op4_covertree, op5_chat, op6_toxicity, op7_packing, op8_decontaminate, op9_sharding, op10_lines)}
 ORACLE: dict[str, str] = {"op5_chat": chat.ORACLE_SQL}
