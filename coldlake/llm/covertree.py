@@ -78,30 +78,48 @@ def _chords(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
-def close_pairs(a: CoverTree, b: CoverTree, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """All (i, j) of original positions in ``a`` and ``b`` with cosine at least ``threshold``.
+def close_pairs(a: CoverTree, b: CoverTree, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of original positions in ``a`` and ``b`` with cosine at least ``threshold``.
 
     Dual traversal: a pair of nodes whose centres are further apart than the threshold's chord
-    plus both radii holds no such pair and is dropped; others open into their children.
+    plus both radii holds no such pair and is dropped; others open into their children, and
+    single points are compared.
     """
     chord = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-7
-    out: list[tuple[int, int]] = []
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     todo = [(0, 0)]
     while todo:
         x, y = todo.pop()
         kx, ky = a.nodes[x][3] or [x], b.nodes[y][3] or [y]
-        sx, sy = [a.nodes[k][0] for k in kx], [b.nodes[k][0] for k in ky]
-        rx, ry = np.array([a.nodes[k][2] for k in kx]), np.array([b.nodes[k][2] for k in ky])
-        near = _chords(a.points[sx], b.points[sy]) <= chord + rx[:, None] + ry[None, :]
-        for i, j in zip(*(v.tolist() for v in np.nonzero(near)), strict=True):
-            p, q = a.nodes[kx[i]], b.nodes[ky[j]]
-            if p[3] or q[3]:
+        sx, ex, rx, ox = (np.array(v) for v in zip(*((a.nodes[k][0], a.nodes[k][1], a.nodes[k][2], bool(a.nodes[k][3])) for k in kx), strict=True))
+        sy, ey, ry, oy = (np.array(v) for v in zip(*((b.nodes[k][0], b.nodes[k][1], b.nodes[k][2], bool(b.nodes[k][3])) for k in ky), strict=True))
+        dots = a.points[sx] @ b.points[sy].T
+        near = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots)) <= chord + rx[:, None] + ry[None, :]
+        single = (~ox & (ex - sx == 1))[:, None] & (~oy & (ey - sy == 1))[None, :]
+        i, j = np.nonzero(near & single & (dots >= threshold))
+        left.append(sx[i])
+        right.append(sy[j])
+        for i, j in zip(*(v.tolist() for v in np.nonzero(near & ~single)), strict=True):
+            if ox[i] or oy[j]:
                 todo.append((kx[i], ky[j]))
-                continue
-            cos = a.points[p[0]:p[1]] @ b.points[q[0]:q[1]].T
-            for u, v in np.argwhere(cos >= threshold).tolist():
-                out.append((int(a.order[p[0] + u]), int(b.order[q[0] + v])))
-    return out
+            else:  # parallel vectors share a node
+                u, v = np.nonzero(a.points[sx[i]:ex[i]] @ b.points[sy[j]:ey[j]].T >= threshold)
+                left.append(u + sx[i])
+                right.append(v + sy[j])
+    return a.order[np.concatenate(left)], b.order[np.concatenate(right)]
+
+
+def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least member of each node's component among ``n`` nodes with edges u-v."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, u, low[v])
+        np.minimum.at(new, v, low[u])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
 
 
 def _unit(vectors) -> np.ndarray:
@@ -131,7 +149,7 @@ def _assign(classes: DataFrame, pivots: dict) -> DataFrame:
 
 
 def _blocks(classes: DataFrame, block: int, most_pivots: int) -> DataFrame:
-    """Staged rows (block, label, dim, centre, radius, ids, tree): a cover tree per block."""
+    """Staged rows (block, label, dim, centre, radius, ids, sizes, tree): a cover tree per block."""
     total = classes.count()
     size = max(block, -(-total // most_pivots))
     big = classes.groupBy("label", "dim").count().where(F.col("count") > size)
@@ -142,7 +160,7 @@ def _blocks(classes: DataFrame, block: int, most_pivots: int) -> DataFrame:
     cells = staged(_assign(classes, {k: _unit(sorted(v)) for k, v in pivots.items()}), "cells")
     parts = cells.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / block).alias("parts"))
     dealt = cells.join(parts, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("hash"), F.col("parts")))
-    rows = dealt.groupBy("label", "dim", "cell", "part").agg(F.collect_list(F.struct("node", "vec")).alias("rows"))
+    rows = dealt.groupBy("label", "dim", "cell", "part").agg(F.collect_list(F.struct("node", "n", "vec")).alias("rows"))
     kind = classes.schema["node"].dataType.simpleString()
 
     def run(batches):
@@ -154,16 +172,21 @@ def _blocks(classes: DataFrame, block: int, most_pivots: int) -> DataFrame:
                     [b.column("label").slice(i, 1), b.column("dim").slice(i, 1), b.column("cell").slice(i, 1), b.column("part").slice(i, 1),
                      pa.array([tree.points[0].tolist()], pa.list_(pa.float64())), pa.array([tree.nodes[0][2]]),
                      pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), b.column("rows").slice(i, 1).flatten().field("node")),
-                     pa.array([pickle.dumps(tree, protocol=5)], pa.binary())],
-                    names=["label", "dim", "cell", "part", "centre", "radius", "ids", "tree"])
+                     pa.array([[r["n"] for r in mine]], pa.list_(pa.int64())), pa.array([pickle.dumps(tree, protocol=5)], pa.binary())],
+                    names=["label", "dim", "cell", "part", "centre", "radius", "ids", "sizes", "tree"])
 
     label = classes.schema["label"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"label {label}, dim int, cell int, part long, centre array<double>, radius double, ids array<{kind}>, tree binary")
+    out = rows.mapInArrow(run, f"label {label}, dim int, cell int, part long, centre array<double>, radius double, ids array<{kind}>, sizes array<long>, tree binary")
     return staged(out.withColumn("block", F.xxhash64("label", "dim", "cell", "part")), "blocks")
 
 
 def links(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most_pivots: int = MOST_PIVOTS) -> DataFrame:
-    """Staged rows (a, b), both ways: nodes whose vectors have at least the threshold's cosine."""
+    """Staged rows (node, others, root), for each pair of blocks and each node linked in it.
+
+    ``others`` counts the vectors the node links to there, ``root`` is a node of its component
+    within the two blocks. A crowd of near copies so gives rows in proportion to its members,
+    while every single link is counted and joins its ends.
+    """
     blocks = _blocks(classes, block, most_pivots)
     head = blocks.select("block", "label", "dim", "centre", "radius")
     x, y = head.alias("x"), head.alias("y")
@@ -171,27 +194,30 @@ def links(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK,
     reach = F.col("x.radius") + F.col("y.radius") + F.lit(float(np.sqrt(2 - 2 * threshold)) + 1e-6)
     pairs = staged(x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.block") <= F.col("y.block")))
                    .where(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= reach).select(F.col("x.block").alias("bx"), F.col("y.block").alias("by")), "pairs")
-    left = blocks.select(F.col("block").alias("bx"), F.col("ids").alias("ix"), F.col("tree").alias("tx"))
-    right = blocks.select(F.col("block").alias("by"), F.col("ids").alias("iy"), F.col("tree").alias("ty"))
+    left = blocks.select(F.col("block").alias("bx"), F.col("ids").alias("ix"), F.col("sizes").alias("nx"), F.col("tree").alias("tx"))
+    right = blocks.select(F.col("block").alias("by"), F.col("ids").alias("iy"), F.col("sizes").alias("ny"), F.col("tree").alias("ty"))
     kind = classes.schema["node"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                ix, iy = b.column("ix").slice(i, 1).flatten(), b.column("iy").slice(i, 1).flatten()
                 same = b.column("bx")[i].as_py() == b.column("by")[i].as_py()
                 tx = pickle.loads(b.column("tx")[i].as_py())
                 ty = tx if same else pickle.loads(b.column("ty")[i].as_py())
-                found = np.array([(u, v) for u, v in close_pairs(tx, ty, threshold) if not same or u != v], dtype=np.int64).reshape(-1, 2)
-                u, v = ix.take(pa.array(found[:, 0])), iy.take(pa.array(found[:, 1]))
-                yield pa.RecordBatch.from_arrays([u, v], names=["a", "b"])
-                if not same:
-                    yield pa.RecordBatch.from_arrays([v, u], names=["a", "b"])
-
-    spark = classes.sparkSession
-    n = max(spark.sparkContext.defaultParallelism * 4, pairs.count() // 4)
-    joined = pairs.repartition(min(n, 100_000), "bx", "by").join(left, "bx").join(right, "by")
-    return staged(joined.mapInArrow(run, f"a {kind}, b {kind}"), "links")
+                u, v = close_pairs(tx, ty, threshold)
+                ids, sizes = b.column("ix").slice(i, 1).flatten(), np.array(b.column("nx")[i].as_py(), dtype=float)
+                if same:
+                    u, v = u[u != v], v[u != v]
+                    others = np.bincount(u, weights=sizes[v], minlength=len(sizes))
+                else:
+                    v = v + len(sizes)
+                    ids, sizes = pa.concat_arrays([ids, b.column("iy").slice(i, 1).flatten()]), np.concatenate([sizes, np.array(b.column("ny")[i].as_py(), dtype=float)])
+                    others = np.bincount(u, weights=sizes[v], minlength=len(sizes)) + np.bincount(v, weights=sizes[u], minlength=len(sizes))
+                mine = np.flatnonzero(others)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine)), pa.array(others[mine].astype(np.int64)), ids.take(pa.array(roots(len(sizes), u, v)[mine]))], names=["node", "others", "root"])
+
+    joined = pairs.join(left, "bx").join(right, "by")
+    return staged(joined.mapInArrow(run, f"node {kind}, others long, root {kind}"), "links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most_pivots: int = MOST_PIVOTS,
@@ -211,10 +237,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     classes = (rows.where("ok").groupBy("label", "vec", "hash").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
                .select("label", F.size("vec").alias("dim"), "vec", "hash", F.struct("least", "hash").alias("node"), "n"))
     classes = staged(classes, "classes")
-    edges = links(classes.select("label", "dim", "vec", "hash", "node"), threshold, block, most_pivots)
-    sizes = classes.select(F.col("node").alias("b"), F.col("n"))
-    others = edges.join(sizes, "b").groupBy("a").agg(F.sum("n").alias("others"))
-    groups = components(edges)
+    found = links(classes.select("label", "dim", "vec", "hash", "node", "n"), threshold, block, most_pivots)
+    others = found.groupBy(F.col("node").alias("a")).agg(F.sum("others").alias("others"))
+    groups = components(found, "node", "root")
     named = (classes.select("hash", "label", "vec", "node", "n").join(others, classes["node"] == others["a"], "left")
              .join(groups.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
              .select("node", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component.least", "node.least").alias("component_id")))
