@@ -13,7 +13,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coldlake.config import DEFAULT_RULES, DQ_CHECKS, Rules, RunClock
@@ -25,22 +25,42 @@ RAW_COLS = [f.name for f in RAW_SENSOR_EVENTS.fields]
 FACT_COLS = [f.name for f in FACT_SENSOR_READING.fields]
 
 
-def mark_duplicates(arrivals: DataFrame) -> DataFrame:
-    """B1: ``is_duplicate`` = a copy of an event_id that already arrived earlier in the same run.
+#: A hot event_id is dealt over this many groups before its first arrival is known.
+ARRIVAL_SPLITS = 32
 
-    The first arrival is found with a grouped ``min`` (map-side partial aggregation,
-    so a hot event_id collapses before the shuffle) and joined back on the key; a
-    skewed key partition in that join is split by AQE's skew-join handling instead
-    of landing in one window task.
+
+def _arrival_groups(arrivals: DataFrame, splits: int) -> DataFrame:
+    """Adds the total arrival order and ``_meet``: -1 for the firsts of an input split's group
+    of one key, which meet under the key; any other arrival stays on its own."""
+    order = F.struct("arrival_seq", F.xxhash64(*RAW_COLS).alias("content"), F.monotonically_increasing_id().alias("position"))
+    rows = arrivals.withColumns({"_order": order, "_split": F.pmod(F.spark_partition_id(), F.lit(splits))})
+    group = Window.partitionBy("batch_id", "event_id", "_split")
+    rows = rows.withColumns({"_first": F.min("_order").over(group), "_first_dated": F.min(_dated_order()).over(group)})
+    leads = (F.col("_order") == F.col("_first")) | F.coalesce(F.col("_order") == F.col("_first_dated"), F.lit(False))
+    return rows.withColumn("_meet", F.when(leads, F.lit(-1)).otherwise(F.col("_order.position")))
+
+
+def _dated_order() -> Column:
+    return F.when(F.col("event_timestamp").isNotNull(), F.col("_order"))
+
+
+def mark_duplicates(arrivals: DataFrame, splits: int = ARRIVAL_SPLITS) -> DataFrame:
+    """B1: ``is_duplicate`` = not the first arrival of its event_id in its run.
+
+    Arrivals are totally ordered by arrival_seq, then content, then reading position, so of
+    equal rows exactly one is first; rows without an event_id share one key, as any other.
+    One pass over the source: the first of every (run, event_id, input split) group is found,
+    then only those firsts, at most two a group, meet under the bare key. A hot event_id is so
+    dealt over ``splits`` groups and its other arrivals over all tasks. ``keep_raw`` marks the
+    first arrival with an event_id and a timestamp (A3 / B12).
     """
-    first = arrivals.groupBy("batch_id", "event_id").agg(
-        F.min("arrival_seq").alias("_first_seq"),
-        # The raw table keeps the first arrival among rows with a timestamp
-        F.min(F.when(F.col("event_timestamp").isNotNull(), F.col("arrival_seq"))).alias("_first_ok_seq"))
-    return (arrivals.join(first, ["batch_id", "event_id"])
-            .withColumn("is_duplicate", F.col("arrival_seq") > F.col("_first_seq"))
-            .withColumn("keep_raw", F.coalesce(F.col("arrival_seq") == F.col("_first_ok_seq"), F.lit(False)))
-            .drop("_first_seq", "_first_ok_seq"))
+    rows = _arrival_groups(arrivals, splits)
+    key = Window.partitionBy("batch_id", "event_id", "_meet")
+    met = F.col("_meet") == -1
+    first = met & (F.col("_order") == F.min("_order").over(key))
+    first_dated = met & F.coalesce(F.col("_order") == F.min(_dated_order()).over(key), F.lit(False))
+    return (rows.withColumns({"is_duplicate": ~first, "keep_raw": first_dated & F.col("event_id").isNotNull()})
+            .drop("_order", "_split", "_first", "_first_dated", "_meet"))
 
 
 def label(arrivals: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
@@ -124,7 +144,7 @@ class SensorBatch:
         """B3 rejected_events rows (one per rejected arrival, duplicates included)."""
         rej = self.labelled.filter(F.col("rejection_reason").isNotNull())
         return rej.select(
-            fx.row_key("batch_id", "event_id", "arrival_seq").alias("rejection_id"),
+            fx.row_key("batch_id", "event_id", "arrival_seq", F.xxhash64(*RAW_COLS)).alias("rejection_id"),
             "event_id", "rejection_reason", raw_payload().alias("raw_payload"),
             self.run_time().alias("rejected_at"),
         ).select(*[f.name for f in REJECTED_EVENTS.fields])
