@@ -7,10 +7,9 @@ also what makes a retried batch harmless.
 
 from __future__ import annotations
 
-import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,18 +20,16 @@ def empty_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.createDataFrame([], TABLES[name])
 
 
+def conform_column(df: DataFrame, name: str, field: T.StructField) -> Column:
+    """A declared column of ``df``; one that is missing gets its default (``hour`` -> 12, A12) or NULL."""
+    if field.name in df.columns:
+        return F.col(field.name).cast(field.dataType)
+    return F.lit(12 if name == "fact_order" and field.name == "hour" else None).cast(field.dataType)
+
+
 def conform(df: DataFrame, name: str) -> DataFrame:
-    """Select and cast to the declared columns; columns missing in ``df`` get their default
-    (``hour`` -> 12, A12) or NULL."""
-    out = []
-    for f in TABLES[name].fields:
-        if f.name in df.columns:
-            out.append(F.col(f.name).cast(f.dataType).alias(f.name))
-        elif name == "fact_order" and f.name == "hour":
-            out.append(F.lit(12).cast(f.dataType).alias(f.name))
-        else:
-            out.append(F.lit(None).cast(f.dataType).alias(f.name))
-    return df.select(*out)
+    """Select and cast to the declared columns, in their order."""
+    return df.select(*[conform_column(df, name, f).alias(f.name) for f in TABLES[name].fields])
 
 
 def schema_matches(df: DataFrame, name: str) -> bool:
@@ -50,18 +47,34 @@ class TableStore:
         self.root = root
         self.current: dict[str, str] = {}
 
-    def _pointer(self, name: str) -> str:
-        return os.path.join(self.root, name, "_CURRENT")
+    def _file(self, *parts: str):
+        """A Hadoop path below the root and its file system (local, HDFS or an object store)."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path("/".join([self.root.rstrip("/"), *parts]))
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str | None:
+        """The current snapshot: the one with the highest version marker.
+
+        A marker is an empty file created once, after its snapshot is complete, so that readers
+        on any file system see either the old or the new snapshot.
+        """
         if name in self.current:
             return self.current[name]
-        ptr = self._pointer(name)
-        if os.path.exists(ptr):
-            with open(ptr) as fh:
-                self.current[name] = fh.read().strip()
-            return self.current[name]
-        return None
+        folder, fs = self._file(name, "_versions")
+        if not fs.exists(folder):
+            return None
+        newest = max((st.getPath().getName() for st in fs.listStatus(folder)), default=None)
+        if newest is not None:
+            self.current[name] = f"{self.root.rstrip('/')}/{name}/{newest.split('.')[1]}"
+        return self.current.get(name)
+
+    def _publish(self, name: str, snap: str) -> None:
+        folder, fs = self._file(name, "_versions")
+        fs.mkdirs(folder)
+        last = max((int(st.getPath().getName().split(".")[0]) for st in fs.listStatus(folder)), default=0)
+        marker, fs = self._file(name, "_versions", f"{last + 1:012d}.{snap}")
+        fs.create(marker, False).close()
 
     def read(self, name: str) -> DataFrame:
         """A1 + A11 + A12: declared schema; a missing table reads as empty; ``hour`` defaults to 12."""
@@ -75,18 +88,15 @@ class TableStore:
 
     def commit(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> str:
         """Write ``df`` as a new snapshot and switch the table to it."""
-        snap = os.path.join(self.root, name, f"snap-{uuid.uuid4().hex}")
+        snap = f"snap-{uuid.uuid4().hex}"
+        path = f"{self.root.rstrip('/')}/{name}/{snap}"
         w = conform(df, name).write.mode("errorifexists")
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.parquet(snap)
-        os.makedirs(os.path.join(self.root, name), exist_ok=True)
-        tmp = self._pointer(name) + ".tmp"
-        with open(tmp, "w") as fh:
-            fh.write(snap)
-        os.replace(tmp, self._pointer(name))
-        self.current[name] = snap
-        return snap
+        w.parquet(path)
+        self._publish(name, snap)
+        self.current[name] = path
+        return path
 
     def append(self, name: str, new: DataFrame) -> None:
         """A5: plain append (run log, quality log)."""
@@ -98,18 +108,16 @@ class TableStore:
 
     def insert_if_absent(self, name: str, new: DataFrame, order_col: str | None = None) -> DataFrame:
         """A3 (INSERT OR IGNORE): drop rows with a NULL in a NOT NULL column, keep the first row per key
-        (by ``order_col`` when given), skip keys already stored, append the rest. Returns the inserted rows."""
+        (by ``order_col`` when given, then by content), skip keys already stored, append the rest. Returns the inserted rows."""
         key = KEYS[name]
-        cand = conform(new, name)
+        columns = [F.col(f.name) for f in TABLES[name].fields]
+        order = [F.col(order_col)] if order_col else []
+        src = new.withColumns({f.name: conform_column(new, name, f) for f in TABLES[name].fields})
         for c in not_null_columns(TABLES[name]):
-            cand = cand.filter(F.col(c).isNotNull())
-        if order_col and order_col in new.columns:
-            src = new
-            for c in not_null_columns(TABLES[name]):
-                src = src.filter(F.col(c).isNotNull())
-            first = src.groupBy(*key).agg(F.min(order_col).alias(order_col))
-            cand = conform(src.join(first, [*key, order_col], "left_semi"), name)
-        cand = cand.dropDuplicates(key)
+            src = src.filter(F.col(c).isNotNull())
+        # the least row by (order_col, content): partial aggregation collapses a hot key
+        first = src.groupBy(*key).agg(F.min(F.struct(*order, F.struct(*columns).alias("kept"))).alias("least"))
+        cand = conform(first.select("least.kept.*"), name)
         p = self.path(name)
         if p is not None:
             cand = cand.join(self.read(name).select(*key), key, "left_anti")

@@ -6,20 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldlake.operators import maintenance as M
+from coldlake.schemas import FACT_ORDER
 from coldlake.sources.tables import TableStore, conform
 
 
+def last_changes(changes: DataFrame) -> DataFrame:
+    """One row per ``order_line_id``: the presence its changes end in and its last inserted row.
+
+    Changes apply in ``seq`` order; without that column, inserts precede cancellations and
+    returns. ``present`` is true after an insert, false after a cancellation, null when the
+    stored line decides; ``returned`` tells of a return that no later cancellation undoes.
+    """
+    rank = F.when(F.col("op") == "insert", 0).when(F.col("op") == "cancel", 1).otherwise(2)
+    seq = F.struct(F.col("seq") if "seq" in changes.columns else rank, rank.alias("rank"))
+    shown = F.col("op").isin("insert", "cancel")
+    row = F.struct(*[F.col(f.name) if f.name in changes.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in FACT_ORDER.fields])
+    last_return, last_cancel = F.max(F.when(F.col("op") == "return", seq)), F.max(F.when(F.col("op") == "cancel", seq))
+    return changes.groupBy("order_line_id").agg(
+        F.max_by(F.when(shown, F.col("op") == "insert"), F.when(shown, seq)).alias("present"),
+        F.max_by(F.when(F.col("op") == "insert", row), F.when(F.col("op") == "insert", seq)).alias("inserted"),
+        F.coalesce(last_return > last_cancel, last_return.isNotNull()).alias("returned"))
+
+
 def apply_order_changes(store: TableStore, changes: DataFrame) -> None:
-    """``changes`` has an ``op`` column ('insert' | 'cancel' | 'return') and fact_order columns
-    (only ``order_line_id`` is needed for cancel/return). Inserts are keyed (A3), cancellations
-    are an anti-join (A6), returns add negated copies with hashed keys (A7) - all replay-safe."""
+    """``changes`` has an ``op`` column ('insert' | 'cancel' | 'return'), optionally ``seq``, and
+    fact_order columns (only ``order_line_id`` is needed for cancel/return). Each line takes its
+    last change: an inserted line replaces a stored one (A4), a cancelled one goes (A6), a
+    returned one gets a negated copy with a hashed key (A7). A replay changes nothing."""
+    last = last_changes(changes)
     orders = store.read("fact_order")
-    ins = conform(changes.filter(F.col("op") == "insert"), "fact_order")
-    cancel = changes.filter(F.col("op") == "cancel").select("order_line_id")
-    ret = changes.filter(F.col("op") == "return").select("order_line_id")
-    merged = orders.join(ins.select("order_line_id"), "order_line_id", "left_anti").unionByName(ins)
-    merged = M.cancel_lines(merged, cancel)
-    merged = M.apply_returns(merged, ret)
+    changed = last.filter(F.col("present").isNotNull()).select("order_line_id")
+    merged = orders.join(changed, "order_line_id", "left_anti").unionByName(
+        conform(last.filter("present").select("inserted.*"), "fact_order"))
+    merged = M.apply_returns(merged, last.filter("returned").select("order_line_id"))
     store.commit("fact_order", merged)
 
 

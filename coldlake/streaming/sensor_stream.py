@@ -8,9 +8,12 @@ same rows, same deterministic keys) changes nothing, and no batch is lost.
 
 from __future__ import annotations
 
+from collections import defaultdict
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from coldlake.config import DEFAULT_RULES, Rules, RunClock
 from coldlake.functions.periods import minute_label
@@ -40,31 +43,54 @@ def commit_sensor_batch(store: TableStore, arrivals: DataFrame, rules: Rules = D
         batch.unpersist()
 
 
-def event_stream(spark: SparkSession, events_dir: str, glob: str = "*.parquet",
-                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming read of the raw event files in a folder, declared schema (no inference)."""
-    r = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", glob)
+def event_stream(spark: SparkSession, events_path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming read of the raw events table, a file or a folder of parts, with its declared
+    schema. A path without any row fails now instead of streaming nothing for ever."""
+    if spark.read.schema(EVENTS_SCHEMA).parquet(events_path).isEmpty():
+        raise FileNotFoundError(f"no events under {events_path}")
+    r = spark.readStream.schema(EVENTS_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(events_dir)
+    path = spark._jvm.org.apache.hadoop.fs.Path(events_path)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isFile():
+        # a stream reads folders: the table that is one file is that file of its folder
+        return r.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
+    return r.parquet(events_path)
 
 
-def start_sensor_pipeline(spark: SparkSession, events_dir: str, store: TableStore, checkpoint: str,
-                          rules: Rules = DEFAULT_RULES, clock: RunClock = RunClock(), glob: str = "events*.parquet",
+def start_sensor_pipeline(spark: SparkSession, events_path: str, store: TableStore, checkpoint: str,
+                          rules: Rules = DEFAULT_RULES, clock: RunClock = RunClock(), max_files_per_trigger: int | None = None,
                           processing_time: str | None = "20 seconds", available_now: bool = False) -> StreamingQuery:
-    """H1: events -> fixture arrivals -> foreachBatch(commit_sensor_batch)."""
-    arrivals = fixtures.arrivals_from_events(event_stream(spark, events_dir, glob), clock)
+    """H1: events -> fixture arrivals -> foreachBatch(commit_sensor_batch).
+
+    A micro-batch is one run: its epoch is the ``batch_id``, so a run is never split over two
+    commits, and its trigger time is the run time. A replayed epoch has the same keys.
+    """
+    arrivals = fixtures.arrivals_from_events(event_stream(spark, events_path, max_files_per_trigger), clock)
 
     def run_batch(df: DataFrame, epoch_id: int) -> None:   # accepts empty micro-batches
-        commit_sensor_batch(store, df, rules, clock)
+        if df.isEmpty():
+            return
+        started = F.lit(datetime.now(timezone.utc)).cast("timestamp")
+        commit_sensor_batch(store, df.withColumn("batch_id", F.lit(epoch_id).cast("long")), rules, clock, started)
 
     w = arrivals.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time)
     return w.start()
 
 
+def start_exact_dedupe(arrivals: DataFrame, store: TableStore, checkpoint: str) -> StreamingQuery:
+    """H2: every event_id is stored once, whatever the batch or the age it comes back at.
+
+    Each micro-batch keeps its first arrival of a key and anti-joins the stored keys, so
+    nothing is dropped by lateness."""
+    w = arrivals.writeStream.foreachBatch(lambda df, _: store.insert_if_absent("raw_sensor_events", df, "arrival_seq"))
+    return w.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def dedupe_within_watermark(arrivals: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """H2 (bounded state): drop repeated event_ids seen within the watermark delay."""
+    """H2 with bounded state, opt-in: repeats within the delay go, and so do rows later than it
+    (``LateRows`` counts those)."""
     return arrivals.withWatermark("event_timestamp", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
@@ -89,12 +115,25 @@ def freshness_state(readings: DataFrame) -> DataFrame:
     return readings.agg(F.max("event_timestamp").alias("latest_event_timestamp"))
 
 
-def late_rows_dropped(query: StreamingQuery) -> int:
-    """H4: rows the watermark dropped as late, summed over the query's recorded progress
-    (Spark counts them in the stateful operators; no extra pass over the data)."""
-    total = 0
-    for p in query.recentProgress:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
-            n = op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict) else op.numRowsDroppedByWatermark
-            total += int(n or 0)
-    return total
+class LateRows(StreamingQueryListener):
+    """H4: rows that watermarks dropped, by query id, over the whole life of the queries.
+
+    Spark counts them in its stateful operators and reports each trigger once; a query's own
+    progress history is bounded, this sum is not. Register with ``spark.streams.addListener``.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: dict[str, int] = defaultdict(int)
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped[str(event.id)] += 0
+
+    def onQueryProgress(self, event) -> None:
+        for op in event.progress.stateOperators:
+            self.dropped[str(event.progress.id)] += op.numRowsDroppedByWatermark or 0
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
