@@ -58,12 +58,15 @@ def random_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
 
 
 def derive_line_measures(lines: DataFrame, products: DataFrame, opex_ratio: float = OPEX_RATIO) -> DataFrame:
-    """Revenue, cost, gross and net profit from quantity, price, discount and the product's unit cost."""
-    q = F.col("quantity").cast(MONEY)
-    price = F.col("unit_price").cast(MONEY)
-    disc = F.col("discount_pct").cast(MONEY)
+    """Revenue, cost, gross and net profit from quantity, price, discount and the product's unit cost.
+
+    Inputs keep eight decimals; only the results are rounded to cents.
+    """
+    q = F.col("quantity").cast("decimal(10,0)")
+    price = F.col("unit_price").cast("decimal(18,8)")
+    disc = F.col("discount_pct").cast("decimal(9,8)")
     rev = (q * price * (F.lit(Decimal(1)) - disc)).cast(MONEY)
-    cost = (q * F.col("unit_cost").cast(MONEY)).cast(MONEY)
+    cost = (q * F.col("unit_cost").cast("decimal(18,8)")).cast(MONEY)
     out = lines.join(products.select("product_id", "unit_cost"), "product_id", "left")
     out = out.withColumns({"revenue": rev, "cost": cost})
     return out.withColumns({

@@ -245,7 +245,7 @@ def data_freshness_seconds(fact: DataFrame, now: Column) -> DataFrame:
     """C20: seconds from the newest reading to ``now``, floored at 0; NULL without readings."""
     latest = fact.agg(F.max("event_timestamp").alias("latest"))
     secs = (F.unix_micros(now) - F.unix_micros(F.col("latest"))).cast("double") / F.lit(1e6)
-    return latest.select(F.greatest(secs, F.lit(0.0)).alias("freshness_seconds"))
+    return latest.select(F.when(F.col("latest").isNotNull(), F.greatest(secs, F.lit(0.0))).alias("freshness_seconds"))
 
 
 # ---------------------------------------------------------------- warehouse (event attribute) reports

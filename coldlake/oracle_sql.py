@@ -145,7 +145,7 @@ dim_shipment AS (
          ({_list(WAREHOUSES)})[(n - 1) % 8 + 1] AS warehouse,
          ({_list(DESTINATIONS)})[(n - 1) % 10 + 1] AS destination
   FROM (SELECT DISTINCT shipment_id, CAST(substr(shipment_id, 6) AS INTEGER) AS n
-        FROM arrivals WHERE shipment_id LIKE 'SHIP-%')
+        FROM arrivals WHERE shipment_id <> '')
 )
 """
 

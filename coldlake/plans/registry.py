@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from coldlake.plans.catalog import Catalog
 from coldlake.session import REQUIRED_CONF
 
-_CATALOGS: dict[tuple[int, str], Catalog] = {}
+_CATALOGS: dict[tuple[str, str], Catalog] = {}
 
 
 def catalog_for(spark: SparkSession, sf_dir: str) -> Catalog:
@@ -21,17 +21,18 @@ def catalog_for(spark: SparkSession, sf_dir: str) -> Catalog:
     for k, v in REQUIRED_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CATALOGS:
         _CATALOGS[key] = Catalog(spark, sf_dir)
     return _CATALOGS[key]
 
 
 def _entries() -> dict[str, tuple]:
-    from coldlake.plans import registry_ops, registry_sales
+    from coldlake.plans import registry_ops, registry_sales, registry_store
     out: dict[str, tuple] = {}
     out.update(registry_ops.QUERIES)
     out.update(registry_sales.QUERIES)
+    out.update(registry_store.QUERIES)
     return out
 
 

@@ -250,7 +250,8 @@ def _c19(c: Catalog):
 
 
 @q("C20_data_freshness_seconds", O.sensor(f"""
-SELECT greatest(epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(event_timestamp)), 0) / 1e6::DOUBLE
+SELECT CASE WHEN count(event_timestamp) > 0
+            THEN greatest(epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(event_timestamp)), 0) / 1e6::DOUBLE END
   AS freshness_seconds FROM fact"""))
 def _c20(c: Catalog):
     return R.data_freshness_seconds(c.fact, F.to_timestamp(F.lit(NOW)))
@@ -366,7 +367,7 @@ def _c34(c: Catalog):
     return R.sensor_correlation_matrix(c.fact)
 
 
-@q("C35_system_health_score", O.sensor(", " + SHIPMENT_HEALTH_SQL.strip() + """,
+HEALTH_CTES = ", " + SHIPMENT_HEALTH_SQL.strip() + """,
 qs AS (
   SELECT round_even(CASE WHEN coalesce(sum(records_checked), 0) = 0 THEN 100.0
             ELSE greatest(0.0, 100.0 - sum(failures)::DOUBLE / sum(records_checked) * 100.0) END, 1) AS q
@@ -375,10 +376,16 @@ qs AS (
 comp AS (
   SELECT coalesce(round_even(100.0::DOUBLE * count(*) FILTER (WHERE temperature_status = 'SAFE') / count(*), 1), 0.0)
     AS c FROM fact
+),
+health AS (
+  SELECT CASE WHEN (SELECT count(*) FROM sh) = 0 THEN 0.0 ELSE
+    round_even((SELECT c FROM comp) * 0.35::DOUBLE + (SELECT avg(health_score) FROM sh) * 0.35::DOUBLE
+               + (SELECT q FROM qs) * 0.30::DOUBLE, 1) END AS system_health_score
 )
-SELECT CASE WHEN (SELECT count(*) FROM sh) = 0 THEN 0.0 ELSE
-  round_even((SELECT c FROM comp) * 0.35::DOUBLE + (SELECT avg(health_score) FROM sh) * 0.35::DOUBLE
-             + (SELECT q FROM qs) * 0.30::DOUBLE, 1) END AS system_health_score"""))
+"""
+
+
+@q("C35_system_health_score", O.sensor(HEALTH_CTES + "SELECT system_health_score FROM health"))
 def _c35(c: Catalog):
     return R.system_health_score(c.fact, c.runs, c.quality)
 
@@ -492,7 +499,18 @@ def _d12(c: Catalog):
     return V.worst_shipments(c.fact)
 
 
-@q("D13_status_labels", None)
+@q("D13_status_labels", O.sensor(HEALTH_CTES.rstrip() + f""",
+fresh AS (
+  SELECT CASE WHEN count(event_timestamp) > 0
+              THEN greatest(epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(event_timestamp)), 0) / 1e6::DOUBLE END AS s
+  FROM fact
+)
+SELECT s AS freshness_seconds,
+       CASE WHEN s < 10 THEN 'HEALTHY' WHEN s < 30 THEN 'WARNING' WHEN s IS NOT NULL THEN 'CRITICAL' END AS freshness_label,
+       system_health_score,
+       CASE WHEN system_health_score >= 75 THEN 'SAFE' WHEN system_health_score >= 50 THEN 'WARNING' ELSE 'CRITICAL' END
+         AS health_band
+FROM fresh, health"""))
 def _d13(c: Catalog):
     return V.status_labels(c.fact, c.runs, c.quality, F.to_timestamp(F.lit(NOW)))
 
@@ -542,24 +560,3 @@ WHERE rn = 1"""))
 def _h06(c: Catalog):
     from coldlake.streaming.sensor_stream import latest_position
     return latest_position(c.fact)
-
-
-@q("H02_dedupe_within_watermark", O.sensor("""
-SELECT DISTINCT event_id, event_timestamp FROM arrivals WHERE event_timestamp IS NOT NULL"""))
-def _h02(c: Catalog):
-    """Runs as a real stream (availableNow) into parquet under the checkpoint folder, then reads it back."""
-    import os
-    import uuid
-
-    from coldlake.session import ensure_checkpoint_dir
-    from coldlake.sources import fixtures
-    from coldlake.streaming.sensor_stream import dedupe_within_watermark, event_stream
-
-    base = os.path.join(ensure_checkpoint_dir(c.spark), f"h02-{uuid.uuid4().hex[:8]}")
-    arrivals = fixtures.arrivals_from_events(event_stream(c.spark, c.sf_dir, "events*.parquet"), c.clock)
-    deduped = dedupe_within_watermark(arrivals.filter(F.col("event_timestamp").isNotNull()))
-    q = (deduped.select("event_id", "event_timestamp").writeStream.format("parquet")
-         .option("path", os.path.join(base, "out")).option("checkpointLocation", os.path.join(base, "ckpt"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return c.spark.read.parquet(os.path.join(base, "out"))

@@ -392,6 +392,11 @@ SELECT CAST(round_even(CAST(CASE WHEN st.lo = st.hi THEN st.lo
 FROM v, st GROUP BY 1""")
 
 
+@q("F23_equal_width_distribution", _dist_sql("v AS (SELECT CAST(quantity AS DOUBLE) AS x FROM fo)"))
+def _f23(c: Catalog):
+    return SD.equal_width_distribution(c.orders, "quantity")
+
+
 @q("F24_revenue_distribution", _dist_sql("v AS (SELECT CAST(revenue AS DOUBLE) AS x FROM fo)"))
 def _f24r(c: Catalog):
     return SD.revenue_distribution(c.orders)

@@ -24,21 +24,7 @@ N_VEHICLES = 30
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance a scan whose file layout gives fewer splits than task slots.
-
-    A single small file with one row group is read by ONE task, and every narrow or
-    broadcast-join step after it stays in that task. Large inputs already come in
-    many splits and are returned unchanged (no extra shuffle at scale). The split
-    count comes from file metadata; no job runs.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pick(values: list[str], idx: Column) -> Column:
@@ -102,13 +88,14 @@ def run_start(batch_id: Column, clock: RunClock = RunClock()) -> Column:
 
 def dim_shipment(spark: SparkSession, sf_dir: str, clock: RunClock = RunClock(),
                  arrivals: DataFrame | None = None) -> DataFrame:
-    """Shipment dimension seeded from the shipment ids observed in the raw events
-    ('SHIP-nnnn'): category, warehouse and destination by position n, bounds from the
-    category's safe range (A15, A16). Grows with the data; a distinct over one column.
+    """Shipment dimension seeded from the shipment ids observed in the raw events: category,
+    warehouse and destination by position n ('SHIP-nnnn', else a checksum of the id), bounds
+    from the category's safe range (A15, A16). Grows with the data; a distinct over one column.
     ``arrivals`` may be a frame already holding the arrivals (e.g. a persisted batch)."""
     src = arrivals if arrivals is not None else raw_sensor_arrivals(spark, sf_dir, clock)
-    ids = src.select("shipment_id").filter(F.col("shipment_id").startswith("SHIP-")).distinct()
-    n = F.substring("shipment_id", 6, 10).cast("int")
+    ids = src.select("shipment_id").filter(F.col("shipment_id") != F.lit("")).distinct()
+    number = F.regexp_extract("shipment_id", r"^SHIP-([0-9]{1,9})$", 1)
+    n = F.when(number != "", number.try_cast("int")).otherwise((F.crc32(F.encode("shipment_id", "UTF-8")) % 480 + 1).cast("int"))
     df = ids.select(
         "shipment_id",
         _pick(FOOD_CATEGORIES, (n - 1) % 12).alias("food_category"),
