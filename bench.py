@@ -35,7 +35,7 @@ def main() -> None:
     from coldlake.plans import registry
     from coldlake.plans.catalog import DIM_TABLES, SALES_TABLES, SENSOR_TABLES
 
-    extra = {"spark.driver.memory": "16g", "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024)}
+    extra = {"spark.driver.memory": "16g"}
     if os.environ.get("BENCH_EVENTLOG"):
         # stage and task times for inspection, written to the scratch folder
         extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": scratch})

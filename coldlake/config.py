@@ -63,10 +63,6 @@ REGION_GEO: dict[str, tuple[float, float]] = {
 }
 DEFAULT_GEO: tuple[float, float] = (20.0, 78.0)
 
-SALES_CHANNELS: list[str] = [
-    "Online", "Retail", "Wholesale", "Distributor", "Direct",
-    "Franchise", "Export", "Government", "Institutional",
-]
 WEEKDAYS: list[str] = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 
 # Customer segments: right-closed revenue bins (lower, upper] and their labels.

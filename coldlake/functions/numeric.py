@@ -20,11 +20,6 @@ def money(c: str | Column, digits: int = 2) -> Column:
     return F.bround(col(c), digits).cast("double")
 
 
-def ratio(num: str | Column, den: str | Column) -> Column:
-    """num / den as double; NULL when den is 0 or NULL (never raises under ANSI)."""
-    return F.try_divide(col(num).cast("double"), col(den).cast("double"))
-
-
 def pct(num: str | Column, den: str | Column) -> Column:
     """100 * num / den; NULL when den is 0."""
     return F.try_divide(F.lit(100.0) * col(num).cast("double"), col(den).cast("double"))
@@ -34,16 +29,6 @@ def count_when(cond: Column) -> Column:
     return F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0)))
 
 
-def share_when(cond: Column) -> Column:
-    """Aggregate: 100 * (#rows where cond) / #rows."""
-    return F.try_divide(F.lit(100.0) * count_when(cond), F.count(F.lit(1)).cast("double"))
-
-
-def safe_pct(status_col: str = "temperature_status") -> Column:
-    """Aggregate: percentage of readings whose temperature status is SAFE."""
-    return share_when(F.col(status_col) == F.lit("SAFE"))
-
-
 def truncate_bucket(c: str | Column, width: int) -> Column:
     """CAST(x / width AS INTEGER) * width: truncation toward zero."""
     return (col(c) / F.lit(width)).cast("int") * F.lit(width)

@@ -11,8 +11,8 @@ def attach_scalars(base: DataFrame, *one_row_frames: DataFrame) -> DataFrame:
     """Combine one-row aggregates (with distinct column names) into one row - one job, no join.
 
     The frames are stacked with ``unionByName`` (missing columns NULL) and folded with
-    ``max``; each column is non-NULL in exactly one input row. Branches that share a
-    subplan (e.g. the same pre-aggregate) reuse its exchange instead of re-scanning.
+    ``max``; each column is non-NULL in exactly one input row. Every branch scans for itself
+    unless its pruned plan equals another's.
     """
     frames = [base, *one_row_frames]
     cols: list[str] = []
@@ -40,14 +40,15 @@ def stat(c: Column, digits: int = 6) -> Column:
     return F.bround(c.cast("double"), digits)
 
 
-def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str, partitions: int | None = None) -> DataFrame:
+def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str, partitions: int | None = None,
+               total: str | None = None) -> DataFrame:
     """Running sum of ``value`` in ``order`` without a global (single-task) window.
 
     1. range-partition on the order keys (balanced, contiguous ranges) and sort within partitions;
     2. checkpoint to the shared checkpoint folder, so the ranges are fixed for both uses below;
     3. per-partition totals -> exclusive offsets (one row per partition: a proven size bound,
        hence broadcast);
-    4. running sum inside each partition plus its offset.
+    4. running sum inside each partition plus its offset; ``total`` names a column for the whole sum.
     """
     from coldlake.session import ensure_checkpoint_dir
 
@@ -57,8 +58,9 @@ def prefix_sum(df: DataFrame, order: list[Column], value: str, out: str, partiti
     ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
               .withColumn("_pid", F.spark_partition_id()).checkpoint())
     totals = ranged.groupBy("_pid").agg(F.sum(value).alias("_t"))
+    whole = [F.sum("_t").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias(total)] if total else []
     offsets = totals.select("_pid", F.coalesce(
-        F.sum("_t").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+        F.sum("_t").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"), *whole)
     running = F.sum(value).over(W.partitionBy("_pid").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     return (ranged.join(F.broadcast(offsets), "_pid")
             .withColumn(out, running + F.col("_off")).drop("_pid", "_off"))

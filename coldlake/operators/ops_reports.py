@@ -150,8 +150,8 @@ def latest_vehicle_locations(fact: DataFrame) -> DataFrame:
                          "r.event_timestamp")
 
 
-def shipment_health(fact: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Per-shipment health score and band (band judged on the rounded score), ascending."""
+def shipment_health_exact(fact: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """Per-shipment unrounded statistics with the rounded health score and its band."""
     n = F.count(F.lit(1))
     per = fact.groupBy("shipment_id").agg(
         F.avg("risk_score").alias("avg_risk"),
@@ -160,9 +160,14 @@ def shipment_health(fact: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
         pct(count_when(F.col("door_open") == 0), n).alias("door_discipline"))
     health = half_even(F.col("temp_compliance") * F.lit(0.4) + (F.lit(100.0) - F.col("avg_risk")) * F.lit(0.3)
                        + F.col("avg_battery") * F.lit(0.15) + F.col("door_discipline") * F.lit(0.15), 1)
-    out = per.withColumn("health_score", health).withColumn(
+    return per.withColumn("health_score", health).withColumn(
         "status", F.when(F.col("health_score") >= rules.health_healthy, F.lit("HEALTHY"))
         .when(F.col("health_score") >= rules.health_watch, F.lit("WATCH")).otherwise(F.lit("AT RISK")))
+
+
+def shipment_health(fact: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """Per-shipment health score and band (band judged on the rounded score), ascending."""
+    out = shipment_health_exact(fact, rules)
     return out.select("shipment_id", *[stat(F.col(c)).alias(c) for c in
                                        ("avg_risk", "temp_compliance", "avg_battery", "door_discipline")],
                       "health_score", "status").orderBy("health_score", "shipment_id")
@@ -250,20 +255,20 @@ def data_freshness_seconds(fact: DataFrame, now: Column) -> DataFrame:
 
 # ---------------------------------------------------------------- warehouse (event attribute) reports
 
-def _with_event_warehouse(fact: DataFrame, raw: DataFrame) -> DataFrame:
+def with_event_warehouse(fact: DataFrame, raw: DataFrame) -> DataFrame:
     return fact.join(raw.select("event_id", "warehouse"), "event_id")
 
 
 def status_by_warehouse(fact: DataFrame, raw: DataFrame) -> DataFrame:
     """By the event's own warehouse (fact joined with raw on event_id)."""
-    return (_with_event_warehouse(fact, raw).groupBy("warehouse").agg(
+    return (with_event_warehouse(fact, raw).groupBy("warehouse").agg(
         F.count(F.lit(1)).alias("readings"), stat(F.avg("risk_score")).alias("avg_risk"))
         .orderBy(F.col("avg_risk").desc(), "warehouse"))
 
 
 def warehouse_comparison(fact: DataFrame, raw: DataFrame) -> DataFrame:
     """C19 plus SAFE share."""
-    return (_with_event_warehouse(fact, raw).groupBy("warehouse").agg(
+    return (with_event_warehouse(fact, raw).groupBy("warehouse").agg(
         F.count(F.lit(1)).alias("readings"), stat(F.avg("risk_score")).alias("avg_risk"),
         stat(pct(count_when(_safe()), F.count(F.lit(1)))).alias("compliance_pct"))
         .orderBy(F.col("avg_risk").desc(), "warehouse"))
@@ -341,7 +346,7 @@ def warehouse_food_risk_flow(fact: DataFrame, raw: DataFrame, dim_shipment: Data
 
     Counted at (warehouse, shipment, level) grain first; only that small frame meets the dimension.
     """
-    per = (_with_event_warehouse(fact, raw).groupBy("warehouse", "shipment_id", "risk_level")
+    per = (with_event_warehouse(fact, raw).groupBy("warehouse", "shipment_id", "risk_level")
            .agg(F.count(F.lit(1)).alias("n")))
     return (per.join(dim_shipment.select("shipment_id", "food_category"), "shipment_id")
             .groupBy("warehouse", "food_category", "risk_level").agg(F.sum("n").cast("long").alias("count")))
@@ -351,30 +356,32 @@ CORR_COLUMNS = ["temperature_c", "humidity_pct", "battery_pct", "speed_kmh", "ri
 
 
 def correlation_long(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
-    """Pearson matrix in long form (var_x, var_y, corr) from ONE aggregate.
+    """Pearson matrix in long form (var_x, var_y, corr) from ONE pass of shifted sums.
 
-    corr = covar_pop / (stddev_pop * stddev_pop) with try_divide: zero variance gives NULL
-    (pandas NaN) instead of an ANSI division error. Rows with a NULL in any of the columns
-    are dropped first (the validated tables have none), so the per-column stddev aggregates
-    are shared by all pairs. Diagonal = 1.0 unless the variance is 0.
+    Each column is shifted by its mean, a scalar subquery, so that the sums of squares and
+    products lose no digits; a plain sum costs a fraction of a moment aggregate. A constant
+    column gives NULL (pandas NaN). Rows with a NULL in any of the columns are dropped first
+    (the validated tables have none). Diagonal = 1.0 unless the column is constant.
     """
     data = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    sd = {c: F.stddev_pop(c) for c in columns}
-    aggs = []
-    for i, a in enumerate(columns):
-        aggs.append(F.when(sd[a] > 0, F.lit(1.0)).alias(f"{a}__{a}"))
-        for b in columns[i + 1:]:
-            r = F.try_divide(F.covar_pop(a, b), sd[a] * sd[b])
-            aggs.append(half_even(r, digits).alias(f"{a}__{b}"))
-    wide = data.agg(*aggs)
+    means = data.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("m")).scalar()
+    shifted = data.select(*[(F.col(c) - means[c]).alias(c) for c in columns])
+    sums = shifted.agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in columns],
+        *[(F.max(c) > F.min(c)).alias(f"varies_{c}") for c in columns],
+        *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}__{b}") for i, a in enumerate(columns) for b in columns[i:]])
+
+    def moment(a: str, b: str) -> Column:
+        return F.col(f"p_{a}__{b}") - F.try_divide(F.col(f"s_{a}") * F.col(f"s_{b}"), F.col("n"))
     pairs = []
     for i, a in enumerate(columns):
-        for b in columns[i:]:
-            pairs.append(F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"), F.col(f"{a}__{b}").alias("corr")))
-            if a != b:
-                pairs.append(F.struct(F.lit(b).alias("var_x"), F.lit(a).alias("var_y"),
-                                      F.col(f"{a}__{b}").alias("corr")))
-    return wide.select(F.explode(F.array(*pairs)).alias("p")).select("p.var_x", "p.var_y", "p.corr")
+        pairs.append(F.struct(F.lit(a).alias("var_x"), F.lit(a).alias("var_y"), F.when(F.col(f"varies_{a}"), F.lit(1.0)).alias("corr")))
+        for b in columns[i + 1:]:
+            r = F.when(F.col(f"varies_{a}") & F.col(f"varies_{b}"), F.try_divide(moment(a, b), F.sqrt(moment(a, a) * moment(b, b))))
+            rounded = half_even(r, digits) + F.lit(0.0)          # no negative zero
+            for x, y in ((a, b), (b, a)):
+                pairs.append(F.struct(F.lit(x).alias("var_x"), F.lit(y).alias("var_y"), rounded.alias("corr")))
+    return sums.select(F.explode(F.array(*pairs)).alias("p")).select("p.var_x", "p.var_y", "p.corr")
 
 
 def sensor_correlation_matrix(fact: DataFrame) -> DataFrame:

@@ -34,8 +34,9 @@ def _first_of(report: DataFrame, metric: str, name: str, alias: str, default: st
 def leaders(fact: DataFrame, incidents: DataFrame, raw: DataFrame) -> DataFrame:
     """D3: top incident type, highest-risk (event) warehouse, riskiest vehicle."""
     top_type = _first_of(R.incident_type_counts(incidents), "count", "incident_type", "top_incident_type", "None")
-    wh = _first_of(R.status_by_warehouse(fact, raw), "avg_risk", "warehouse", "riskiest_warehouse", "N/A")
-    veh = _first_of(R.vehicle_health(fact), "avg_risk", "vehicle_id", "riskiest_vehicle", "N/A")
+    risk = F.avg("risk_score").alias("avg_risk")          # unrounded: rounding must not make ties
+    wh = _first_of(R.with_event_warehouse(fact, raw).groupBy("warehouse").agg(risk), "avg_risk", "warehouse", "riskiest_warehouse", "N/A")
+    veh = _first_of(fact.groupBy("vehicle_id").agg(risk), "avg_risk", "vehicle_id", "riskiest_vehicle", "N/A")
     return attach_scalars(top_type, wh, veh)
 
 
@@ -111,7 +112,7 @@ def throughput_indexed(runs: DataFrame, limit: int = 25) -> DataFrame:
 
 def worst_shipments(fact: DataFrame, limit: int = 15) -> DataFrame:
     """Lowest health scores."""
-    sh = R.shipment_health(fact)
+    sh = R.shipment_health_exact(fact)
     return sh.orderBy("health_score", "shipment_id").limit(limit).select(
         "shipment_id", "health_score", half_even("avg_risk", 1).alias("avg_risk"),
         half_even("temp_compliance", 1).alias("temp_compliance"), "status")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from coldlake.config import DEFAULT_GEO, REGION_GEO
+from coldlake.config import DEFAULT_GEO, DEFAULT_RULES, REGION_GEO, Rules
 from coldlake.functions.numeric import half_even, money, pct
 from coldlake.operators.common import prefix_sum
 
@@ -101,8 +101,9 @@ def pareto(df: DataFrame) -> DataFrame:
     offsets), so no single task ever holds all products.
     """
     s = _sum_by(df, ["product_id"])
-    run = prefix_sum(s, [F.col("revenue").desc(), F.col("product_id").asc()], "revenue", "cumulative_revenue")
-    total = df.agg(F.sum("revenue").alias("t")).scalar()
+    order = [F.col("revenue").desc(), F.col("product_id").asc()]
+    run = prefix_sum(s, order, "revenue", "cumulative_revenue", total="total").orderBy(*order)
+    total = F.col("total")
     cum_pct = F.when(total == 0, F.lit(0.0)).otherwise(half_even(pct("cumulative_revenue", total), 1))
     return run.select("product_id", money("revenue").alias("revenue"),
                       money("cumulative_revenue").alias("cumulative_revenue"), cum_pct.alias("cumulative_pct"))
@@ -144,8 +145,9 @@ def channel_margin(df: DataFrame) -> DataFrame:
 
 
 def regional_performance(df: DataFrame) -> DataFrame:
-    """F54."""
-    return df.groupBy("region").agg(money(F.sum("revenue")).alias("revenue"),
+    """lines meet at (region, order, customer) grain first; only that expands for the two distinct counts."""
+    per = df.groupBy("region", "order_id", "customer_id").agg(F.sum("revenue").alias("revenue"))
+    return per.groupBy("region").agg(money(F.sum("revenue")).alias("revenue"),
                                     F.count_distinct("order_id").alias("orders"),
                                     F.count_distinct("customer_id").alias("customers"))
 
@@ -183,7 +185,7 @@ def latest_orders(df: DataFrame, limit: int = 50) -> DataFrame:
                       money("revenue").alias("revenue"), "discount_pct")
 
 
-def score_band(score: Column, good: float = 70.0, fair: float = 50.0) -> Column:
+def score_band(score: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """Executive score band."""
-    return (F.when(score >= good, F.lit("POSITIVE")).when(score >= fair, F.lit("NEUTRAL"))
+    return (F.when(score >= rules.exec_good, F.lit("POSITIVE")).when(score >= rules.exec_fair, F.lit("NEUTRAL"))
             .otherwise(F.lit("NEGATIVE")))

@@ -7,14 +7,61 @@ a plain SQL statement over them. Used by ``__spark_entry__.oracle_sql`` and the
 
 from __future__ import annotations
 
-from coldlake.config import (DELIVERY_STATUSES, DESTINATIONS, FOOD_CATEGORIES, TEMP_RANGES, WAREHOUSES)
-
-
-def _list(values: list[str]) -> str:
-    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-_RANGES = ", ".join(f"('{k}', {lo}::DOUBLE, {hi}::DOUBLE)" for k, (lo, hi) in TEMP_RANGES.items())
+# Fixed values, written out here so that the oracle shares no constant with the operators.
+_WAREHOUSES = (
+    "['North Hub', "
+    "'Central Hub', "
+    "'East Hub', "
+    "'South Hub', "
+    "'West Hub', "
+    "'Airport Hub', "
+    "'Port Hub', "
+    "'Industrial Hub']")
+_DESTINATIONS = (
+    "['Retail District', "
+    "'Restaurant District', "
+    "'Airport', "
+    "'Hospital Zone', "
+    "'Market District', "
+    "'Hotel District', "
+    "'School Zone', "
+    "'Office Park', "
+    "'Residential Complex', "
+    "'Sports Stadium']")
+_FOOD_CATEGORIES = (
+    "['Frozen Seafood', "
+    "'Ice Cream', "
+    "'Fresh Meat', "
+    "'Dairy', "
+    "'Fresh Produce', "
+    "'Beverages', "
+    "'Baked Goods', "
+    "'Poultry', "
+    "'Organic', "
+    "'Ready-to-Eat', "
+    "'Confectionery', "
+    "'Snacks']")
+_DELIVERY_STATUSES = (
+    "['IN_TRANSIT', "
+    "'LOADING', "
+    "'DELIVERED', "
+    "'DELAYED', "
+    "'CUSTOMS_HOLD', "
+    "'RETURNED']")
+_RANGES = (
+    "('Frozen Seafood', -25.0::DOUBLE, -12.0::DOUBLE), "
+    "('Ice Cream', -30.0::DOUBLE, -15.0::DOUBLE), "
+    "('Fresh Meat', -2.0::DOUBLE, 6.0::DOUBLE), "
+    "('Dairy', 0.0::DOUBLE, 8.0::DOUBLE), "
+    "('Fresh Produce', 2.0::DOUBLE, 12.0::DOUBLE), "
+    "('Beverages', 2.0::DOUBLE, 10.0::DOUBLE), "
+    "('Baked Goods', 15.0::DOUBLE, 25.0::DOUBLE), "
+    "('Poultry', -2.0::DOUBLE, 4.0::DOUBLE), "
+    "('Organic', 2.0::DOUBLE, 10.0::DOUBLE), "
+    "('Ready-to-Eat', 2.0::DOUBLE, 8.0::DOUBLE), "
+    "('Confectionery', 15.0::DOUBLE, 25.0::DOUBLE), "
+    "('Snacks', 15.0::DOUBLE, 25.0::DOUBLE)"
+)
 
 SENSOR_CTES = f"""
 ev AS (
@@ -31,9 +78,9 @@ arrivals AS (
               ELSE 'SHIP-' || lpad(CAST(k % 60 + 1 AS VARCHAR), 4, '0') END AS shipment_id,
          CASE WHEN event_id % 983 = 5 THEN NULL
               ELSE 'V' || lpad(CAST(user_id % 30 + 1 AS VARCHAR), 3, '0') END AS vehicle_id,
-         ({_list(WAREHOUSES)})[user_id % 8 + 1] AS warehouse,
-         ({_list(DESTINATIONS)})[user_id % 10 + 1] AS destination,
-         ({_list(FOOD_CATEGORIES)})[user_id % 12 + 1] AS food_category,
+         ({_WAREHOUSES})[user_id % 8 + 1] AS warehouse,
+         ({_DESTINATIONS})[user_id % 10 + 1] AS destination,
+         ({_FOOD_CATEGORIES})[user_id % 12 + 1] AS food_category,
          CAST(round(CAST(value AS DECIMAL(18,2)) % 52 - 11.5, 2) AS DOUBLE) AS temperature_c,
          CAST(round((CAST(value AS DECIMAL(18,2)) * 7) % 102, 1) AS DOUBLE) AS humidity_pct,
          18.9::DOUBLE + k / 300 AS latitude,
@@ -41,7 +88,7 @@ arrivals AS (
          CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS door_open,
          CASE WHEN event_id % 967 = 8 THEN 101.0::DOUBLE ELSE CAST(k AS DOUBLE) END AS battery_pct,
          CAST(round((CAST(value AS DECIMAL(18,2)) * 3) % 162, 1) AS DOUBLE) AS speed_kmh,
-         ({_list(DELIVERY_STATUSES)})[event_id % 6 + 1] AS delivery_status,
+         ({_DELIVERY_STATUSES})[event_id % 6 + 1] AS delivery_status,
          event_id // 500 AS batch_id,
          TIMESTAMP '2024-02-01 00:00:00' + to_seconds(CAST((event_id // 500) * 20 AS BIGINT)) AS run_time,
          arrival_seq
@@ -141,9 +188,9 @@ quality AS (
 ),
 dim_shipment AS (
   SELECT shipment_id,
-         ({_list(FOOD_CATEGORIES)})[(n - 1) % 12 + 1] AS food_category,
-         ({_list(WAREHOUSES)})[(n - 1) % 8 + 1] AS warehouse,
-         ({_list(DESTINATIONS)})[(n - 1) % 10 + 1] AS destination
+         ({_FOOD_CATEGORIES})[(n - 1) % 12 + 1] AS food_category,
+         ({_WAREHOUSES})[(n - 1) % 8 + 1] AS warehouse,
+         ({_DESTINATIONS})[(n - 1) % 10 + 1] AS destination
   FROM (SELECT DISTINCT shipment_id, CAST(substr(shipment_id, 6) AS INTEGER) AS n
         FROM arrivals WHERE shipment_id <> '')
 )

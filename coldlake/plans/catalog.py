@@ -27,8 +27,6 @@ SENSOR_TABLES = ["raw_sensor_events", "fact_sensor_reading", "fact_incident", "r
                  "pipeline_runs", "data_quality_results"]
 DIM_TABLES = ["dim_shipment", "dim_vehicle"]
 SALES_TABLES = ["fact_order", "dim_customer", "dim_product"]
-# raw and fact readings are joined on event_id (C19, C31, C33): store both bucketed on it
-BUCKET_KEYS = {"raw_sensor_events": "event_id", "fact_sensor_reading": "event_id"}
 # order lines are stored partitioned by year: date filters (E3) and the purge (A8) prune partitions
 PARTITION_COLS = {"fact_order": ("order_year", lambda: F.year("order_date"))}
 
@@ -41,7 +39,6 @@ class Catalog:
         self.rules = rules
         self.clock = clock
         self._stored: dict[str, str] = {}
-        self._bucketed: dict[str, str] = {}
         self._persisting = False
 
     @cached_property
@@ -67,8 +64,6 @@ class Catalog:
         return builders[name]()
 
     def table(self, name: str) -> DataFrame:
-        if name in self._bucketed:
-            return self.spark.table(self._bucketed[name])
         if name in self._stored:
             return self.spark.read.parquet(self._stored[name])
         return self._build(name)
@@ -83,7 +78,7 @@ class Catalog:
         return self.table(alias.get(name, name))
 
     def materialize(self, names: list[str] | None = None, base_dir: str | None = None,
-                    buckets: int | None = None, parallel_writes: int = 4) -> dict[str, str]:
+                    parallel_writes: int = 4) -> dict[str, str]:
         """Write the given tables once (sensor outputs share one persisted labelled batch)."""
         names = names or SENSOR_TABLES + DIM_TABLES + SALES_TABLES
         base = base_dir or os.path.join(ensure_checkpoint_dir(self.spark), f"catalog-{uuid.uuid4().hex[:8]}")
@@ -91,19 +86,10 @@ class Catalog:
         if sensor:
             self.sensor_batch.persist_labelled()
             self._persisting = True
-        buckets = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        tag = uuid.uuid4().hex[:8]
 
         def write(n: str) -> None:
             path = os.path.join(base, n)
-            if n in BUCKET_KEYS:
-                # external bucketed table: joins on the bucket key between equally bucketed
-                # tables need no exchange on either side
-                tname = f"coldlake_{n}_{tag}"
-                (self._build(n).write.mode("overwrite").option("path", path)
-                 .bucketBy(buckets, BUCKET_KEYS[n]).sortBy(BUCKET_KEYS[n]).saveAsTable(tname))
-                self._bucketed[n] = tname
-            elif n in PARTITION_COLS:
+            if n in PARTITION_COLS:
                 col, expr = PARTITION_COLS[n]
                 self._build(n).withColumn(col, expr()).write.mode("overwrite").partitionBy(col).parquet(path)
             else:

@@ -357,7 +357,7 @@ def corr_sql(source: str, columns: list[str]) -> str:
                 expr = f"CASE WHEN stddev_pop({a}::DOUBLE) > 0 THEN 1.0::DOUBLE END"
             else:
                 expr = (f"round_even(covar_pop({a}::DOUBLE, {b}::DOUBLE) / "
-                        f"nullif(stddev_pop({a}::DOUBLE) * stddev_pop({b}::DOUBLE), 0), 2)")
+                        f"nullif(stddev_pop({a}::DOUBLE) * stddev_pop({b}::DOUBLE), 0), 2) + 0.0::DOUBLE")
             parts.append(f"SELECT '{a}' AS var_x, '{b}' AS var_y, (SELECT {expr} FROM {source}) AS corr")
     return "\nUNION ALL ".join(parts)
 
@@ -408,8 +408,8 @@ def _d02(c: Catalog):
 SELECT coalesce((SELECT incident_type FROM incidents GROUP BY incident_type ORDER BY count(*) DESC, incident_type
                  LIMIT 1), 'None') AS top_incident_type,
        coalesce((SELECT r.warehouse FROM fact f JOIN raw r ON r.event_id = f.event_id GROUP BY r.warehouse
-                 ORDER BY round_even(avg(f.risk_score), 6) DESC, r.warehouse LIMIT 1), 'N/A') AS riskiest_warehouse,
-       coalesce((SELECT vehicle_id FROM fact GROUP BY vehicle_id ORDER BY round_even(avg(risk_score), 6) DESC,
+                 ORDER BY avg(f.risk_score) DESC, r.warehouse LIMIT 1), 'N/A') AS riskiest_warehouse,
+       coalesce((SELECT vehicle_id FROM fact GROUP BY vehicle_id ORDER BY avg(risk_score) DESC,
                  vehicle_id LIMIT 1), 'N/A') AS riskiest_vehicle"""))
 def _d03(c: Catalog):
     return V.leaders(c.fact, c.incidents, c.raw)
@@ -491,8 +491,8 @@ def _d11(c: Catalog):
 
 
 @q("D12_worst_shipments", O.sensor(", " + SHIPMENT_HEALTH_SQL.strip() + """
-SELECT shipment_id, health_score, round_even(round_even(avg_risk, 6), 1) AS avg_risk,
-       round_even(round_even(temp_compliance, 6), 1) AS temp_compliance,
+SELECT shipment_id, health_score, round_even(avg_risk, 1) AS avg_risk,
+       round_even(temp_compliance, 1) AS temp_compliance,
        CASE WHEN health_score >= 75 THEN 'HEALTHY' WHEN health_score >= 50 THEN 'WATCH' ELSE 'AT RISK' END AS status
 FROM sh ORDER BY health_score, shipment_id LIMIT 15"""))
 def _d12(c: Catalog):
