@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from coldlake.llm.decontaminate import words
 
 #: Labelled rows of each class that the tagger is fitted on: the bound of the training sample.
-SAMPLE = {1: 1200, 0: 2400}
+SAMPLE = {1: 800, 0: 1600}
+#: Longer texts are scored like any other but not drawn into the training sample.
+SAMPLE_BYTES = 20_000
 FEATURE_BITS = 18
 EPOCHS = 30
 THRESHOLD = 0.3
-#: A token of a toxic document counts as toxic from this log-likelihood ratio of its word or prefix on.
-MIN_EVIDENCE = 14.0
+#: A word or prefix is telling from a log-likelihood ratio of this much over 2 ln(candidates) on.
+MIN_EVIDENCE = 6.0
 CACHE_WORDS = 300_000
 _WORD = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
 
@@ -112,7 +114,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, held_out
     """A bounded sample of labelled whole texts per class, by id hash, and the class totals.
 
     Only ids outside ``held_out`` and labels 0 or 1 count. The ids, at most the sum of
-    ``sample``, are broadcast to fetch their texts.
+    ``sample``, are broadcast to fetch their texts; texts over SAMPLE_BYTES are not drawn.
     """
     known = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -125,8 +127,8 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, held_out
         return [], totals
     spark = docs.sparkSession
     few = spark.createDataFrame([(r["doc_id"], r["y"]) for r in ids], "doc_id long, y int")
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id")
-            .select(F.coalesce("text", F.lit("")).alias("text"), "y").distinct().limit(4 * sum(sample.values())).collect())
+    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(few), "doc_id")
+            .select("text", "y").distinct().limit(2 * sum(sample.values())).collect())
     return sorted((r["text"].encode(), r["y"]) for r in rows), totals
 
 
@@ -168,13 +170,19 @@ def train(sample: list[tuple[bytes, int]], totals: dict, epochs: int = EPOCHS) -
     empty = Crf(np.zeros(1 << FEATURE_BITS), -12.0, 0.0, np.array([-3.0, 0.0, 0.0]), np.array([np.log(prior / (1 - prior)), 0, 0]))
     if not size[0] or not size[1]:
         return empty
-    seen = {0: Counter(), 1: Counter()}
+    toxic, clean = Counter(), Counter()
     for ws, y in docs:
-        seen[y].update({k for w in set(ws) for k in _evidence_keys(w)})
-    keys = list(seen[1])
-    g2 = _log_likelihood(np.array([seen[1][k] for k in keys]), size[1], np.array([seen[0][k] for k in keys]), size[0])
-    telling = {k for k, g in zip(keys, g2, strict=True) if g >= MIN_EVIDENCE}
-    del seen
+        if y == 1:
+            toxic.update({k for w in set(ws) for k in _evidence_keys(w)})
+    toxic = {k: n for k, n in toxic.items() if n > 2}
+    for ws, y in docs:
+        if y == 0:
+            clean.update({k for w in set(ws) for k in _evidence_keys(w) if k in toxic})
+    keys = list(toxic)
+    g2 = _log_likelihood(np.array([toxic[k] for k in keys]), size[1], np.array([clean[k] for k in keys]), size[0])
+    least = MIN_EVIDENCE + 2 * np.log(len(keys) + 1)  # many candidates meet some ratio by chance
+    telling = {k for k, g in zip(keys, g2, strict=True) if g >= least}
+    del toxic, clean
     types: dict[bytes, int] = {}
     ids = np.array([types.setdefault(w, len(types)) for ws, _ in docs for w in ws], dtype=np.int64)
     lengths = np.array([len(ws) for ws, _ in docs])
