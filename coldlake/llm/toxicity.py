@@ -23,6 +23,8 @@ EPOCHS = 30
 THRESHOLD = 0.3
 #: A word or prefix is telling from a log-likelihood ratio of this much over 2 ln(candidates) on.
 MIN_EVIDENCE = 6.0
+#: Least marginal that counts towards a document's sum.
+MIN_MARGINAL = 0.2
 CACHE_WORDS = 300_000
 _WORD = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
 
@@ -227,12 +229,15 @@ def train(sample: list[tuple[bytes, int]], totals: dict, epochs: int = EPOCHS) -
 
 
 def document_sums(marg: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Greatest marginal and sum of marginals of each document; zero without words."""
+    """Greatest marginal and sum of marginals of each document; zero without words.
+
+    Marginals under MIN_MARGINAL are the tagger's background: they don't add up in long texts.
+    """
     top, total = np.zeros(len(lengths)), np.zeros(len(lengths))
     full = lengths > 0
     if full.any():
         at = np.concatenate(([0], np.cumsum(lengths)[:-1]))[full]
-        top[full], total[full] = np.maximum.reduceat(marg, at), np.add.reduceat(marg, at)
+        top[full], total[full] = np.maximum.reduceat(marg, at), np.add.reduceat(np.where(marg >= MIN_MARGINAL, marg, 0.0), at)
     return top, total
 
 
