@@ -20,6 +20,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BLOCK = 256
+#: Spans before and after one that its context terms must not overlap.
+_NEARBY = 32
 
 
 @dataclass(frozen=True)
@@ -93,8 +95,11 @@ def base_spans(docs: DataFrame, window: int = 64, id_col: str = "doc_id", text_c
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     for kind in KINDS:
         df = _with_spans(df, kind, window)
-    spans = F.array_sort(F.concat(*[F.col(k) for k in KINDS]))
-    return staged(df.select("doc_id", F.xxhash64("body").alias("t"), F.transform(spans, lambda s: s.dropFields("raw")).alias("base")), "base")
+    df = df.select("doc_id", F.xxhash64("body").alias("t"), F.array_sort(F.concat(*[F.col(k) for k in KINDS])).alias("all"))
+    df = df.withColumn("at", F.transform("all", lambda s: F.struct(s["start"], s["end"])))
+    # Bounded neighbours travel with each span, so that exploding the spans stays linear.
+    near = F.transform("all", lambda s, i: s.dropFields("raw").withField("nearby", F.slice("at", F.greatest(i - _NEARBY + 1, F.lit(1)), F.least(F.lit(2 * _NEARBY), F.size("at")))))
+    return staged(df.select("doc_id", "t", near.alias("base")), "base")
 
 
 def _terms(side: Column, at: Column, far_cut: Column) -> Column:
@@ -114,26 +119,31 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, rule: Disclosure = Disclo
     add no evidence: PMI(term, entity) = log2(n(both) N / (n(term) n(entity))), and the term
     discloses the entity when PMI / log2(N / n(entity)) reaches the threshold. n(term) is over
     all documents, n(both) over contexts of the entity. Context terms grow with the number of
-    base spans, not with its square. Terms inside a base span are left out.
+    base spans, not with its square. Terms inside one of the nearest base spans are left out.
     """
-    span = base.select("doc_id", "t", "base", F.explode("base").alias("s"))
+    span = base.select("doc_id", "t", F.explode("base").alias("s"))
     left = _terms(F.col("s.left"), F.col("s.start") - F.char_length("s.left"), lambda w: (w["o"] == 0) & (F.char_length("s.left") == rule.window))
     right = _terms(F.col("s.right"), F.col("s.end"), lambda w: (w["p"] == F.char_length("s.right")) & (F.char_length("s.right") == rule.window))
-    near = (span.select("doc_id", "t", "base", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(F.concat(left, right)).alias("w"))
-            .where(~F.exists("base", lambda s: (s["start"] < F.col("w.end")) & (s["end"] > F.col("w.start"))))
+    near = (span.select("doc_id", "t", F.col("s.nearby").alias("nearby"), F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(F.concat(left, right)).alias("w"))
+            .where(~F.exists("nearby", lambda s: (s["start"] < F.col("w.end")) & (s["end"] > F.col("w.start"))))
             .select("doc_id", "t", "entity", "w.term", "w.start", "w.end"))
     near = staged(near, "near")
     entity = near.groupBy("entity").agg(F.count_distinct("t").alias("n_entity")).where(F.col("n_entity") >= rule.min_texts)
     both = near.groupBy("entity", "term").agg(F.count_distinct("t").alias("n_both")).where(F.col("n_both") >= rule.min_texts)
-    pairs = staged(both.join(entity, "entity"), "pairs")
+    n_texts = base.agg(F.count_distinct("t").alias("n")).first()["n"]
+    total = F.lit(float(n_texts))
+
+    def disclosure(n_term):
+        return F.log2(F.col("n_both") * total / (F.col(n_term) * F.col("n_entity"))) / F.log2(total / F.col("n_entity"))
+    # Contexts are part of the texts, so their count bounds n(term) from below: pairs that fail
+    # with it fail with n(term), and frequent words are never counted over the corpus.
+    seen = near.groupBy("term").agg(F.count_distinct("t").alias("n_seen"))
+    pairs = staged(both.join(entity, "entity").join(seen, "term").where((F.col("n_entity") < n_texts) & (disclosure("n_seen") >= rule.threshold)), "pairs")
     terms = staged(pairs.select("term").distinct(), "terms")
     body = F.coalesce(F.col(text_col), F.lit(""))
-    n_texts = base.agg(F.count_distinct("t").alias("n")).first()["n"]
     words = docs.select(F.xxhash64(body).alias("t"), F.explode(F.array_distinct(F.split(F.lower(body), r"[^\p{L}]+"))).alias("term"))
     counts = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count_distinct("t").alias("n_term"))
-    known = pairs.join(counts, "term").withColumn("pmi", F.log2(F.col("n_both") * F.lit(float(n_texts)) / (F.col("n_term") * F.col("n_entity"))))
-    ratio = F.col("pmi") / F.log2(F.lit(float(n_texts)) / F.col("n_entity"))
-    guilty = staged(known.where(F.col("n_entity") < n_texts).select("entity", "term", ratio.alias("disclosure")).where(F.col("disclosure") >= rule.threshold), "guilty")
+    guilty = staged(pairs.join(counts, "term").select("entity", "term", disclosure("n_term").alias("disclosure")).where(F.col("disclosure") >= rule.threshold), "guilty")
     return near.join(guilty, ["entity", "term"]).groupBy("doc_id", "t", "start", "end").agg(F.min("term").alias("term"), F.max("disclosure").alias("disclosure"))
 
 
