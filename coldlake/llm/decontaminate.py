@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from coldlake.llm.common import discard, staged, utf8
 
 WINDOW = 13
-#: UTF-8 bytes of benchmark text that one broadcast set holds; more text is scanned in parts.
-PART_BYTES = 32_000_000
+#: UTF-8 bytes of benchmark text that one broadcast set holds, about 90 MB as a set; more text
+#: is scanned in parts.
+PART_BYTES = 1_000_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _FOLD = bytes.maketrans(
