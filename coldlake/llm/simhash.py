@@ -70,8 +70,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int | None = None
     ``pair_limit`` fingerprints the pairs are joined and their Hamming distance verified. A
     fuller block is a crowd of near copies: there each fingerprint meets others at their bit
     neighbours within distance / 2, so it is linked without pairs; both ways are exact.
-    ``blocks`` only sets the key width (default distance + 2, raised for odd distances by
-    nothing else), never the result.
+    ``blocks`` (default distance + 2) only sets the key width, never the result. Odd distances
+    have no exact neighbour form and join pairs in every block.
     """
     if distance % 2:
         pair_limit = None  # neighbour balls meet exactly at even distances only
