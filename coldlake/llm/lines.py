@@ -14,6 +14,7 @@ DISTANCE = 3
 SIMILARITY = 0.8
 #: Shorter lines are structure (headings, braces, list marks) and stay.
 MIN_WORDS = 4
+_WORDS_A_ROW = 8
 _LANES = 32
 _LANE_MASK = (1 << 32) | 1
 
@@ -28,22 +29,29 @@ def text_key(text: Column) -> Column:
 
 
 def line_prints(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, t, line_no, h1, h2, fp) for every line of at least ``min_words`` words.
+    """Rows (doc_id, t, line_no, h1, h2, n, fp) for every line of at least ``min_words`` words.
 
-    (h1, h2) is a 128-bit hash of the normalised line. A fingerprint bit is set when over half
-    the words' hashes have it; a sum over 32 longs counts all 64 bits, two 32-bit lanes each,
-    and combines before the shuffle, so a line of any length stays one small row.
+    (h1, h2) is a 128-bit hash of the normalised line and n its words. A fingerprint bit is set
+    when over half the hashes of the line's different words have it, so that frequent words
+    don't decide it. Words are taken eight to a row; a sum over 32 longs counts all 64 bits, two
+    32-bit lanes each, and combines before the shuffle, so a line of any length stays one row.
     """
+    line = ["doc_id", "t", "line_no", "h1", "h2"]
     lines = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("t"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
     norm = lines.select("doc_id", "t", "line_no", normalised(F.col("line")).alias("norm"))
     split = norm.select("doc_id", "t", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), F.col("norm")).alias("h2"), F.split("norm", " ").alias("words"))
-    votes = split.where(F.size("words") >= min_words).select("doc_id", "t", "line_no", "h1", "h2", F.explode("words").alias("w")).select(
-        "doc_id", "t", "line_no", "h1", "h2", F.xxhash64("w").alias("h"))
-    lanes = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(_LANE_MASK))).alias(f"s{k}") for k in range(_LANES)]
-    summed = votes.groupBy("doc_id", "t", "line_no", "h1", "h2").agg(F.count("*").alias("n"), *lanes)
-    low = [F.when(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("n"), F.lit(1 << k)).otherwise(F.lit(0).cast("long")) for k in range(_LANES)]
-    high = [F.when(F.shiftrightunsigned(f"s{k}", 32) * 2 > F.col("n"), F.lit(signed(1 << (k + 32)))).otherwise(F.lit(0).cast("long")) for k in range(_LANES)]
-    return summed.select("doc_id", "t", "line_no", "h1", "h2", reduce(Column.bitwiseOR, low + high).alias("fp"))
+    known = split.select(*line, F.size("words").alias("n"), F.array_distinct("words").alias("words")).where(F.col("n") >= min_words)
+    known = known.select(*line, "n", F.size("words").alias("kinds"), "words")
+    taken = known.select(*line, "n", "kinds", "words", F.explode(F.sequence(F.lit(0), F.col("kinds") - 1, F.lit(_WORDS_A_ROW))).alias("i"))
+    hashed = taken.select(*line, "n", "kinds", *[F.when(F.col("i") + j < F.col("kinds"), F.xxhash64(F.get("words", F.col("i") + j))).otherwise(F.lit(0).cast("long")).alias(f"w{j}")
+                                                 for j in range(_WORDS_A_ROW)])
+
+    def lane(k):
+        return F.sum(reduce(Column.__add__, [F.shiftrightunsigned(f"w{j}", k).bitwiseAND(F.lit(_LANE_MASK)) for j in range(_WORDS_A_ROW)]))
+    summed = hashed.groupBy(*line, "n", "kinds").agg(*[lane(k).alias(f"s{k}") for k in range(_LANES)])
+    low = [F.when(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("kinds"), F.lit(1 << k)).otherwise(F.lit(0).cast("long")) for k in range(_LANES)]
+    high = [F.when(F.shiftrightunsigned(f"s{k}", 32) * 2 > F.col("kinds"), F.lit(signed(1 << (k + 32)))).otherwise(F.lit(0).cast("long")) for k in range(_LANES)]
+    return summed.select(*line, "n", reduce(Column.bitwiseOR, low + high).alias("fp"))
 
 
 def blocks_for(n: int, distance: int) -> int:
@@ -59,6 +67,29 @@ def codes(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xB000)) + 0x1000), 4, "0")), "")), "UTF-16BE")
 
 
+def _allowed(n1, n2, similarity: float) -> Column:
+    """Most word edits between lines of n1 and n2 words."""
+    return F.floor(F.greatest(n1, n2) * F.lit(1 - similarity) + 1e-9).cast("int")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Staged rows (x, y) of ``pairs`` whose lines are alike enough; texts come from first occurrences."""
+    pairs = staged(pairs.distinct(), "pairs")
+    wanted = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).distinct()
+    at = staged(nodes.join(wanted, "x").select("x", F.col("first.doc_id").alias("id"), F.col("first.t").alias("key"), F.col("first.line_no").alias("no")), "wanted")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("t"), F.col(text_col).alias("body")).join(
+        at.select("id", "key").distinct(), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("key")), "left_semi")
+    lines = texts.select("doc_id", "t", F.posexplode(F.split("body", "\n")).alias("line_no", "line")).join(
+        at, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("key")) & (F.col("line_no") == F.col("no")))
+    coded = staged(lines.select("x", codes(normalised(F.col("line"))).alias("code")).dropDuplicates(["x"]), "codes")
+    both = pairs.join(coded.withColumnRenamed("code", "cx"), "x").join(coded.select(F.col("x").alias("y"), F.col("code").alias("cy")), "y")
+    both = both.withColumn("allowed", _allowed(F.char_length("cx"), F.char_length("cy"), similarity))
+    out = staged(both.where("levenshtein(cx, cy, allowed) >= 0").select("x", "y"), "links")
+    for old in (pairs, at, coded):
+        discard(old)
+    return out
+
+
 def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY, min_words: int = MIN_WORDS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, t, line_no, removed) for every line that takes part.
@@ -66,34 +97,42 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
     Equal normalised lines are one node, so a line that a third of the documents repeat costs
     one row from there on. Nodes meet on pigeonhole blocks of their SimHash; a pair within
     ``distance`` bits is a link if its edit similarity in words, 1 - edits / longer line, is at
-    least ``similarity``. Of each connected group the least occurrence by (doc_id, text hash,
-    line number) stays and ``removed`` marks the others.
+    least ``similarity``. First every node is tried with the least node of each of its blocks;
+    then only nodes of one block that are still in different groups are tried with each other.
+    A crowd of near copies is so joined in proportion to its size, and as links inside a group
+    cannot change it, the groups are those of all links. Of each group the least occurrence by
+    (doc_id, text hash, line number) stays and ``removed`` marks the others.
     """
     seen = staged(line_prints(docs, min_words, id_col, text_col), "lines")
-    nodes = staged(seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"), F.min("fp").alias("fp")), "nodes")
+    nodes = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    nodes = staged(nodes.select(F.struct("h1", "h2").alias("x"), "first", "fp", "n"), "nodes")
     masks = block_masks(blocks_for(nodes.count(), distance), distance)
-    keyed = nodes.select("h1", "h2", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("choice", "key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    near = (a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.h1") < F.col("b.h1")))
-            .where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance)
-            .select(F.struct("a.h1", "a.h2").alias("x"), F.struct("b.h1", "b.h2").alias("y")).distinct())
-    near = staged(near, "near")
-    wanted = near.select("x").unionByName(near.select(F.col("y").alias("x"))).distinct()
-    found = staged(nodes.select(F.struct("h1", "h2").alias("x"), "first").join(wanted, "x"), "wanted")
-    at = found.select("x", "first", F.col("first.t").alias("t"), F.col("first.line_no").alias("line_no"), F.col("first.doc_id").alias("id"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("t"), F.col(text_col).alias("body")).join(
-        at.select(F.col("id").alias("doc_id"), "t").distinct().withColumnsRenamed({"doc_id": "d2", "t": "t2"}), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("t") == F.col("t2")), "left_semi")
-    coded = staged(texts.select("doc_id", "t", F.posexplode(F.split("body", "\n")).alias("line_no", "line")).join(
-        at.withColumnsRenamed({"t": "t2", "line_no": "n2"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("t2")) & (F.col("line_no") == F.col("n2")))
-        .select("x", "first", codes(normalised(F.col("line"))).alias("code")).dropDuplicates(["x"]), "codes")
-    pairs = (near.join(coded.select("x", F.col("first").alias("fx"), F.col("code").alias("cx")), "x")
-             .join(coded.select(F.col("x").alias("y"), F.col("first").alias("fy"), F.col("code").alias("cy")), "y"))
-    allowed = F.floor(F.greatest(F.char_length("cx"), F.char_length("cy")) * F.lit(1 - similarity) + 1e-9).cast("int")
-    links = pairs.withColumn("allowed", allowed).where("abs(char_length(cx) - char_length(cy)) <= allowed and levenshtein(cx, cy, allowed) >= 0").select(F.col("fx").alias("a"), F.col("fy").alias("b"))
-    groups = components(links)
-    keep = staged(nodes.join(groups, nodes["first"] == groups["node"], "left").select("h1", "h2", F.coalesce("component", "first").alias("keep")), "keep")
-    for x in (nodes, near, found, coded):
-        discard(x)
+    keyed = nodes.select("x", "fp", "n", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("choice", "key"))
+    block = ["choice", "key"]
+    shared = keyed.groupBy(*block).agg(F.count("*").alias("size"), F.min("x.h1").alias("lead1"), F.min_by("x.h2", "x.h1").alias("lead2")).where("size > 1")
+    shared = staged(shared.select(*block, F.struct(F.col("lead1").alias("h1"), F.col("lead2").alias("h2")).alias("y")), "blocks")
+    members = staged(keyed.join(shared, block), "members")
+
+    def near(fp1, n1, fp2, n2):
+        return (F.bit_count(F.col(fp1).bitwiseXOR(F.col(fp2))) <= distance) & (F.abs(F.col(n1) - F.col(n2)) <= _allowed(F.col(n1), F.col(n2), similarity))
+    lead = nodes.select(F.col("x").alias("y"), F.col("fp").alias("fy"), F.col("n").alias("ny"))
+    stars = members.where("x <> y").select("x", "fp", "n", "y").distinct().join(lead, "y").where(near("fp", "n", "fy", "ny")).select("x", "y")
+    links = _verified(docs, nodes, stars, similarity, id_col, text_col)
+    groups = staged(components(links, "x", "y").withColumnRenamed("node", "x"), "groups")
+    labelled = members.select(*block, "x", "fp", "n").join(groups, "x", "left").withColumn("label", F.coalesce("component", "x")).drop("component")
+    labelled = staged(labelled, "labelled")
+    split = staged(labelled.groupBy(*block).agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(*block), "split")
+    left = labelled.join(split, block, "left_semi")
+    a, b = left.alias("a"), left.alias("b")
+    rest = (a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
+                   & near("a.fp", "a.n", "b.fp", "b.n")).select(F.col("a.x").alias("x"), F.col("b.x").alias("y")))
+    more = _verified(docs, nodes, rest, similarity, id_col, text_col)
+    groups = components(links.unionByName(more), "x", "y").withColumnRenamed("node", "x")
+    grouped = staged(nodes.select("x", "first").join(groups, "x", "left").select("x", "first", F.coalesce("component", "x").alias("label")), "grouped")
+    least = grouped.groupBy("label").agg(F.min("first").alias("keep"))
+    keep = staged(grouped.join(least, "label").select("x.h1", "x.h2", "keep"), "keep")
+    for old in (nodes, shared, members, links, labelled, split, more, grouped):
+        discard(old)
     return seen.join(keep, ["h1", "h2"]).select("doc_id", "t", "line_no", (F.struct("doc_id", "t", "line_no") != F.col("keep")).alias("removed"))
 
 
