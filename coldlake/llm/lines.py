@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from coldlake.llm.common import components, discard, staged
 from coldlake.llm.simhash import block_masks, signed
 
-DISTANCE = 3
+DISTANCE = 2
 SIMILARITY = 0.8
 #: Shorter lines are structure (headings, braces, list marks) and stay.
 MIN_WORDS = 4
 _WORDS_A_ROW = 8
-_LANES = 32
-_LANE_MASK = (1 << 32) | 1
+_LANE_MASK = 0x0001000100010001
+#: Different words of one print; the highest lane's count must stay below the sign bit.
+_PART_WORDS = 32_760
 
 
 def normalised(line: Column) -> Column:
@@ -33,8 +34,9 @@ def line_prints(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
     (h1, h2) is a 128-bit hash of the normalised line and n its words. A fingerprint bit is set
     when over half the hashes of the line's different words have it, so that frequent words
-    don't decide it. Words are taken eight to a row; a sum over 32 longs counts all 64 bits, two
-    32-bit lanes each, and combines before the shuffle, so a line of any length stays one row.
+    don't decide it. Words are taken eight to a row; a sum over 16 longs counts all 64 bits, four
+    16-bit lanes each, and combines before the shuffle, so a line stays one row. A line of more
+    different words than a lane counts gives a row for each _PART_WORDS of them.
     """
     line = ["doc_id", "t", "line_no", "h1", "h2"]
     lines = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("t"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
@@ -43,15 +45,16 @@ def line_prints(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     known = split.select(*line, F.size("words").alias("n"), F.array_distinct("words").alias("words")).where(F.col("n") >= min_words)
     known = known.select(*line, "n", F.size("words").alias("kinds"), "words")
     taken = known.select(*line, "n", "kinds", "words", F.explode(F.sequence(F.lit(0), F.col("kinds") - 1, F.lit(_WORDS_A_ROW))).alias("i"))
-    hashed = taken.select(*line, "n", "kinds", *[F.when(F.col("i") + j < F.col("kinds"), F.xxhash64(F.get("words", F.col("i") + j))).otherwise(F.lit(0).cast("long")).alias(f"w{j}")
-                                                 for j in range(_WORDS_A_ROW)])
+    hashed = taken.select(*line, "n", (F.col("i") / _PART_WORDS).cast("int").alias("part"), F.least(F.col("kinds") - F.col("i"), F.lit(_WORDS_A_ROW)).alias("here"),
+                          *[F.when(F.col("i") + j < F.col("kinds"), F.xxhash64(F.get("words", F.col("i") + j))).otherwise(F.lit(0).cast("long")).alias(f"w{j}")
+                            for j in range(_WORDS_A_ROW)])
 
     def lane(k):
         return F.sum(reduce(Column.__add__, [F.shiftrightunsigned(f"w{j}", k).bitwiseAND(F.lit(_LANE_MASK)) for j in range(_WORDS_A_ROW)]))
-    summed = hashed.groupBy(*line, "n", "kinds").agg(*[lane(k).alias(f"s{k}") for k in range(_LANES)])
-    low = [F.when(F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.col("kinds"), F.lit(1 << k)).otherwise(F.lit(0).cast("long")) for k in range(_LANES)]
-    high = [F.when(F.shiftrightunsigned(f"s{k}", 32) * 2 > F.col("kinds"), F.lit(signed(1 << (k + 32)))).otherwise(F.lit(0).cast("long")) for k in range(_LANES)]
-    return summed.select(*line, "n", reduce(Column.bitwiseOR, low + high).alias("fp"))
+    summed = hashed.groupBy(*line, "n", "part").agg(F.sum("here").alias("kinds"), *[lane(k).alias(f"s{k}") for k in range(16)])
+    bits = [F.when(F.shiftrightunsigned(f"s{k}", 16 * q).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("kinds"), F.lit(signed(1 << (k + 16 * q)))).otherwise(F.lit(0).cast("long"))
+            for k in range(16) for q in range(4)]
+    return summed.select(*line, "n", reduce(Column.bitwiseOR, bits).alias("fp"))
 
 
 def blocks_for(n: int, distance: int) -> int:
@@ -92,7 +95,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
 
 def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = SIMILARITY, min_words: int = MIN_WORDS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, t, line_no, removed) for every line that takes part.
+    """Rows (doc_id, t, line_no, removed) for every line that has an equal or a near one.
 
     Equal normalised lines are one node, so a line that a third of the documents repeat costs
     one row from there on. Nodes meet on pigeonhole blocks of their SimHash; a pair within
@@ -104,8 +107,8 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
     (doc_id, text hash, line number) stays and ``removed`` marks the others.
     """
     seen = staged(line_prints(docs, min_words, id_col, text_col), "lines")
-    nodes = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"))
-    nodes = staged(nodes.select(F.struct("h1", "h2").alias("x"), "first", "fp", "n"), "nodes")
+    nodes = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.count("*").alias("rows"))
+    nodes = staged(nodes.select(F.struct("h1", "h2").alias("x"), "first", "fp", "n", "rows"), "nodes")
     masks = block_masks(blocks_for(nodes.count(), distance), distance)
     keyed = nodes.select("x", "fp", "n", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("choice", "key"))
     block = ["choice", "key"]
@@ -128,7 +131,8 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
                    & near("a.fp", "a.n", "b.fp", "b.n")).select(F.col("a.x").alias("x"), F.col("b.x").alias("y")))
     more = _verified(docs, nodes, rest, similarity, id_col, text_col)
     groups = components(links.unionByName(more), "x", "y").withColumnRenamed("node", "x")
-    grouped = staged(nodes.select("x", "first").join(groups, "x", "left").select("x", "first", F.coalesce("component", "x").alias("label")), "grouped")
+    grouped = nodes.select("x", "first", "rows").join(groups, "x", "left").where((F.col("rows") > 1) | F.col("component").isNotNull())
+    grouped = staged(grouped.select("x", "first", F.coalesce("component", "x").alias("label")), "grouped")
     least = grouped.groupBy("label").agg(F.min("first").alias("keep"))
     keep = staged(grouped.join(least, "label").select("x.h1", "x.h2", "keep"), "keep")
     for old in (nodes, shared, members, links, labelled, split, more, grouped):

@@ -30,7 +30,7 @@ def edits(a, b):
     return row[-1]
 
 
-def plain(rows, distance=3, similarity=0.8, min_words=4):
+def plain(rows, distance=2, similarity=0.8, min_words=4):
     """doc -> kept texts, for distinct non-null ids."""
     where = defaultdict(list)
     for i, t in rows:
@@ -83,6 +83,16 @@ def test_blocks_cover_every_close_pair(n, distance):
         assert any(m & flip == 0 for m in masks)
 
 
+def test_prints_of_long_lines(spark, make_docs):
+    words = [f"w{k}" for k in range(40_000)]
+    rows = [(1, " ".join(words[:32_760])), (2, " ".join(words)), (3, " ".join(words + words)), (4, "a b c d e f g h i")]
+    got = {}
+    for r in lines.line_prints(make_docs(rows)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["fp"] % 2**64)
+    assert got == {1: {print_of(words[:32_760])}, 2: {print_of(words[:32_760]), print_of(words[32_760:])}, 3: {print_of(words[:32_760]), print_of(words[32_760:])},
+                   4: {print_of("abcdefghi")}}
+
+
 def test_edge_rows_and_columns(spark, make_docs, edge_rows):
     df = make_docs(edge_rows)
     got = lines.dedup_lines(df)
