@@ -14,10 +14,13 @@ DISTANCE = 2
 SIMILARITY = 0.8
 #: Shorter lines are structure (headings, braces, list marks) and stay.
 MIN_WORDS = 4
-_WORDS_A_ROW = 8
-_LANE_MASK = 0x0001000100010001
-#: Different words of one print; the highest lane's count must stay below the sign bit.
-_PART_WORDS = 32_760
+#: Most line keys, of about 60 bytes each, that are broadcast to find the lines' texts.
+BROADCAST_KEYS = 500_000
+_WORDS_A_ROW = 15
+#: The lowest bit of each 16-bit lane, and a lane's bit 14.
+_LANES, _TOP = 0x0001000100010001, 1 << 14
+#: Different words of one print, a multiple of the words in a row that lanes count below bit 14.
+_PART_WORDS = 8_160
 
 
 def normalised(line: Column) -> Column:
@@ -29,14 +32,38 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def _counted(rows: DataFrame, keep: list[str], words: list[str]) -> tuple[DataFrame, list[tuple[int, str]]]:
+    """Counts bits over long columns by full adders: (weight, column) planes of the binary counts.
+
+    Three columns of one weight become their sum, of the same weight, and carry, of the next.
+    """
+    planes, made = {0: words}, 0
+    while any(len(v) > 2 for v in planes.values()):
+        after, new = {w: list(v) for w, v in planes.items()}, []
+        for w in sorted(planes):
+            if len(after[w]) > 2:
+                x, y, z = after[w][:3]
+                half = F.col(x).bitwiseXOR(F.col(y))
+                carry = F.col(x).bitwiseAND(F.col(y)).bitwiseOR(F.col(z).bitwiseAND(half))
+                new += [half.bitwiseXOR(F.col(z)).alias(f"sum{made}"), carry.alias(f"carry{made}")]
+                after[w] = [*after[w][3:], f"sum{made}"]
+                after.setdefault(w + 1, []).append(f"carry{made}")
+                made += 1
+        old = {x for v in planes.values() for x in v}
+        rows = rows.select(*keep, *[x for v in after.values() for x in v if x in old], *new)
+        planes = after
+    return rows, [(w, x) for w, v in planes.items() for x in v]
+
+
 def line_prints(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, t, line_no, h1, h2, n, fp) for every line of at least ``min_words`` words.
 
     (h1, h2) is a 128-bit hash of the normalised line and n its words. A fingerprint bit is set
     when over half the hashes of the line's different words have it, so that frequent words
-    don't decide it. Words are taken eight to a row; a sum over 16 longs counts all 64 bits, four
-    16-bit lanes each, and combines before the shuffle, so a line stays one row. A line of more
-    different words than a lane counts gives a row for each _PART_WORDS of them.
+    don't decide it. Words are taken fifteen to a row and their bits counted into four planes; a
+    sum over 16 longs, four 16-bit lanes each, then counts all 64 bits and combines before the
+    shuffle, so a line stays one row. A line of more different words than a lane counts gives a
+    row for each _PART_WORDS of them.
     """
     line = ["doc_id", "t", "line_no", "h1", "h2"]
     lines = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("t"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
@@ -45,16 +72,18 @@ def line_prints(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     known = split.select(*line, F.size("words").alias("n"), F.array_distinct("words").alias("words")).where(F.col("n") >= min_words)
     known = known.select(*line, "n", F.size("words").alias("kinds"), "words")
     taken = known.select(*line, "n", "kinds", "words", F.explode(F.sequence(F.lit(0), F.col("kinds") - 1, F.lit(_WORDS_A_ROW))).alias("i"))
+    words = [f"w{j}" for j in range(_WORDS_A_ROW)]
     hashed = taken.select(*line, "n", (F.col("i") / _PART_WORDS).cast("int").alias("part"), F.least(F.col("kinds") - F.col("i"), F.lit(_WORDS_A_ROW)).alias("here"),
-                          *[F.when(F.col("i") + j < F.col("kinds"), F.xxhash64(F.get("words", F.col("i") + j))).otherwise(F.lit(0).cast("long")).alias(f"w{j}")
-                            for j in range(_WORDS_A_ROW)])
+                          *[F.when(F.col("i") + j < F.col("kinds"), F.xxhash64(F.get("words", F.col("i") + j))).otherwise(F.lit(0).cast("long")).alias(w) for j, w in enumerate(words)])
+    counted, planes = _counted(hashed, [*line, "n", "part", "here"], words)
 
     def lane(k):
-        return F.sum(reduce(Column.__add__, [F.shiftrightunsigned(f"w{j}", k).bitwiseAND(F.lit(_LANE_MASK)) for j in range(_WORDS_A_ROW)]))
-    summed = hashed.groupBy(*line, "n", "part").agg(F.sum("here").alias("kinds"), *[lane(k).alias(f"s{k}") for k in range(16)])
-    bits = [F.when(F.shiftrightunsigned(f"s{k}", 16 * q).bitwiseAND(F.lit(0xFFFF)) * 2 > F.col("kinds"), F.lit(signed(1 << (k + 16 * q)))).otherwise(F.lit(0).cast("long"))
-            for k in range(16) for q in range(4)]
-    return summed.select(*line, "n", reduce(Column.bitwiseOR, bits).alias("fp"))
+        return F.sum(reduce(Column.bitwiseOR, [F.shiftleft(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(_LANES)), w) for w, x in planes]))
+    summed = counted.groupBy(*line, "n", "part").agg(F.sum("here").alias("kinds"), *[lane(k).alias(f"s{k}") for k in range(16)])
+    # Every lane plus (bit 14 - majority) has bit 14 set exactly when its count is a majority.
+    lift = (F.lit(_TOP - 1) - F.shiftright("kinds", 1)) * F.lit(_LANES)
+    bits = [F.shiftleft(F.shiftrightunsigned((F.col(f"s{k}") + F.col("lift")).bitwiseAND(F.lit(_TOP * _LANES)), 14), k) for k in range(16)]
+    return summed.withColumn("lift", lift).select(*line, "n", reduce(Column.bitwiseOR, bits).alias("fp"))
 
 
 def blocks_for(n: int, distance: int) -> int:
@@ -80,10 +109,14 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: f
     pairs = staged(pairs.distinct(), "pairs")
     wanted = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).distinct()
     at = staged(nodes.join(wanted, "x").select("x", F.col("first.doc_id").alias("id"), F.col("first.t").alias("key"), F.col("first.line_no").alias("no")), "wanted")
+    few = at.count() <= BROADCAST_KEYS  # else the texts are shuffled to the keys
+
+    def small(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if few else keys
     texts = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("t"), F.col(text_col).alias("body")).join(
-        at.select("id", "key").distinct(), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("key")), "left_semi")
+        small(at.select("id", "key").distinct()), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("key")), "left_semi")
     lines = texts.select("doc_id", "t", F.posexplode(F.split("body", "\n")).alias("line_no", "line")).join(
-        at, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("key")) & (F.col("line_no") == F.col("no")))
+        small(at), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("key")) & (F.col("line_no") == F.col("no")))
     coded = staged(lines.select("x", codes(normalised(F.col("line"))).alias("code")).dropDuplicates(["x"]), "codes")
     both = pairs.join(coded.withColumnRenamed("code", "cx"), "x").join(coded.select(F.col("x").alias("y"), F.col("code").alias("cy")), "y")
     both = both.withColumn("allowed", _allowed(F.char_length("cx"), F.char_length("cy"), similarity))
@@ -119,8 +152,8 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
     def near(fp1, n1, fp2, n2):
         return (F.bit_count(F.col(fp1).bitwiseXOR(F.col(fp2))) <= distance) & (F.abs(F.col(n1) - F.col(n2)) <= _allowed(F.col(n1), F.col(n2), similarity))
     lead = nodes.select(F.col("x").alias("y"), F.col("fp").alias("fy"), F.col("n").alias("ny"))
-    stars = members.where("x <> y").select("x", "fp", "n", "y").distinct().join(lead, "y").where(near("fp", "n", "fy", "ny")).select("x", "y")
-    links = _verified(docs, nodes, stars, similarity, id_col, text_col)
+    tried = members.where("x <> y").select("x", "fp", "n", "y").distinct().join(lead, "y").where(near("fp", "n", "fy", "ny")).select("x", "y")
+    links = _verified(docs, nodes, tried, similarity, id_col, text_col)
     groups = staged(components(links, "x", "y").withColumnRenamed("node", "x"), "groups")
     labelled = members.select(*block, "x", "fp", "n").join(groups, "x", "left").withColumn("label", F.coalesce("component", "x")).drop("component")
     labelled = staged(labelled, "labelled")
@@ -130,7 +163,9 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
     rest = (a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
                    & near("a.fp", "a.n", "b.fp", "b.n")).select(F.col("a.x").alias("x"), F.col("b.x").alias("y")))
     more = _verified(docs, nodes, rest, similarity, id_col, text_col)
-    groups = components(links.unionByName(more), "x", "y").withColumnRenamed("node", "x")
+    # the groups found so far are stars to their least node: only new links need more rounds
+    stars = groups.where("x <> component").select("x", F.col("component").alias("y"))
+    groups = components(stars.unionByName(more), "x", "y").withColumnRenamed("node", "x")
     grouped = nodes.select("x", "first", "rows").join(groups, "x", "left").where((F.col("rows") > 1) | F.col("component").isNotNull())
     grouped = staged(grouped.select("x", "first", F.coalesce("component", "x").alias("label")), "grouped")
     least = grouped.groupBy("label").agg(F.min("first").alias("keep"))

@@ -84,13 +84,13 @@ def test_blocks_cover_every_close_pair(n, distance):
 
 
 def test_prints_of_long_lines(spark, make_docs):
-    words = [f"w{k}" for k in range(40_000)]
-    rows = [(1, " ".join(words[:32_760])), (2, " ".join(words)), (3, " ".join(words + words)), (4, "a b c d e f g h i")]
+    words, part = [f"w{k}" for k in range(20_000)], lines._PART_WORDS
+    parts = {print_of(words[k:k + part]) for k in range(0, len(words), part)}
+    rows = [(1, " ".join(words[:part])), (2, " ".join(words)), (3, " ".join(words + words)), (4, "a b c d e f g h i")] + [(10 + k, " ".join(words[:k])) for k in range(4, 34)]
     got = {}
     for r in lines.line_prints(make_docs(rows)).collect():
         got.setdefault(r["doc_id"], set()).add(r["fp"] % 2**64)
-    assert got == {1: {print_of(words[:32_760])}, 2: {print_of(words[:32_760]), print_of(words[32_760:])}, 3: {print_of(words[:32_760]), print_of(words[32_760:])},
-                   4: {print_of("abcdefghi")}}
+    assert got == {1: {print_of(words[:part])}, 2: parts, 3: parts, 4: {print_of("abcdefghi")}} | {10 + k: {print_of(words[:k])} for k in range(4, 34)}
 
 
 def test_edge_rows_and_columns(spark, make_docs, edge_rows):
