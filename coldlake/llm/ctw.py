@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from coldlake.llm.common import discard, staged, utf8
 
-#: Bytes of context. A context and its next byte share one long, so at most 7.
+#: Bytes of context; at most 5, as a gram and a row number share 64 bits.
 DEPTH = 5
 #: Byte that starts and ends every text; it never occurs in UTF-8.
 EDGE = 0xFF
@@ -34,6 +34,7 @@ def _slices(column, size: int = _SLICE_BYTES):
     lo = 0
     while lo < len(ends):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size)))
+        hi = min(hi, lo + 65_536)
         yield lo, hi
         lo = hi
 
@@ -52,6 +53,16 @@ def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
     return code[keep[depth:]], np.concatenate(([0], np.cumsum(n)[:-1]))
 
 
+def text_scores(codes: np.ndarray, first: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sum of the codes' values by text. Sorted (code, text) pairs look each code up once."""
+    n = np.diff(np.append(first, len(codes)))
+    pairs = np.sort((codes.astype(np.uint64) << np.uint64(16)) | np.repeat(np.arange(len(first), dtype=np.uint64), n))
+    code = (pairs >> np.uint64(16)).astype(np.int64)
+    at = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+    per_pair = np.repeat(values[np.searchsorted(keys, code[at])], np.diff(np.append(at, len(code))))
+    return np.bincount((pairs & np.uint64(0xFFFF)).astype(np.int64), weights=per_pair, minlength=len(first))
+
+
 def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(codes, kind="stable")
     codes, counts = codes[order], counts[order]
@@ -242,7 +253,7 @@ def score(docs: DataFrame, train: Column | None = None, depth: int = DEPTH, broa
                     out["tail"].append([{"word": w, "k": k} for w, k in rest.items()])
                 codes, first = grams(body[lo:hi], depth)
                 if small:
-                    per_doc = np.add.reduceat(values[np.searchsorted(keys, codes)], first)
+                    per_doc = text_scores(codes, first, keys, values)
                     seen = [[] for _ in first]
                 else:
                     per_doc = np.zeros(len(first))
