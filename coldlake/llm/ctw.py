@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ EDGE = 0xFF
 BROADCAST_ROWS = 8_000_000
 #: Most words whose counts are broadcast; all other words are joined.
 HEAD_WORDS = 1 << 18
-_SLICE_BYTES = 4_000_000
+_SLICE_BYTES = 1_000_000
 _FLUSH = 1_000_000
 
 
@@ -28,9 +29,12 @@ def held_out(id_col: Column, parts: int = 7, fold: int = 2) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(parts)) == fold
 
 
-def _slices(column, size: int = _SLICE_BYTES):
-    """(first, last) row ranges of a binary column that hold about ``size`` bytes."""
-    ends = np.cumsum(np.array([len(x) for x in column], dtype=np.int64) + 1)
+def _slices(column: pa.Array, size: int = _SLICE_BYTES):
+    """(first, last) row ranges of a binary column that hold about ``size`` bytes, one row at least.
+
+    Only one slice's texts and code arrays, a few dozen times its bytes, are in memory at once.
+    """
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     lo = 0
     while lo < len(ends):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size)))
@@ -39,6 +43,10 @@ def _slices(column, size: int = _SLICE_BYTES):
         lo = hi
 
 
+def _lowered(column: pa.Array) -> list[bytes]:
+    return [x.lower() for x in column.to_pylist()]
+
+
 def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Codes of (context, next byte) at each byte and at the end of every text, and first places."""
     pad = bytes([EDGE]) * depth
@@ -85,10 +93,11 @@ def gram_counts(docs: DataFrame, depth: int) -> DataFrame:
         def merged():
             return _summed(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held]))
         for b in batches:
-            body, train = [x.lower() for x in b.column("body").to_pylist()], b.column("train").to_pylist()
-            for lo, hi in _slices(body):
+            train = b.column("train").to_pylist()
+            for lo, hi in _slices(b.column("body")):
+                body = _lowered(b.column("body").slice(lo, hi - lo))
                 for flag in (True, False):
-                    texts = [t for t, k in zip(body[lo:hi], train[lo:hi], strict=True) if k == flag]
+                    texts = [t for t, k in zip(body, train[lo:hi], strict=True) if k == flag]
                     if texts:
                         codes, counts = np.unique(grams(texts, depth)[0], return_counts=True)
                         held.append((codes, counts * flag))
@@ -239,10 +248,10 @@ def score(docs: DataFrame, train: Column | None = None, depth: int = DEPTH, broa
         get = shared_head.value.get
         keys, values = shared.value if small else (None, None)
         for b in batches:
-            body = [x.lower() for x in b.column("body").to_pylist()]
-            for lo, hi in _slices(body):
+            for lo, hi in _slices(b.column("body")):
+                body = _lowered(b.column("body").slice(lo, hi - lo))
                 out: dict[str, list] = {c: [] for c in ("n", "known", "base", "tail")}
-                for x in body[lo:hi]:
+                for x in body:
                     ws = x.split()
                     got = [get(w) for w in ws]
                     here = [v for v in got if v is not None]
@@ -251,7 +260,7 @@ def score(docs: DataFrame, train: Column | None = None, depth: int = DEPTH, broa
                     out["known"].append(sum(v > 0 for v in here) + end_known)
                     out["base"].append(math.fsum(here) + end_score)
                     out["tail"].append([{"word": w, "k": k} for w, k in rest.items()])
-                codes, first = grams(body[lo:hi], depth)
+                codes, first = grams(body, depth)
                 if small:
                     per_doc = text_scores(codes, first, keys, values)
                     seen = [[] for _ in first]
@@ -261,7 +270,7 @@ def score(docs: DataFrame, train: Column | None = None, depth: int = DEPTH, broa
                 yield pa.RecordBatch.from_arrays(
                     [b.column("rid").slice(lo, hi - lo), b.column("doc_id").slice(lo, hi - lo), pa.array(out["n"], pa.int64()), pa.array(out["known"], pa.int64()), pa.array(out["base"]),
                      pa.array(out["tail"], pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))), pa.array(per_doc),
-                     pa.array(seen, pa.list_(pa.struct([("gram", pa.int64()), ("k", pa.int64())]))), pa.array([len(x) for x in body[lo:hi]], pa.int64())],
+                     pa.array(seen, pa.list_(pa.struct([("gram", pa.int64()), ("k", pa.int64())]))), pa.array([len(x) for x in body], pa.int64())],
                     names=["rid", "doc_id", "n", "known", "base", "tail", "score", "seen", "n_bytes"])
 
     first = staged(src.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "body").mapInArrow(
