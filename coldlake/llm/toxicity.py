@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from coldlake.llm.decontaminate import words
 
 #: Labelled rows of each class that the tagger is fitted on: the bound of the training sample.
-SAMPLE = {1: 800, 0: 1600}
+SAMPLE = {1: 500, 0: 1000}
 #: Longer texts are scored like any other but not drawn into the training sample.
 SAMPLE_BYTES = 20_000
 FEATURE_BITS = 18
