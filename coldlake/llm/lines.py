@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from coldlake.llm.common import components, discard, staged
 from coldlake.llm.simhash import block_masks, signed
 
-DISTANCE = 2
+DISTANCE = 3
 SIMILARITY = 0.8
 #: Shorter lines are structure (headings, braces, list marks) and stay.
 MIN_WORDS = 4
@@ -87,8 +87,8 @@ def line_prints(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
 
 def blocks_for(n: int, distance: int) -> int:
-    """Fewest blocks whose keys give under one chance meeting a fingerprint; results don't depend on it."""
-    blocks = distance + 2
+    """Fewest blocks whose keys, 32 bits at least, give under one chance meeting a fingerprint; results don't depend on it."""
+    blocks = max(distance + 2, 2 * distance)
     while blocks < 16 and len(block_masks(blocks, distance)) * n > 2 ** (64 * (blocks - distance) / blocks):
         blocks += 1
     return blocks

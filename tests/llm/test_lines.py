@@ -110,3 +110,15 @@ def test_no_python_in_the_plan(spark, make_docs):
     plan = lines.line_prints(make_docs(fuzzy_rows()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert lines.dedup_lines(make_docs(fuzzy_rows()).withColumn("h1", F.lit(1))).count() == len(fuzzy_rows())
+
+
+def test_lines_three_bits_apart_are_linked(spark, make_docs):
+    rows = []
+    for seed in range(400):
+        words = prose(seed, 30).split()
+        other = [*words[:7], f"other{seed}", *words[8:]]
+        if (print_of(words) ^ print_of(other)).bit_count() == 3:
+            rows += [(2 * seed, " ".join(words)), (2 * seed + 1, " ".join(other))]
+    want = plain(rows, distance=3)
+    assert len(rows) > 20 and all(want[i] == "" for i, _ in rows[1::2])
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(make_docs(rows)).collect()} == want
