@@ -12,11 +12,13 @@ from coldlake.llm.simhash import block_masks, signed
 
 DISTANCE = 3
 SIMILARITY = 0.8
-#: Shorter lines are structure (headings, braces, list marks) and stay.
+#: Fewer words can't be near others: one edit is over a fifth of them. Equal lines meet at any length.
 MIN_WORDS = 4
 #: Most line keys, of about 60 bytes each, that are broadcast to find the lines' texts.
 BROADCAST_KEYS = 500_000
 _WORDS_A_ROW = 15
+#: Thai, Lao, Tibetan, Myanmar, Khmer, kana and Han letters.
+_NO_SPACES = r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 #: The lowest bit of each 16-bit lane, and a lane's bit 14.
 _LANES, _TOP = 0x0001000100010001, 1 << 14
 #: Different words of one print, a multiple of the words in a row that lanes count below bit 14.
@@ -28,6 +30,12 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
+def words_of(norm: Column) -> Column:
+    """Words of a normalised line; each character of a script without spaces is a word of its own."""
+    spaced = F.split(F.trim(F.regexp_replace(norm, f"[{_NO_SPACES}]", " $0 ")), " +")
+    return F.when(F.octet_length(norm) - F.char_length(norm) > 1, spaced).otherwise(F.split(norm, " "))
+
+
 def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
@@ -56,9 +64,10 @@ def _counted(rows: DataFrame, keep: list[str], words: list[str]) -> tuple[DataFr
 
 
 def line_prints(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, t, line_no, h1, h2, n, fp) for every line of at least ``min_words`` words.
+    """Rows (doc_id, t, line_no, h1, h2, n, fp) for every line with a letter or digit.
 
-    (h1, h2) is a 128-bit hash of the normalised line and n its words. A fingerprint bit is set
+    (h1, h2) is a 128-bit hash of the normalised line and n its words; fp is null for lines of
+    under ``min_words`` words, which have no near lines. A fingerprint bit is set
     when over half the hashes of the line's different words have it, so that frequent words
     don't decide it. Words are taken fifteen to a row and their bits counted into four planes; a
     sum over 16 longs, four 16-bit lanes each, then counts all 64 bits and combines before the
@@ -67,9 +76,9 @@ def line_prints(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     """
     line = ["doc_id", "t", "line_no", "h1", "h2"]
     lines = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("t"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    norm = lines.select("doc_id", "t", "line_no", normalised(F.col("line")).alias("norm"))
-    split = norm.select("doc_id", "t", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), F.col("norm")).alias("h2"), F.split("norm", " ").alias("words"))
-    known = split.select(*line, F.size("words").alias("n"), F.array_distinct("words").alias("words")).where(F.col("n") >= min_words)
+    norm = lines.select("doc_id", "t", "line_no", normalised(F.col("line")).alias("norm")).where("norm <> ''")
+    split = norm.select("doc_id", "t", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), F.col("norm")).alias("h2"), words_of(F.col("norm")).alias("words"))
+    known = split.select(*line, F.size("words").alias("n"), F.array_distinct("words").alias("words"))
     known = known.select(*line, "n", F.size("words").alias("kinds"), "words")
     taken = known.select(*line, "n", "kinds", "words", F.explode(F.sequence(F.lit(0), F.col("kinds") - 1, F.lit(_WORDS_A_ROW))).alias("i"))
     words = [f"w{j}" for j in range(_WORDS_A_ROW)]
@@ -83,7 +92,7 @@ def line_prints(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     # Every lane plus (bit 14 - majority) has bit 14 set exactly when its count is a majority.
     lift = (F.lit(_TOP - 1) - F.shiftright("kinds", 1)) * F.lit(_LANES)
     bits = [F.shiftleft(F.shiftrightunsigned((F.col(f"s{k}") + F.col("lift")).bitwiseAND(F.lit(_TOP * _LANES)), 14), k) for k in range(16)]
-    return summed.withColumn("lift", lift).select(*line, "n", reduce(Column.bitwiseOR, bits).alias("fp"))
+    return summed.withColumn("lift", lift).select(*line, "n", F.when(F.col("n") >= min_words, reduce(Column.bitwiseOR, bits)).alias("fp"))
 
 
 def blocks_for(n: int, distance: int) -> int:
@@ -96,7 +105,7 @@ def blocks_for(n: int, distance: int) -> int:
 
 def codes(norm: Column) -> Column:
     """A line as a string with one character a word, so that edit distance counts words."""
-    return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xB000)) + 0x1000), 4, "0")), "")), "UTF-16BE")
+    return F.decode(F.unhex(F.array_join(F.transform(words_of(norm), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xB000)) + 0x1000), 4, "0")), "")), "UTF-16BE")
 
 
 def _allowed(n1, n2, similarity: float) -> Column:
@@ -130,10 +139,10 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, t, line_no, removed) for every line that has an equal or a near one.
 
-    Equal normalised lines are one node, so a line that a third of the documents repeat costs
-    one row from there on. Nodes meet on pigeonhole blocks of their SimHash; a pair within
-    ``distance`` bits is a link if its edit similarity in words, 1 - edits / longer line, is at
-    least ``similarity``. First every node is tried with the least node of each of its blocks;
+    Equal normalised lines of any length are one node, so a line that a third of the documents
+    repeat costs one row from there on. Nodes of at least ``min_words`` words meet on pigeonhole
+    blocks of their SimHash; a pair within ``distance`` bits is a link if its edit similarity in
+    words, 1 - edits / longer line, is at least ``similarity``. First every node is tried with the least node of each of its blocks;
     then only nodes of one block that are still in different groups are tried with each other.
     A crowd of near copies is so joined in proportion to its size, and as links inside a group
     cannot change it, the groups are those of all links. Of each group the least occurrence by
@@ -142,8 +151,9 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
     seen = staged(line_prints(docs, min_words, id_col, text_col), "lines")
     nodes = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.count("*").alias("rows"))
     nodes = staged(nodes.select(F.struct("h1", "h2").alias("x"), "first", "fp", "n", "rows"), "nodes")
-    masks = block_masks(blocks_for(nodes.count(), distance), distance)
-    keyed = nodes.select("x", "fp", "n", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("choice", "key"))
+    prints = nodes.where("fp is not null")
+    masks = block_masks(blocks_for(prints.count(), distance), distance)
+    keyed = prints.select("x", "fp", "n", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("choice", "key"))
     block = ["choice", "key"]
     shared = keyed.groupBy(*block).agg(F.count("*").alias("size"), F.min("x.h1").alias("lead1"), F.min_by("x.h2", "x.h1").alias("lead2")).where("size > 1")
     shared = staged(shared.select(*block, F.struct(F.col("lead1").alias("h1"), F.col("lead2").alias("h2")).alias("y")), "blocks")
@@ -183,8 +193,8 @@ def removals(docs: DataFrame, **kw) -> DataFrame:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The input rows and columns, with repeated and near-repeated lines cut from the text.
 
-    Documents that lose all lines stay with an empty text. Null texts stay null; lines of few
-    words stay; rows that repeat id and text count as one document and are treated alike; null
+    Documents that lose all lines stay with an empty text. Null texts stay null; lines
+    without a letter or digit stay; rows that repeat id and text count as one document and are treated alike; null
     ids work, told apart by their text; other columns pass through whatever their names; an
     empty table stays empty.
     """

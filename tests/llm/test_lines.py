@@ -122,3 +122,11 @@ def test_lines_three_bits_apart_are_linked(spark, make_docs):
     want = plain(rows, distance=3)
     assert len(rows) > 20 and all(want[i] == "" for i, _ in rows[1::2])
     assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(make_docs(rows)).collect()} == want
+
+
+def test_equal_lines_of_any_length_are_one(spark, make_docs):
+    han = "".join(chr(0x4E00 + 37 * k % 5000) for k in range(60))
+    near = next(x for x in (han[:k] + chr(0x9000 + k) + han[k + 1:] for k in range(60)) if (print_of(list(x)) ^ print_of(list(han))).bit_count() <= 3)
+    rows = [(1, "Contents\na b\nContents!"), (2, "CONTENTS\n---\n\n---\nb a"), (3, han), (4, han), (5, near), (6, "a b c\na b d"), (7, "de l'eau")]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(make_docs(rows)).collect()}
+    assert got == {1: "Contents\na b", 2: "---\n\n---\nb a", 3: han, 4: "", 5: "", 6: "a b c\na b d", 7: "de l'eau"}
