@@ -64,7 +64,7 @@ def _counted(rows: DataFrame, keep: list[str], words: list[str]) -> tuple[DataFr
 
 
 def line_prints(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, t, line_no, h1, h2, n, fp) for every line with a letter or digit.
+    """Rows (doc_id, t, line_no, h1, h2, n, part, fp) for every line with a letter or digit.
 
     (h1, h2) is a 128-bit hash of the normalised line and n its words; fp is null for lines of
     under ``min_words`` words, which have no near lines. A fingerprint bit is set
@@ -92,7 +92,7 @@ def line_prints(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     # Every lane plus (bit 14 - majority) has bit 14 set exactly when its count is a majority.
     lift = (F.lit(_TOP - 1) - F.shiftright("kinds", 1)) * F.lit(_LANES)
     bits = [F.shiftleft(F.shiftrightunsigned((F.col(f"s{k}") + F.col("lift")).bitwiseAND(F.lit(_TOP * _LANES)), 14), k) for k in range(16)]
-    return summed.withColumn("lift", lift).select(*line, "n", F.when(F.col("n") >= min_words, reduce(Column.bitwiseOR, bits)).alias("fp"))
+    return summed.withColumn("lift", lift).select(*line, "n", "part", F.when(F.col("n") >= min_words, reduce(Column.bitwiseOR, bits)).alias("fp"))
 
 
 def blocks_for(n: int, distance: int) -> int:
@@ -141,7 +141,7 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
 
     Equal normalised lines of any length are one node, so a line that a third of the documents
     repeat costs one row from there on. Nodes of at least ``min_words`` words meet on pigeonhole
-    blocks of their SimHash; a pair within ``distance`` bits is a link if its edit similarity in
+    blocks of their SimHash, a very long line with the prints of all its parts; a pair within ``distance`` bits is a link if its edit similarity in
     words, 1 - edits / longer line, is at least ``similarity``. First every node is tried with the least node of each of its blocks;
     then only nodes of one block that are still in different groups are tried with each other.
     A crowd of near copies is so joined in proportion to its size, and as links inside a group
@@ -149,9 +149,11 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
     (doc_id, text hash, line number) stays and ``removed`` marks the others.
     """
     seen = staged(line_prints(docs, min_words, id_col, text_col), "lines")
-    nodes = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.count("*").alias("rows"))
+    nodes = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"),
+                                          F.min(F.when(F.col("part") == 0, F.col("fp"))).alias("fp"), F.min("n").alias("n"), F.count(F.when(F.col("part") == 0, 1)).alias("rows"))
     nodes = staged(nodes.select(F.struct("h1", "h2").alias("x"), "first", "fp", "n", "rows"), "nodes")
-    prints = nodes.where("fp is not null")
+    later = seen.where("part > 0").select(F.struct("h1", "h2").alias("x"), "fp", "n").distinct()
+    prints = nodes.where("fp is not null").select("x", "fp", "n").unionByName(later)
     masks = block_masks(blocks_for(prints.count(), distance), distance)
     keyed = prints.select("x", "fp", "n", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("choice", "key"))
     block = ["choice", "key"]
@@ -161,7 +163,7 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
 
     def near(fp1, n1, fp2, n2):
         return (F.bit_count(F.col(fp1).bitwiseXOR(F.col(fp2))) <= distance) & (F.abs(F.col(n1) - F.col(n2)) <= _allowed(F.col(n1), F.col(n2), similarity))
-    lead = nodes.select(F.col("x").alias("y"), F.col("fp").alias("fy"), F.col("n").alias("ny"))
+    lead = prints.select(F.col("x").alias("y"), F.col("fp").alias("fy"), F.col("n").alias("ny"))
     tried = members.where("x <> y").select("x", "fp", "n", "y").distinct().join(lead, "y").where(near("fp", "n", "fy", "ny")).select("x", "y")
     links = _verified(docs, nodes, tried, similarity, id_col, text_col)
     groups = staged(components(links, "x", "y").withColumnRenamed("node", "x"), "groups")
@@ -182,7 +184,7 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
     keep = staged(grouped.join(least, "label").select("x.h1", "x.h2", "keep"), "keep")
     for old in (nodes, shared, members, links, labelled, split, more, grouped):
         discard(old)
-    return seen.join(keep, ["h1", "h2"]).select("doc_id", "t", "line_no", (F.struct("doc_id", "t", "line_no") != F.col("keep")).alias("removed"))
+    return seen.where("part = 0").join(keep, ["h1", "h2"]).select("doc_id", "t", "line_no", (F.struct("doc_id", "t", "line_no") != F.col("keep")).alias("removed"))
 
 
 def removals(docs: DataFrame, **kw) -> DataFrame:

@@ -130,3 +130,10 @@ def test_equal_lines_of_any_length_are_one(spark, make_docs):
     rows = [(1, "Contents\na b\nContents!"), (2, "CONTENTS\n---\n\n---\nb a"), (3, han), (4, han), (5, near), (6, "a b c\na b d"), (7, "de l'eau")]
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(make_docs(rows)).collect()}
     assert got == {1: "Contents\na b", 2: "---\n\n---\nb a", 3: han, 4: "", 5: "", 6: "a b c\na b d", 7: "de l'eau"}
+
+
+def test_near_lines_of_several_parts_are_linked(spark, make_docs):
+    words = [f"w{k}" for k in range(lines._PART_WORDS + 3)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-2], "other", "tail"])), (3, " ".join(words[:-3]))]
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(make_docs(rows)).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: ""}
