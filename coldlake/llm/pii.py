@@ -20,20 +20,22 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _BLOCK = 256
-#: Spans before and after one that its context terms must not overlap.
-_NEARBY = 32
+#: Stands for each character of an e-mail address while a text's words are taken.
+_MASK = "\uE000"
+#: Runs of three letters or more that touch no e-mail address.
+_WORD = rf"(?<![\p{{L}}{_MASK}])\p{{L}}{{3,}}+(?!{_MASK})"
+#: Most text keys, of 8 bytes each, that are broadcast to find the texts.
+BROADCAST_KEYS = 500_000
 
 
 @dataclass(frozen=True)
 class Disclosure:
-    """When a term near an entity reveals it.
+    """When a term in the texts of an entity reveals it.
 
-    ``window``: code points on each side that count as the entity's context. ``threshold``: the
-    share of the entity's information content that the term gives away, PMI(term, entity) /
-    IC(entity). ``min_texts``: different texts that must support the pair.
+    ``threshold``: the share of the entity's information content that the term gives away,
+    PMI(term, entity) / IC(entity). ``min_texts``: different texts that must support the pair.
     """
 
-    window: int = 64
     threshold: float = 0.8
     min_texts: int = 3
 
@@ -66,85 +68,94 @@ _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _VALUE = {"email": F.lower, "ip": lambda x: x, "card": lambda x: F.translate(x, " -", ""), "phone": lambda x: F.regexp_replace(x, "[^0-9]", "")}
 
 
-def _with_spans(df: DataFrame, kind: str, window: int) -> DataFrame:
-    """Adds ``kind``: array of start, end, value, left and right context of its valid matches.
+def _matches(df: DataFrame, text: str, pattern: str, maybe: Column):
+    """Adds m, g, steps and blocks, the matches in ``text`` and the gaps between them; a function for the start of match i.
 
-    Matches and the gaps between them give offsets as running sums of their lengths, taken in
-    blocks so that a text with very many matches stays cheap.
+    Offsets are running sums of the lengths, taken in blocks so that a text with very many
+    matches stays cheap.
     """
-    pattern, needs = PATTERNS[kind], _NEEDS[kind]
-    maybe = F.contains("body", F.lit(needs)) if needs else F.col("body").rlike("[0-9]{2}|[0-9][ -][0-9]")
-    df = df.withColumn("m", F.when(maybe, F.regexp_extract_all("body", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    df = df.withColumn("g", F.when(F.size("m") > 0, F.split("body", pattern, -1)).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("m", F.when(maybe, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("g", F.when(F.size("m") > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>")))
     df = df.withColumn("steps", F.transform("m", lambda x, i: F.char_length(x) + F.char_length(F.get("g", i))))
 
     def total(start, count):
         return F.aggregate(F.slice("steps", start, count), F.lit(0), lambda s, x: s + x)
     df = df.withColumn("blocks", F.transform(F.sequence(F.lit(0), F.floor(F.size("m") / _BLOCK).cast("int")), lambda b: total(F.lit(1), b * _BLOCK)))
 
-    def span(x, i):
+    def start(i):
         at = (i / _BLOCK).cast("int")
-        start = F.get("blocks", at) + total(at * _BLOCK + 1, i % _BLOCK) + F.char_length(F.get("g", i))
-        return F.struct(start.alias("start"), (start + F.char_length(x)).alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"),
-                        _VALUE[kind](x).alias("value"), F.right(F.get("g", i), F.lit(window)).alias("left"), F.left(F.get("g", i + 1), F.lit(window)).alias("right"), x.alias("raw"))
+        return F.get("blocks", at) + total(at * _BLOCK + 1, i % _BLOCK) + F.char_length(F.get("g", i))
+    return df, start
+
+
+def _with_spans(df: DataFrame, kind: str) -> DataFrame:
+    """Adds ``kind``: array of start, end, rank, kind and value of its valid matches."""
+    needs = _NEEDS[kind]
+    df, start = _matches(df, "body", PATTERNS[kind], F.contains("body", F.lit(needs)) if needs else F.col("body").rlike("[0-9]{2}|[0-9][ -][0-9]"))
+
+    def span(x, i):
+        return F.struct(start(i).alias("start"), (start(i) + F.char_length(x)).alias("end"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"),
+                        _VALUE[kind](x).alias("value"), x.alias("raw"))
     return df.withColumn(kind, F.filter(F.transform("m", span), lambda s: _VALID[kind](s["raw"]))).drop("m", "g", "steps", "blocks")
 
 
-def base_spans(docs: DataFrame, window: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Staged rows (doc_id, t, base), one per input row; ``base`` is sorted by start, then kind."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     for kind in KINDS:
-        df = _with_spans(df, kind, window)
+        df = _with_spans(df, kind)
     df = df.select("doc_id", F.xxhash64("body").alias("t"), F.array_sort(F.concat(*[F.col(k) for k in KINDS])).alias("all"))
-    df = df.withColumn("at", F.transform("all", lambda s: F.struct(s["start"], s["end"])))
-    # Bounded neighbours travel with each span, so that exploding the spans stays linear.
-    near = F.transform("all", lambda s, i: s.dropFields("raw").withField("nearby", F.slice("at", F.greatest(i - _NEARBY + 1, F.lit(1)), F.least(F.lit(2 * _NEARBY), F.size("at")))))
-    return staged(df.select("doc_id", "t", near.alias("base")), "base")
-
+    return staged(df.select("doc_id", "t", F.transform("all", lambda s: s.dropFields("raw")).alias("base")), "base")
 
-def _terms(side: Column, at: Column, far_cut: Column) -> Column:
-    """Words of a short context as (term, start, end); a word cut by the context's far end goes."""
-    words, gaps = F.regexp_extract_all(side, F.lit(r"\p{L}{3,}"), F.lit(0)), F.split(side, r"\p{L}{3,}", -1)
 
-    def one(x, i):
-        before = F.aggregate(F.sequence(F.lit(0), i), F.lit(0), lambda s, j: s + F.char_length(F.get(gaps, j)) + F.when(j < i, F.char_length(F.get(words, j))).otherwise(0))
-        return F.struct(F.lower(x).alias("term"), (at + before).alias("start"), (at + before + F.char_length(x)).alias("end"), before.alias("o"), (before + F.char_length(x)).alias("p"))
-    return F.filter(F.transform(words, one), lambda s: ~far_cut(s))
+def _masked(docs: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
+    """Rows (t, text) of the texts in ``keys``, of equal length, with _MASK over e-mail addresses."""
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys  # else the texts are shuffled to the keys
+    texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(keys, "t")
+    hidden = F.transform(F.regexp_extract_all("text", F.lit(PATTERNS["email"]), F.lit(0)), lambda x: F.repeat(F.lit(_MASK), F.char_length(x)))
+    joined = F.array_join(F.zip_with(F.split("text", PATTERNS["email"], -1), hidden, lambda g, x: F.concat(g, F.coalesce(x, F.lit("")))), "")
+    return texts.withColumn("text", F.when(F.contains("text", F.lit("@")), joined).otherwise(F.col("text")))
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, t, start, end, term, disclosure): terms that give a nearby entity away.
+    """Rows (t, start, end, term): all occurrences of terms that give away an entity of their text.
 
     Entities are the distinct values of the base spans. n(.) counts different texts, so copies
-    add no evidence: PMI(term, entity) = log2(n(both) N / (n(term) n(entity))), and the term
-    discloses the entity when PMI / log2(N / n(entity)) reaches the threshold. n(term) is over
-    all documents, n(both) over contexts of the entity. Context terms grow with the number of
-    base spans, not with its square. Terms inside one of the nearest base spans are left out.
+    add no evidence: PMI(term, entity) = log2(n(both) N / (n(term) n(entity))), and the term discloses
+    the entity when PMI / log2(N / n(entity)) reaches the threshold. n(both) counts whole
+    texts. Words that touch an e-mail address are no terms; other base spans have no letters.
     """
-    span = base.select("doc_id", "t", F.explode("base").alias("s"))
-    left = _terms(F.col("s.left"), F.col("s.start") - F.char_length("s.left"), lambda w: (w["o"] == 0) & (F.char_length("s.left") == rule.window))
-    right = _terms(F.col("s.right"), F.col("s.end"), lambda w: (w["p"] == F.char_length("s.right")) & (F.char_length("s.right") == rule.window))
-    near = (span.select("doc_id", "t", F.col("s.nearby").alias("nearby"), F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.explode(F.concat(left, right)).alias("w"))
-            .where(~F.exists("nearby", lambda s: (s["start"] < F.col("w.end")) & (s["end"] > F.col("w.start"))))
-            .select("doc_id", "t", "entity", "w.term", "w.start", "w.end"))
-    near = staged(near, "near")
-    entity = near.groupBy("entity").agg(F.count_distinct("t").alias("n_entity")).where(F.col("n_entity") >= rule.min_texts)
-    both = near.groupBy("entity", "term").agg(F.count_distinct("t").alias("n_both")).where(F.col("n_both") >= rule.min_texts)
+    owner = staged(base.select("t", F.explode(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entity")).distinct(), "entities")
     n_texts = base.agg(F.count_distinct("t").alias("n")).first()["n"]
     total = F.lit(float(n_texts))
+    entity = owner.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") >= rule.min_texts) & (F.col("n_entity") < n_texts))
+    owned = staged(owner.join(entity, "entity"), "owned")
+    texts = _masked(docs, staged(owned.select("t").distinct(), "owners"), text_col)
+    words = staged(texts.select("t", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)), lambda x: F.lower(x)))).alias("term")).distinct(), "words")
 
     def disclosure(n_term):
         return F.log2(F.col("n_both") * total / (F.col(n_term) * F.col("n_entity"))) / F.log2(total / F.col("n_entity"))
-    # Contexts are part of the texts, so their count bounds n(term) from below: pairs that fail
+
+    def possible(n_entity):  # n(both) is n(entity) at most
+        return F.col("n_seen") <= total * F.pow(F.col(n_entity) / total, F.lit(rule.threshold)) * (1 + 1e-9)
+    # These texts are some of all, so their count bounds n(term) from below: pairs that fail
     # with it fail with n(term), and frequent words are never counted over the corpus.
-    seen = near.groupBy("term").agg(F.count_distinct("t").alias("n_seen"))
-    pairs = staged(both.join(entity, "entity").join(seen, "term").where((F.col("n_entity") < n_texts) & (disclosure("n_seen") >= rule.threshold)), "pairs")
+    most = owned.agg(F.max("n_entity").alias("most"))
+    seen = words.groupBy("term").agg(F.count("*").alias("n_seen")).where(F.col("n_seen") >= rule.min_texts).crossJoin(F.broadcast(most)).where(possible("most")).drop("most")
+    likely = staged(words.join(seen, "term"), "likely")
+    both = (owned.join(likely, "t").where(possible("n_entity")).groupBy("entity", "term", "n_entity", "n_seen").agg(F.count("*").alias("n_both"))
+            .where((F.col("n_both") >= rule.min_texts) & (disclosure("n_seen") >= rule.threshold)))
+    pairs = staged(both, "pairs")
     terms = staged(pairs.select("term").distinct(), "terms")
     body = F.coalesce(F.col(text_col), F.lit(""))
-    words = docs.select(F.xxhash64(body).alias("t"), F.explode(F.array_distinct(F.split(F.lower(body), r"[^\p{L}]+"))).alias("term"))
-    counts = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count_distinct("t").alias("n_term"))
-    guilty = staged(pairs.join(counts, "term").select("entity", "term", disclosure("n_term").alias("disclosure")).where(F.col("disclosure") >= rule.threshold), "guilty")
-    return near.join(guilty, ["entity", "term"]).groupBy("doc_id", "t", "start", "end").agg(F.min("term").alias("term"), F.max("disclosure").alias("disclosure"))
+    every = docs.select(F.xxhash64(body).alias("t"), F.explode(F.array_distinct(F.split(F.lower(body), r"[^\p{L}]+"))).alias("term"))
+    counts = every.join(terms, "term", "left_semi").groupBy("term").agg(F.count_distinct("t").alias("n_term"))
+    guilty = staged(pairs.join(counts, "term").where(disclosure("n_term") >= rule.threshold).select("entity", "term"), "guilty")
+    concerned = staged(owned.join(guilty, "entity").join(words, ["t", "term"]).groupBy("t").agg(F.collect_set("term").alias("terms")), "concerned")
+    placed, start = _matches(_masked(docs, concerned, text_col).dropDuplicates(["t"]), "text", _WORD, F.lit(True))
+    found = F.filter(F.transform("m", lambda x, i: F.struct(i.alias("i"), F.lower(x).alias("term"), F.char_length(x).alias("size"))), lambda w: F.array_contains("terms", w["term"]))
+    at = F.transform(found, lambda w: F.struct(start(w["i"]).alias("start"), (start(w["i"]) + w["size"]).alias("end"), w["term"].alias("term")))
+    return placed.select("t", F.inline(at))
 
 
 def find(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,10 +164,10 @@ def find(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id
     Null text counts as empty and has no spans; null ids work; rows that repeat are answered
     each; other columns are ignored; an empty table gives no rows.
     """
-    base = base_spans(docs, rule.window, id_col, text_col)
-    added = (disclosing_terms(docs, base, rule, text_col).groupBy(F.col("doc_id").alias("id"), F.col("t").alias("key"))
+    base = base_spans(docs, id_col, text_col)
+    added = (disclosing_terms(docs, base, rule, text_col).groupBy(F.col("t").alias("key"))
              .agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("terms")))
-    both = base.join(added, base["doc_id"].eqNullSafe(added["id"]) & (base["t"] == added["key"]), "left")
+    both = base.join(added, base["t"] == added["key"], "left")
     return both.select("doc_id", "t", F.transform("base", lambda s: F.struct(s["start"], s["end"], s["rank"], s["kind"])).alias("base"),
                        F.coalesce("terms", F.array().cast("array<struct<start:int,end:int>>")).alias("terms"))
 

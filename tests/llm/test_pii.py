@@ -115,3 +115,12 @@ def test_empty_table_and_native_plan(spark, make_docs):
 def test_patterns_are_linear(spark, kind):
     text = {"email": "a" * 200_000, "ip": "1" * 200_000, "card": "1 " * 100_000, "phone": "+1" + " " * 200_000}[kind]
     assert spark.createDataFrame([(text,)], "x string").select(F.size(F.regexp_extract_all("x", F.lit(pii.PATTERNS[kind]), F.lit(0)))).first()[0] in (0, 1)
+
+
+def test_terms_are_found_over_whole_texts(spark, make_docs):
+    rows = [(k, f"{prose(k, 30)} Zorblatt {prose(50 + k, 40)} 2024 staff@corp.example {prose(900 + k, 30)} zorblatt") for k in range(5)]
+    rows += [(10 + k, prose(40 + k, 60)) for k in range(30)]
+    texts = dict(rows)
+    for r in pii.find(make_docs(rows)).collect():
+        found = [texts[r["doc_id"]][s["start"]:s["end"]] for s in r["terms"]]
+        assert found.count("Zorblatt") == found.count("zorblatt") == (r["doc_id"] < 5)
