@@ -66,6 +66,9 @@ def _is_phone(x: Column) -> Column:
 _VALID = {"email": lambda x: F.lit(True), "ip": _is_ip, "card": _is_card, "phone": _is_phone}
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _VALUE = {"email": F.lower, "ip": lambda x: x, "card": lambda x: F.translate(x, " -", ""), "phone": lambda x: F.regexp_replace(x, "[^0-9]", "")}
+#: What a value shares with others, so that a rare one still has texts to estimate from.
+_PARTS = {"email": {"name": lambda v: F.substring_index(v, "@", 1), "domain": lambda v: F.substring_index(v, "@", -1)}, "ip": {"net": lambda v: F.substring_index(v, ".", 3)},
+          "card": {"issuer": lambda v: F.left(v, F.lit(6))}, "phone": {"area": lambda v: F.left(v, F.lit(6))}}
 
 
 def _matches(df: DataFrame, text: str, pattern: str, maybe: Column):
@@ -108,6 +111,12 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return staged(df.select("doc_id", "t", F.transform("all", lambda s: s.dropFields("raw")).alias("base")), "base")
 
 
+def _entities(s: Column) -> Column:
+    """The value of a base span and the parts that it shares with others, as distinct strings."""
+    parts = [F.when(s["kind"] == kind, F.concat(F.lit(f"{kind} {name}:"), f(s["value"]))) for kind, of in _PARTS.items() for name, f in of.items()]
+    return F.array_compact(F.array(F.concat_ws(":", s["kind"], s["value"]), *parts))
+
+
 def _masked(docs: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
     """Rows (t, text) of the texts in ``keys``, of equal length, with _MASK over e-mail addresses."""
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys  # else the texts are shuffled to the keys
@@ -120,12 +129,14 @@ def _masked(docs: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
 def disclosing_terms(docs: DataFrame, base: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "text") -> DataFrame:
     """Rows (t, start, end, term): all occurrences of terms that give away an entity of their text.
 
-    Entities are the distinct values of the base spans. n(.) counts different texts, so copies
-    add no evidence: PMI(term, entity) = log2(n(both) N / (n(term) n(entity))), and the term discloses
+    Entities are the distinct values of the base spans and the parts they share with other
+    values (name and domain of an e-mail address, network, issuer, area), so that a value of
+    one text is judged by the texts of its parts. n(.) counts different texts, so copies add no
+    evidence: PMI(term, entity) = log2(n(both) N / (n(term) n(entity))), and the term discloses
     the entity when PMI / log2(N / n(entity)) reaches the threshold. n(both) counts whole
     texts. Words that touch an e-mail address are no terms; other base spans have no letters.
     """
-    owner = staged(base.select("t", F.explode(F.transform("base", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entity")).distinct(), "entities")
+    owner = staged(base.select("t", F.explode(F.flatten(F.transform("base", _entities))).alias("entity")).distinct(), "entities")
     n_texts = base.agg(F.count_distinct("t").alias("n")).first()["n"]
     total = F.lit(float(n_texts))
     entity = owner.groupBy("entity").agg(F.count("*").alias("n_entity")).where((F.col("n_entity") >= rule.min_texts) & (F.col("n_entity") < n_texts))

@@ -124,3 +124,13 @@ def test_terms_are_found_over_whole_texts(spark, make_docs):
     for r in pii.find(make_docs(rows)).collect():
         found = [texts[r["doc_id"]][s["start"]:s["end"]] for s in r["terms"]]
         assert found.count("Zorblatt") == found.count("zorblatt") == (r["doc_id"] < 5)
+
+
+def test_terms_of_rare_values_are_found_over_whole_texts(spark, make_docs):
+    far = prose(7, 40)
+    rows = [(k, f"{prose(k, 30)} Zorblatt {prose(50 + k, 40)} 2024 staff{k}@corp.example {prose(900 + k, 30)} zorblatt") for k in range(5)]
+    rows += [(10 + k, prose(40 + k, 60)) for k in range(30)] + [(60, f"Quillfeather one@only.example {far}")]
+    texts = dict(rows)
+    for r in pii.find(make_docs(rows)).collect():
+        found = [texts[r["doc_id"]][s["start"]:s["end"]] for s in r["terms"]]
+        assert found.count("Zorblatt") == found.count("zorblatt") == (r["doc_id"] < 5) and "Quillfeather" not in found
