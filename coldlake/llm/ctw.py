@@ -224,6 +224,8 @@ def score(docs: DataFrame, train: Column | None = None, depth: int = DEPTH, broa
     is empty and has its end alone; without training rows every bit has probability one half;
     rows that repeat are scored each; other columns are ignored.
     """
+    if not 0 <= depth <= DEPTH:
+        raise ValueError(f"depth is {depth}, but must be 0 to {DEPTH}")
     spark = docs.sparkSession
     if train is None:
         train = ~held_out(F.col(id_col))

@@ -110,3 +110,8 @@ def test_without_training_rows_or_documents(spark, make_docs):
     got = ctw.score(make_docs([(1, "ab")]), train=F.lit(False)).first()
     assert got["n_known"] == 0 and got["train_tokens"] == 0 and abs(got["score"] - 24 * math.log10(0.5)) < 1e-9
     assert ctw.score(make_docs([])).count() == 0
+
+
+def test_depth_beyond_five_is_refused(spark, make_docs):
+    with pytest.raises(ValueError):
+        ctw.score(make_docs([(1, "abc")]), depth=6)
