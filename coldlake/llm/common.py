@@ -90,3 +90,26 @@ def _max(a: str, b: str) -> Column:
 def _digest(df: DataFrame) -> tuple:
     r = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return r["n"], r["h"]
+
+
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str = "ranked") -> DataFrame:
+    """``df`` with ``pos``: each row's place from 0 within its ``group`` by ``order``, staged.
+
+    Rows are range-partitioned on (group, order) and numbered where they lie, so a group of any
+    size is dealt over all partitions; what a group has in earlier partitions is one row per
+    partition and group. Group columns must not be null. Rows that tie in all of ``order`` are
+    numbered among each other in any order. ``discard()`` of the result deletes its table.
+    """
+    from pyspark.sql import Window as W
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    keys = [*group, *order, "_tie"]
+    ranged = tied.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_tie")
+    rows = staged(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), name)
+    held = rows.groupBy(*group, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = held.select(*group, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_base"))
+    out = rows.join(starts, [*group, "_part"]).withColumn("pos", F.col("_at") + F.col("_base")).drop("_at", "_part", "_base")
+    out._coldlake_path = rows._coldlake_path
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldlake.llm import chat, covertree, ctw, decontaminate, lines, packing, pii, sharding, simhash, toxicity
+from coldlake.llm import chat, covertree, ctw, decontaminate, lines, merkle, mixing, negatives, packing, pii, sharding, simhash, toxicity
 from coldlake.llm.common import table
 
 
@@ -71,5 +71,22 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed_lines"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_ctw, op4_covertree, op5_chat, op6_toxicity, op7_packing, op8_decontaminate, op9_sharding, op10_lines)}
-ORACLE: dict[str, str] = {"op5_chat": chat.ORACLE_SQL}
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.audit(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root",
+                        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(rows.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_simhash, op3_ctw, op4_covertree, op5_chat, op6_toxicity, op7_packing, op8_decontaminate, op9_sharding, op10_lines,
+                                  op11_merkle, op12_mixing, op13_negatives)}
+ORACLE: dict[str, str] = {"op5_chat": chat.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL, "op12_mixing": mixing.ORACLE_SQL, "op13_negatives": negatives.ORACLE_SQL}
