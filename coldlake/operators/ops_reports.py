@@ -33,6 +33,11 @@ def top_kpis(fact: DataFrame) -> DataFrame:
     pairs = fact.groupBy("shipment_id", "vehicle_id").agg(
         F.count(F.lit(1)).alias("n"), count_when(_safe()).alias("safe_n"),
         F.sum("risk_score").alias("risk_sum"), F.max(at_risk.cast("int")).alias("any_risk"))
+    return top_kpis_of(pairs)
+
+
+def top_kpis_of(pairs: DataFrame) -> DataFrame:
+    """C1 from (shipment, vehicle) rows with n, safe_n, risk_sum and any_risk."""
     return pairs.agg(
         F.count_distinct("shipment_id").alias("total_shipments"),
         F.count_distinct("vehicle_id").alias("active_vehicles"),
@@ -52,10 +57,13 @@ def quality_score(runs: DataFrame, quality: DataFrame) -> DataFrame:
     """max(0, 100 - failures / checked * 100) over the latest run's checks; 100 without runs."""
     latest = quality.join(latest_run_id(runs), "run_id", "left_semi")
     agg = latest.agg(F.sum("records_checked").alias("checked"), F.sum("failures").alias("failed"))
-    score = F.when(F.coalesce(F.col("checked"), F.lit(0)) == 0, F.lit(100.0)).otherwise(
-        F.greatest(F.lit(0.0), F.lit(100.0) - F.try_divide(F.col("failed").cast("double"), F.col("checked"))
-                   * F.lit(100.0)))
-    return agg.select(half_even(score, 1).alias("data_quality_score"))
+    return agg.select(quality_score_of("checked", "failed").alias("data_quality_score"))
+
+
+def quality_score_of(checked: str, failed: str) -> Column:
+    score = F.when(F.coalesce(F.col(checked), F.lit(0)) == 0, F.lit(100.0)).otherwise(
+        F.greatest(F.lit(0.0), F.lit(100.0) - F.try_divide(F.col(failed).cast("double"), F.col(checked)) * F.lit(100.0)))
+    return half_even(score, 1)
 
 
 def second_kpis(fact: DataFrame, incidents: DataFrame, runs: DataFrame, quality: DataFrame) -> DataFrame:
@@ -116,7 +124,12 @@ def _by_shipment(fact: DataFrame, extra: list[Column] | None = None) -> DataFram
 
 
 def _risk_by_dim(fact: DataFrame, dim_shipment: DataFrame, key: str) -> DataFrame:
-    per = _by_shipment(fact).join(dim_shipment.select("shipment_id", key), "shipment_id")
+    return risk_by_dim_of(_by_shipment(fact), dim_shipment, key)
+
+
+def risk_by_dim_of(by_shipment: DataFrame, dim_shipment: DataFrame, key: str) -> DataFrame:
+    """C8 / C9 from rows per shipment with n, safe_n and risk_sum."""
+    per = by_shipment.join(dim_shipment.select("shipment_id", key), "shipment_id")
     return (per.groupBy(key).agg(
         stat(F.try_divide(F.sum("risk_sum"), F.sum("n"))).alias("avg_risk"),
         stat(pct(F.sum("safe_n"), F.sum("n"))).alias("compliance_pct"))
@@ -158,6 +171,10 @@ def shipment_health_exact(fact: DataFrame, rules: Rules = DEFAULT_RULES) -> Data
         pct(count_when(_safe()), n).alias("temp_compliance"),
         F.avg("battery_pct").alias("avg_battery"),
         pct(count_when(F.col("door_open") == 0), n).alias("door_discipline"))
+    return _with_health(per, rules)
+
+
+def _with_health(per: DataFrame, rules: Rules) -> DataFrame:
     health = half_even(F.col("temp_compliance") * F.lit(0.4) + (F.lit(100.0) - F.col("avg_risk")) * F.lit(0.3)
                        + F.col("avg_battery") * F.lit(0.15) + F.col("door_discipline") * F.lit(0.15), 1)
     return per.withColumn("health_score", health).withColumn(
@@ -167,7 +184,15 @@ def shipment_health_exact(fact: DataFrame, rules: Rules = DEFAULT_RULES) -> Data
 
 def shipment_health(fact: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Per-shipment health score and band (band judged on the rounded score), ascending."""
-    out = shipment_health_exact(fact, rules)
+    return _health_rows(shipment_health_exact(fact, rules))
+
+
+def shipment_health_of(per: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+    """C12 from each shipment's unrounded averages."""
+    return _health_rows(_with_health(per, rules))
+
+
+def _health_rows(out: DataFrame) -> DataFrame:
     return out.select("shipment_id", *[stat(F.col(c)).alias(c) for c in
                                        ("avg_risk", "temp_compliance", "avg_battery", "door_discipline")],
                       "health_score", "status").orderBy("health_score", "shipment_id")
@@ -211,6 +236,11 @@ def pipeline_health(runs: DataFrame) -> DataFrame:
         F.coalesce(F.sum("rows_rejected"), F.lit(0)).cast("long").alias("records_rejected"),
         F.count(F.lit(1)).alias("total_runs"),
         F.max_by(F.struct("status", "finished_at"), F.struct("started_at", "run_id")).alias("latest"))
+    return pipeline_health_of(agg)
+
+
+def pipeline_health_of(agg: DataFrame) -> DataFrame:
+    """C16 from the totals and the latest run."""
     rate = F.when(F.col("records_generated") == 0, F.lit(100.0)).otherwise(
         half_even(pct("records_processed", "records_generated"), 1))
     return agg.select("records_generated", "records_processed", "records_rejected",
@@ -332,8 +362,12 @@ def hourly_reading_counts(fact: DataFrame) -> DataFrame:
 
 def food_category_compliance(fact: DataFrame, dim_shipment: DataFrame) -> DataFrame:
     """By dimension category, pre-aggregated per shipment before the join."""
-    per = _by_shipment(fact, [F.sum("humidity_pct").alias("hum_sum")]).join(
-        dim_shipment.select("shipment_id", "food_category"), "shipment_id")
+    return food_category_compliance_of(_by_shipment(fact, [F.sum("humidity_pct").alias("hum_sum")]), dim_shipment)
+
+
+def food_category_compliance_of(by_shipment: DataFrame, dim_shipment: DataFrame) -> DataFrame:
+    """C32 from rows per shipment with n, safe_n, risk_sum and hum_sum."""
+    per = by_shipment.join(dim_shipment.select("shipment_id", "food_category"), "shipment_id")
     return (per.groupBy("food_category").agg(
         stat(pct(F.sum("safe_n"), F.sum("n"))).alias("compliance_pct"),
         stat(F.try_divide(F.sum("hum_sum"), F.sum("n"))).alias("avg_humidity"),
@@ -355,46 +389,69 @@ def warehouse_food_risk_flow(fact: DataFrame, raw: DataFrame, dim_shipment: Data
 CORR_COLUMNS = ["temperature_c", "humidity_pct", "battery_pct", "speed_kmh", "risk_score", "door_open"]
 
 
-def correlation_long(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
+def correlation_shift(rules: Rules = DEFAULT_RULES) -> dict[str, float]:
+    """Middle of each valid range: any constant near the data keeps the digits of the sums."""
+    return {"temperature_c": (rules.temp_min + rules.temp_max) / 2, "humidity_pct": (rules.humidity_min + rules.humidity_max) / 2,
+            "battery_pct": (rules.battery_min + rules.battery_max) / 2, "speed_kmh": (rules.speed_min + rules.speed_max) / 2,
+            "risk_score": rules.score_cap / 2, "door_open": 0.5}
+
+
+def correlation_long(df: DataFrame, columns: list[str], digits: int = 2, shift: dict[str, float] | None = None) -> DataFrame:
     """Pearson matrix in long form (var_x, var_y, corr) from ONE pass of shifted sums.
 
-    Each column is shifted by its mean, a scalar subquery, so that the sums of squares and
-    products lose no digits; a plain sum costs a fraction of a moment aggregate. A constant
-    column gives NULL (pandas NaN). Rows with a NULL in any of the columns are dropped first
-    (the validated tables have none). Diagonal = 1.0 unless the column is constant.
+    Each column is shifted by a value near it, so that the sums of squares and products lose
+    no digits: ``shift`` if given, else some row's own values (a one-row read); the result does
+    not depend on which. A constant column gives NULL (pandas NaN). Rows with a NULL in any of
+    the columns are dropped first (the validated tables have none). Diagonal = 1.0 unless the
+    column is constant.
     """
     data = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
-    means = data.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("m")).scalar()
-    shifted = data.select(*[(F.col(c) - means[c]).alias(c) for c in columns])
+    if shift is None:
+        some = data.limit(1).agg(F.struct(*[F.max(c).alias(c) for c in columns]).alias("m")).scalar()
+        by = {c: some[c] for c in columns}
+    else:
+        by = {c: F.lit(shift[c]) for c in columns}
+    shifted = data.select(*[(F.col(c) - by[c]).alias(c) for c in columns])
     sums = shifted.agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in columns],
         *[(F.max(c) > F.min(c)).alias(f"varies_{c}") for c in columns],
         *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}__{b}") for i, a in enumerate(columns) for b in columns[i:]])
+    return correlation_of(sums, columns, digits)
+
 
+def correlation_of(sums: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
+    """The matrix from one row of shifted sums: n, s_x, p_x__y and varies_x.
+
+    Moments become columns once; the pairs are exploded by name and look theirs up, so the
+    expressions stay as few as the columns."""
     def moment(a: str, b: str) -> Column:
         return F.col(f"p_{a}__{b}") - F.try_divide(F.col(f"s_{a}") * F.col(f"s_{b}"), F.col("n"))
-    pairs = []
-    for i, a in enumerate(columns):
-        pairs.append(F.struct(F.lit(a).alias("var_x"), F.lit(a).alias("var_y"), F.when(F.col(f"varies_{a}"), F.lit(1.0)).alias("corr")))
-        for b in columns[i + 1:]:
-            r = F.when(F.col(f"varies_{a}") & F.col(f"varies_{b}"), F.try_divide(moment(a, b), F.sqrt(moment(a, a) * moment(b, b))))
-            rounded = half_even(r, digits) + F.lit(0.0)          # no negative zero
-            for x, y in ((a, b), (b, a)):
-                pairs.append(F.struct(F.lit(x).alias("var_x"), F.lit(y).alias("var_y"), rounded.alias("corr")))
-    return sums.select(F.explode(F.array(*pairs)).alias("p")).select("p.var_x", "p.var_y", "p.corr")
-
-
-def sensor_correlation_matrix(fact: DataFrame) -> DataFrame:
+
+    spread = sums.select("*", *[F.when(F.col(f"varies_{a}"), moment(a, a)).alias(f"m_{a}") for a in columns])
+    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), moment(a, b).alias("m"), F.col(f"m_{a}").alias("ma"), F.col(f"m_{b}").alias("mb"))
+             for i, a in enumerate(columns) for b in columns[i:]]
+    pair = spread.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+    r = F.when(F.col("a") == F.col("b"), F.when(F.col("ma").isNotNull(), F.lit(1.0))).otherwise(
+        half_even(F.try_divide("m", F.sqrt(F.col("ma") * F.col("mb"))), digits) + F.lit(0.0))          # no negative zero
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")))).otherwise(
+        F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
+    return pair.select(r.alias("corr"), F.explode(sides).alias("s")).select(F.col("s.x").alias("var_x"), F.col("s.y").alias("var_y"), "corr")
+
+
+def sensor_correlation_matrix(fact: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """C34."""
-    return correlation_long(fact, CORR_COLUMNS)
+    return correlation_long(fact, CORR_COLUMNS, shift=correlation_shift(rules))
 
 
 def system_health_score(fact: DataFrame, runs: DataFrame, quality: DataFrame) -> DataFrame:
     """.35 * compliance + .35 * mean shipment health + .30 * quality, from rounded inputs."""
-    health = shipment_health(fact).agg(F.avg("health_score").alias("avg_health"),
-                                       F.count(F.lit(1)).alias("n_shipments"))
-    comp = top_kpis(fact).select("temperature_compliance")
-    out = attach_scalars(health, comp, quality_score(runs, quality))
+    return system_health_of(shipment_health(fact), top_kpis(fact), quality_score(runs, quality))
+
+
+def system_health_of(shipments: DataFrame, kpis: DataFrame, quality_row: DataFrame) -> DataFrame:
+    """C35 from C12, C1 and the quality score."""
+    health = shipments.agg(F.avg("health_score").alias("avg_health"), F.count(F.lit(1)).alias("n_shipments"))
+    out = attach_scalars(health, kpis.select("temperature_compliance"), quality_row)
     score = (F.col("temperature_compliance") * F.lit(0.35) + F.col("avg_health") * F.lit(0.35)
              + F.col("data_quality_score") * F.lit(0.30))
     return out.select(F.when(F.col("n_shipments") == 0, F.lit(0.0)).otherwise(half_even(score, 1))

@@ -141,10 +141,15 @@ class SensorBatch:
 
     @property
     def rejects(self) -> DataFrame:
-        """B3 rejected_events rows (one per rejected arrival, duplicates included)."""
-        rej = self.labelled.filter(F.col("rejection_reason").isNotNull())
-        return rej.select(
-            fx.row_key("batch_id", "event_id", "arrival_seq", F.xxhash64(*RAW_COLS)).alias("rejection_id"),
+        """B3 rejected_events rows (one per rejected arrival, duplicates included).
+
+        Equal arrivals get different keys: they are numbered inside the partition group that
+        they lie in, so that no group of copies, however large, meets in one task."""
+        rej = self.labelled.filter(F.col("rejection_reason").isNotNull()).withColumns(
+            {"_content": F.xxhash64(*RAW_COLS), "_group": F.pmod(F.spark_partition_id(), F.lit(ARRIVAL_SPLITS))})
+        nth = F.row_number().over(Window.partitionBy("batch_id", "event_id", "arrival_seq", "_content", "_group").orderBy(F.lit(0)))
+        return rej.withColumn("_nth", nth).select(
+            fx.row_key("batch_id", "event_id", "arrival_seq", "_content", "_group", "_nth").alias("rejection_id"),
             "event_id", "rejection_reason", raw_payload().alias("raw_payload"),
             self.run_time().alias("rejected_at"),
         ).select(*[f.name for f in REJECTED_EVENTS.fields])

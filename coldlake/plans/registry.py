@@ -28,11 +28,12 @@ def catalog_for(spark: SparkSession, sf_dir: str) -> Catalog:
 
 
 def _entries() -> dict[str, tuple]:
-    from coldlake.plans import registry_ops, registry_sales, registry_store
+    from coldlake.plans import registry_live, registry_ops, registry_sales, registry_store
     out: dict[str, tuple] = {}
     out.update(registry_ops.QUERIES)
     out.update(registry_sales.QUERIES)
     out.update(registry_store.QUERIES)
+    out.update(registry_live.QUERIES)
     return out
 
 

@@ -523,7 +523,7 @@ def _d14(c: Catalog):
     return V.to_display_time(R.recent_temperature(c.fact), "event_timestamp")
 
 
-# ------------------------------------------------------------------ A16, B11 and the streaming operators
+# ------------------------------------------------------------------ A16, B11
 
 @q("A16_shipment_bounds", O.sensor("""
 SELECT d.shipment_id, d.food_category, d.warehouse, d.destination, coalesce(r.lo, -30.0) AS required_min_temp,
@@ -537,26 +537,3 @@ def _a16(c: Catalog):
 SELECT run_id, rows_generated, rows_processed, rows_rejected, incidents_created FROM runs"""))
 def _b11(c: Catalog):
     return c.runs.select("run_id", "rows_generated", "rows_processed", "rows_rejected", "incidents_created")
-
-
-@q("H03_minute_status_counts", O.sensor("""
-SELECT strftime(event_timestamp, '%Y-%m-%dT%H:%M') AS minute, temperature_status, count(*) AS count
-FROM fact GROUP BY 1, 2"""))
-def _h03(c: Catalog):
-    from coldlake.streaming.sensor_stream import minute_status_counts
-    return minute_status_counts(c.fact)
-
-
-@q("H05_freshness_state", O.sensor("SELECT max(event_timestamp) AS latest_event_timestamp FROM fact"))
-def _h05(c: Catalog):
-    from coldlake.streaming.sensor_stream import freshness_state
-    return freshness_state(c.fact)
-
-
-@q("H06_latest_position", O.sensor("""
-SELECT vehicle_id, latitude, longitude, temperature_c, risk_level, event_timestamp FROM (
-  SELECT *, row_number() OVER (PARTITION BY vehicle_id ORDER BY event_timestamp DESC, event_id DESC) AS rn FROM fact)
-WHERE rn = 1"""))
-def _h06(c: Catalog):
-    from coldlake.streaming.sensor_stream import latest_position
-    return latest_position(c.fact)

@@ -1,4 +1,4 @@
-"""Registered queries of the write protocol, row rules and streams.
+"""Registered queries of the write protocol, row rules and streams.
 
 Stores and streams of these queries live in a new folder below the checkpoint folder.
 """
@@ -201,28 +201,6 @@ def _b08(c: Catalog):
 
 # ------------------------------------------------------------------ H: streams
 
-def _streamed(c: Catalog, name: str) -> TableStore:
-    base = folder(c, name)
-    store = TableStore(c.spark, f"{base}/tables")
-    query = sensor_stream.start_sensor_pipeline(c.spark, f"{c.sf_dir}/events.parquet", store, f"{base}/checkpoint", clock=c.clock, available_now=True)
-    query.awaitTermination()
-    return store
-
-
-@q("H01_stream_commit", O.sensor("""
-SELECT event_id, temperature_status, risk_score, risk_level, shipment_id FROM fact"""))
-def _h01(c: Catalog):
-    return _streamed(c, "h01").read("fact_sensor_reading").select("event_id", "temperature_status", "risk_score", "risk_level", "shipment_id")
-
-
-@q("H01_stream_run_log", O.sensor("""
-SELECT (SELECT count(*) FROM labelled) AS rows_generated, (SELECT count(*) FROM fact) AS rows_processed,
-       (SELECT count(*) FROM rejects) AS rows_rejected, (SELECT count(*) FROM incidents) AS incidents_created"""))
-def _h01_log(c: Catalog):
-    names = ("rows_generated", "rows_processed", "rows_rejected", "incidents_created")
-    return _streamed(c, "h01log").read("pipeline_runs").agg(*[F.sum(n).cast("long").alias(n) for n in names])
-
-
 @q("H02_exact_dedupe", O.sensor("SELECT event_id, event_timestamp FROM raw"))
 def _h02(c: Catalog):
     base = folder(c, "h02")
@@ -278,22 +256,3 @@ def _h08(c: Catalog):
     for _ in range(2):
         order_feed.apply_order_changes(store, changes)
     return store.read("fact_order").groupBy("order_id").agg(F.count_distinct("order_line_id").alias("lines"))
-
-
-@q("H09_idempotent_commit", O.sensor("""
-SELECT 'raw_sensor_events' AS table_name, (SELECT count(*) FROM raw) AS row_count
-UNION ALL SELECT 'fact_sensor_reading', (SELECT count(*) FROM fact)
-UNION ALL SELECT 'fact_incident', (SELECT count(*) FROM incidents)
-UNION ALL SELECT 'rejected_events', (SELECT count(*) FROM rejects WHERE event_id IS NOT NULL)
-UNION ALL SELECT 'data_quality_results', (SELECT count(*) FROM quality)
-UNION ALL SELECT 'pipeline_runs', (SELECT count(*) FROM runs)"""))
-def _h09(c: Catalog):
-    """Row counts after the same batch is committed twice."""
-    store = new_store(c, "h09")
-    for _ in range(2):
-        sensor_stream.commit_sensor_batch(store, c.sensor_batch.arrivals, c.rules, c.clock)
-    out = None
-    for name in ("raw_sensor_events", "fact_sensor_reading", "fact_incident", "rejected_events", "data_quality_results", "pipeline_runs"):
-        one = store.count(name).select(F.lit(name).alias("table_name"), F.col("rows").alias("row_count"))
-        out = one if out is None else out.unionByName(one)
-    return out
