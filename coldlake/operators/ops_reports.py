@@ -405,37 +405,31 @@ def correlation_long(df: DataFrame, columns: list[str], digits: int = 2, shift:
     the columns are dropped first (the validated tables have none). Diagonal = 1.0 unless the
     column is constant.
     """
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).na.drop()
+    data = df.selectExpr(*[f"cast({c} as double) as {c}" for c in columns]).na.drop()
     if shift is None:
         some = data.limit(1).agg(F.struct(*[F.max(c).alias(c) for c in columns]).alias("m")).scalar()
-        by = {c: some[c] for c in columns}
+        shifted = data.select(*[(F.col(c) - some[c]).alias(c) for c in columns])
     else:
-        by = {c: F.lit(shift[c]) for c in columns}
-    shifted = data.select(*[(F.col(c) - by[c]).alias(c) for c in columns])
-    sums = shifted.agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in columns],
-        *[(F.max(c) > F.min(c)).alias(f"varies_{c}") for c in columns],
-        *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}__{b}") for i, a in enumerate(columns) for b in columns[i:]])
+        shifted = data.selectExpr(*[f"{c} - {float(shift[c])!r}D as {c}" for c in columns])
+    sums = shifted.agg(*[F.expr(e) for e in [
+        "count(1) as n", *[f"sum({c}) as s_{c}" for c in columns], *[f"max({c}) > min({c}) as varies_{c}" for c in columns],
+        *[f"sum({a} * {b}) as p_{a}__{b}" for i, a in enumerate(columns) for b in columns[i:]]]])
     return correlation_of(sums, columns, digits)
 
 
 def correlation_of(sums: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
     """The matrix from one row of shifted sums: n, s_x, p_x__y and varies_x.
 
-    Moments become columns once; the pairs are exploded by name and look theirs up, so the
-    expressions stay as few as the columns."""
-    def moment(a: str, b: str) -> Column:
-        return F.col(f"p_{a}__{b}") - F.try_divide(F.col(f"s_{a}") * F.col(f"s_{b}"), F.col("n"))
-
-    spread = sums.select("*", *[F.when(F.col(f"varies_{a}"), moment(a, a)).alias(f"m_{a}") for a in columns])
-    pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), moment(a, b).alias("m"), F.col(f"m_{a}").alias("ma"), F.col(f"m_{b}").alias("mb"))
-             for i, a in enumerate(columns) for b in columns[i:]]
-    pair = spread.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
-    r = F.when(F.col("a") == F.col("b"), F.when(F.col("ma").isNotNull(), F.lit(1.0))).otherwise(
-        half_even(F.try_divide("m", F.sqrt(F.col("ma") * F.col("mb"))), digits) + F.lit(0.0))          # no negative zero
-    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")))).otherwise(
-        F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))
-    return pair.select(r.alias("corr"), F.explode(sides).alias("s")).select(F.col("s.x").alias("var_x"), F.col("s.y").alias("var_y"), "corr")
+    Pairs are exploded before the division and the rounding, which are then written once."""
+    def moment(a: str, b: str) -> str:
+        return f"p_{a}__{b} - try_divide(s_{a} * s_{b}, n)"
+
+    spread = sums.selectExpr("*", *[f"CASE WHEN varies_{a} THEN {moment(a, a)} END AS m_{a}" for a in columns])
+    pairs = ", ".join(f"struct('{a}' AS a, '{b}' AS b, {moment(a, b)} AS m, m_{a} AS ma, m_{b} AS mb)" for i, a in enumerate(columns) for b in columns[i:])
+    pair = spread.selectExpr(f"inline(array({pairs}))")
+    r = F.expr(f"CASE WHEN a <> b THEN bround(try_divide(m, sqrt(ma * mb)), {digits}) + 0D WHEN ma IS NOT NULL THEN 1D END")   # no negative zero
+    return pair.select(r.alias("corr"), F.expr("explode(CASE WHEN a = b THEN array(struct(a AS x, b AS y)) ELSE array(struct(a AS x, b AS y), struct(b AS x, a AS y)) END)").alias("s")) \
+        .selectExpr("s.x AS var_x", "s.y AS var_y", "corr")
 
 
 def sensor_correlation_matrix(fact: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
