@@ -52,9 +52,11 @@ def purge_before(orders: DataFrame, cutoff: Column) -> DataFrame:
     return orders.filter(keep)
 
 
-def random_sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """N random rows (a top-k on a seeded random key; no full sort)."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def random_sample(df: DataFrame, n: int, seed: int = 42, key: str = "order_line_id") -> DataFrame:
+    """N random rows: the least by a SHA-256 of seed and key, so the sample is the same under
+    any partitioning and on every run (a top-k per partition, then a merge; no full sort)."""
+    draw = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key)), 256)
+    return df.orderBy(draw, key).limit(n)
 
 
 def derive_line_measures(lines: DataFrame, products: DataFrame, opex_ratio: float = OPEX_RATIO) -> DataFrame:

@@ -71,7 +71,8 @@ def _a08(c: Catalog):
     return M.purge_before(c.orders, M.retention_cutoff(as_of)).select("order_line_id", "order_date")
 
 
-@q("A09_random_sample", None)
+@q("A09_random_sample", S("""
+SELECT order_line_id, order_id, revenue FROM fo ORDER BY sha256('42|' || order_line_id), order_line_id LIMIT 50"""))
 def _a09(c: Catalog):
     return M.random_sample(c.orders, 50).select("order_line_id", "order_id", "revenue")
 

@@ -18,7 +18,8 @@ from coldlake.plans.catalog import Catalog
 from coldlake.schemas import FACT_ORDER
 from coldlake.session import ensure_checkpoint_dir
 from coldlake.sources import fixtures
-from coldlake.sources.tables import TableStore, export_csv, schema_matches
+from coldlake.sources.order_store import OrderStore
+from coldlake.sources.tables import SchemaMismatch, TableStore, export_csv, load_checked
 from coldlake.streaming import order_feed, sensor_stream
 
 QUERIES: dict[str, tuple] = {}
@@ -72,10 +73,37 @@ def _a03(c: Catalog):
 @q("A04_replace_by_key", O.sales("""
 SELECT order_line_id, CASE WHEN order_date >= DATE '1996-01-01' THEN -quantity ELSE quantity END AS quantity FROM fo"""))
 def _a04(c: Catalog):
-    store = new_store(c, "a04")
-    store.commit("fact_order", c.orders)
-    store.upsert("fact_order", c.orders.where("order_date >= DATE '1996-01-01'").withColumn("quantity", -F.col("quantity")))
-    return store.read("fact_order").select("order_line_id", "quantity")
+    store = OrderStore(c.spark, folder(c, "a04"), buckets=1)
+    store.load(c.orders)
+    store.upsert(c.orders.where("order_date >= DATE '1996-01-01'").withColumn("quantity", -F.col("quantity")))
+    return store.read().select("order_line_id", "quantity")
+
+
+@q("A08_purge_partitions", O.sales("""
+SELECT strftime(order_date, '%Y-%m') AS order_month, count(*) AS lines, min(order_date) AS first_date FROM fo
+WHERE order_date >= DATE '1996-03-15' GROUP BY 1"""))
+def _a08_store(c: Catalog):
+    """Older months are deleted as folders, the cutoff's month is rewritten."""
+    store = OrderStore(c.spark, folder(c, "a08"), buckets=1)
+    store.load(c.orders)
+    store.purge_before("1996-03-15")
+    return store.read().groupBy(F.date_format("order_date", "yyyy-MM").alias("order_month")).agg(F.count("*").alias("lines"), F.min("order_date").alias("first_date"))
+
+
+@q("A06_rewritten_partitions", O.sales("""
+, p AS (SELECT strftime(order_date, '%Y-%m') AS order_month, CAST('0x' || substr(sha256(order_line_id), 1, 4) AS INTEGER) % 2 AS bucket,
+         order_date BETWEEN DATE '1996-02-10' AND DATE '1996-03-20' AND quantity > 45 AS gone FROM fo)
+SELECT order_month, bucket, bool_or(gone) AS rewritten FROM p GROUP BY 1, 2 HAVING NOT bool_and(gone)"""))
+def _a06_store(c: Catalog):
+    """Lines of a few weeks are cancelled: which partitions have other files afterwards."""
+    store = OrderStore(c.spark, folder(c, "a06"), buckets=2)
+    store.load(c.orders)
+    path = folder(c, "a06-files")
+    store.files().write.parquet(path)
+    store.cancel(c.orders.where("order_date BETWEEN DATE '1996-02-10' AND DATE '1996-03-20' AND quantity > 45").select("order_line_id"))
+    old = c.spark.read.parquet(path).withColumn("old", F.lit(True))
+    now = store.files().join(old, ["order_month", "bucket", "file"], "left")
+    return now.groupBy("order_month", "bucket").agg(F.max(F.col("old").isNull()).alias("rewritten"))
 
 
 @q("A05_append", O.sensor("""
@@ -97,14 +125,34 @@ def _a09(c: Catalog):
         F.count("*").alias("n_rows"), F.count_distinct("order_line_id").alias("n_distinct"), F.count("known").alias("n_members"))
 
 
-@q("A11_schema_check", """
-SELECT 'fact_order' AS table_name, true AS matches UNION ALL SELECT 'dim_product', true
-UNION ALL SELECT 'fact_order without hour', false""")
+_DIM_CUSTOMER = "(SELECT count(*) FROM customer)"
+
+
+@q("A11_schema_check", O.sales(f"""
+SELECT 'fact_order' AS table_name, true AS accepted, count(*) AS rows_read FROM fo
+UNION ALL SELECT 'dim_product', true, (SELECT count(*) FROM part)
+UNION ALL SELECT 'dim_customer', true, {_DIM_CUSTOMER}
+UNION ALL SELECT 'dim_vehicle (missing)', true, 0
+UNION ALL SELECT 'fact_order (quantity as text)', false, 0
+UNION ALL SELECT 'dim_product (without its key)', false, 0"""))
 def _a11(c: Catalog):
-    orders = c.orders.select(*[f.name for f in FACT_ORDER.fields])
-    shown = {"fact_order": (orders, "fact_order"), "dim_product": (c.dim_product, "dim_product"),
-             "fact_order without hour": (orders.drop("hour"), "fact_order")}
-    return c.spark.createDataFrame([(n, schema_matches(df, t)) for n, (df, t) in shown.items()], "table_name string, matches boolean")
+    """The schema-checked load over stored tables: rows read per table, a missing one empty, a wrong one refused."""
+    orders, products = c.orders.select(*[f.name for f in FACT_ORDER.fields]), c.dim_product
+    base = folder(c, "a11")
+    stored = {"fact_order": ("fact_order", orders), "dim_product": ("dim_product", products), "dim_customer": ("dim_customer", c.dim_customer),
+              "dim_vehicle (missing)": ("dim_vehicle", None), "fact_order (quantity as text)": ("fact_order", orders.withColumn("quantity", F.col("quantity").cast("string"))),
+              "dim_product (without its key)": ("dim_product", products.drop("product_id"))}
+    out = None
+    for k, (shown, (name, rows)) in enumerate(stored.items()):
+        if rows is not None:
+            rows.write.parquet(f"{base}/{k}")
+        try:
+            loaded = load_checked(c.spark, name, f"{base}/{k}")
+            one = loaded.agg(F.lit(shown).alias("table_name"), F.lit(True).alias("accepted"), F.count("*").alias("rows_read"))
+        except SchemaMismatch:
+            one = c.spark.range(1).select(F.lit(shown).alias("table_name"), F.lit(False).alias("accepted"), F.lit(0).cast("long").alias("rows_read"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @q("A12_column_default", O.sales("SELECT order_line_id, CAST(12 AS INTEGER) AS hour FROM fo"))
@@ -246,8 +294,8 @@ UNION ALL SELECT order_id || '-RET', count(DISTINCT order_line_id) FROM fo
 WHERE order_line_id IN (SELECT id FROM returned) AND order_line_id NOT IN (SELECT id FROM cancelled) GROUP BY 1"""))
 def _h08(c: Catalog):
     """Half of the lines are stored; the feed brings the others twice, then cancellations and returns, and all is replayed."""
-    store = new_store(c, "h08")
-    store.commit("fact_order", c.orders.where("quantity % 2 = 0"))
+    store = OrderStore(c.spark, folder(c, "h08"), buckets=1)
+    store.load(c.orders.where("quantity % 2 = 0"))
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in FACT_ORDER.fields if f.name != "order_line_id"]
     inserts = c.orders.where("quantity % 2 = 1").select(*[f.name for f in FACT_ORDER.fields], F.lit("insert").alias("op"))
     changes = inserts.unionByName(inserts)
@@ -255,4 +303,4 @@ def _h08(c: Catalog):
         changes = changes.unionByName(keys.select("order_line_id", *blank, F.lit(op).alias("op")))
     for _ in range(2):
         order_feed.apply_order_changes(store, changes)
-    return store.read("fact_order").groupBy("order_id").agg(F.count_distinct("order_line_id").alias("lines"))
+    return store.read().groupBy("order_id").agg(F.count_distinct("order_line_id").alias("lines"))

@@ -7,8 +7,6 @@ also what makes a retried batch harmless.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,13 +37,31 @@ def schema_matches(df: DataFrame, name: str) -> bool:
     return want == have
 
 
+class SchemaMismatch(Exception):
+    """A stored table whose columns are not the declared ones."""
+
+
+def load_checked(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """The stored table with its declared schema. A missing folder reads as empty; a column of
+    another type, or a missing key or NOT NULL column, is refused; other missing columns get their
+    default (A12). The stored schema comes from one file's footer, not from all."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return empty_table(spark, name)
+    df = spark.read.parquet(path)
+    have, needed = {f.name: f.dataType for f in df.schema.fields}, {*KEYS[name], *not_null_columns(TABLES[name])}
+    wrong = [f.name for f in TABLES[name].fields if (f.name in needed and f.name not in have) or have.get(f.name, f.dataType) != f.dataType]
+    if wrong:
+        raise SchemaMismatch(f"{name} at {path}: {', '.join(wrong)}")
+    return conform(df, name)
+
+
 class TableStore:
     """The eleven tables as parquet folders under ``root`` (one current snapshot each)."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
-        self.current: dict[str, str] = {}
 
     def _file(self, *parts: str):
         """A Hadoop path below the root and its file system (local, HDFS or an object store)."""
@@ -54,48 +70,44 @@ class TableStore:
         return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def path(self, name: str) -> str | None:
-        """The current snapshot: the one with the highest version marker.
+        """The current snapshot: the one that the highest version marker names.
 
-        A marker is an empty file created once, after its snapshot is complete, so that readers
+        A marker is a small file created once, after its snapshot is complete, so that readers
         on any file system see either the old or the new snapshot.
         """
-        if name in self.current:
-            return self.current[name]
-        folder, fs = self._file(name, "_versions")
-        if not fs.exists(folder):
-            return None
-        newest = max((st.getPath().getName() for st in fs.listStatus(folder)), default=None)
-        if newest is not None:
-            self.current[name] = f"{self.root.rstrip('/')}/{name}/{newest.split('.')[1]}"
-        return self.current.get(name)
-
-    def _publish(self, name: str, snap: str) -> None:
+        version = self._version(name)
+        return f"{self.root.rstrip('/')}/{name}/{version:012d}" if version else None
+
+    def _version(self, name: str) -> int:
         folder, fs = self._file(name, "_versions")
-        fs.mkdirs(folder)
-        last = max((int(st.getPath().getName().split(".")[0]) for st in fs.listStatus(folder)), default=0)
-        marker, fs = self._file(name, "_versions", f"{last + 1:012d}.{snap}")
-        fs.create(marker, False).close()
+        return max((int(st.getPath().getName()) for st in fs.listStatus(folder)), default=0) if fs.exists(folder) else 0
 
     def read(self, name: str) -> DataFrame:
         """A1 + A11 + A12: declared schema; a missing table reads as empty; ``hour`` defaults to 12."""
         p = self.path(name)
         if p is None:
             return empty_table(self.spark, name)
-        df = self.spark.read.option("mergeSchema", "true").parquet(p)
+        # the declared schema: no footer is read to infer one, and a column a file lacks is NULL
+        df = self.spark.read.schema(TABLES[name]).parquet(p)
         if name == "fact_order" and "hour" in df.columns:
             df = df.withColumn("hour", F.coalesce(F.col("hour"), F.lit(12)))
         return conform(df, name)
 
     def commit(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> str:
-        """Write ``df`` as a new snapshot and switch the table to it."""
-        snap = f"snap-{uuid.uuid4().hex}"
-        path = f"{self.root.rstrip('/')}/{name}/{snap}"
+        """Write ``df`` as a new snapshot and switch the table to it.
+
+        Snapshot folder and marker are named by the version alone: of two writers that started
+        from one version, the second finds the folder or the marker there and fails.
+        """
+        version = self._version(name) + 1
+        path = f"{self.root.rstrip('/')}/{name}/{version:012d}"
         w = conform(df, name).write.mode("errorifexists")
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.parquet(path)
-        self._publish(name, snap)
-        self.current[name] = path
+        marker, fs = self._file(name, "_versions", f"{version:012d}")
+        fs.mkdirs(marker.getParent())
+        fs.create(marker, False).close()
         return path
 
     def append(self, name: str, new: DataFrame) -> None:

@@ -5,44 +5,76 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coldlake.functions.sensor import row_key
 from coldlake.operators import maintenance as M
 from coldlake.schemas import FACT_ORDER
-from coldlake.sources.tables import TableStore, conform
+from coldlake.sources.order_store import KEY, OrderStore
+from coldlake.sources.tables import conform
+
+NAMES = [f.name for f in FACT_ORDER.fields]
+
+
+def _sequenced(changes: DataFrame) -> DataFrame:
+    """``changes`` with ``_rank`` (insert, cancel, return) and ``_seq``, in which they apply."""
+    rank = F.when(F.col("op") == "insert", 0).when(F.col("op") == "cancel", 1).otherwise(2)
+    seq = F.col("seq").cast("long") if "seq" in changes.columns else rank.cast("long")
+    return changes.withColumns({"_rank": rank, "_seq": seq * 4 + rank})
 
 
 def last_changes(changes: DataFrame) -> DataFrame:
-    """One row per ``order_line_id``: the presence its changes end in and its last inserted row.
+    """One row per ``order_line_id``: what its changes end in.
 
-    Changes apply in ``seq`` order; without that column, inserts precede cancellations and
-    returns. ``present`` is true after an insert, false after a cancellation, null when the
-    stored line decides; ``returned`` tells of a return that no later cancellation undoes.
+    Changes apply in ``seq`` order (whole numbers); without that column, inserts precede
+    cancellations and returns. ``present`` is true after an insert, false after a cancellation,
+    null when the stored line decides; ``returned`` tells of a return that no later cancellation
+    undoes; ``inserted_at`` names the last insert. Only numbers are aggregated, map-side.
     """
-    rank = F.when(F.col("op") == "insert", 0).when(F.col("op") == "cancel", 1).otherwise(2)
-    seq = F.struct(F.col("seq") if "seq" in changes.columns else rank, rank.alias("rank"))
-    shown = F.col("op").isin("insert", "cancel")
-    row = F.struct(*[F.col(f.name) if f.name in changes.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in FACT_ORDER.fields])
-    last_return, last_cancel = F.max(F.when(F.col("op") == "return", seq)), F.max(F.when(F.col("op") == "cancel", seq))
-    return changes.groupBy("order_line_id").agg(
-        F.max_by(F.when(shown, F.col("op") == "insert"), F.when(shown, seq)).alias("present"),
-        F.max_by(F.when(F.col("op") == "insert", row), F.when(F.col("op") == "insert", seq)).alias("inserted"),
-        F.coalesce(last_return > last_cancel, last_return.isNotNull()).alias("returned"))
+    def at(op: str):
+        return F.max(F.when(F.col("op") == op, F.col("_seq")))
+
+    last = _sequenced(changes).groupBy(KEY).agg(at("insert").alias("inserted_at"), at("cancel").alias("cancelled_at"), at("return").alias("returned_at"))
+    some = F.col("inserted_at").isNotNull() | F.col("cancelled_at").isNotNull()
+    present = F.when(some, F.coalesce(F.col("inserted_at") > F.col("cancelled_at"), F.col("inserted_at").isNotNull()))
+    return last.select(KEY, present.alias("present"), F.coalesce(F.col("returned_at") > F.col("cancelled_at"), F.col("returned_at").isNotNull()).alias("returned"), "inserted_at")
 
 
-def apply_order_changes(store: TableStore, changes: DataFrame) -> None:
+def inserted_lines(changes: DataFrame, last: DataFrame) -> DataFrame:
+    """The last inserted row of every line that ends present; of equal or rival rows with one ``seq``, one."""
+    rows = _sequenced(changes).where("op = 'insert'").withColumnRenamed("_seq", "inserted_at")
+    won = rows.join(last.where("present").select(KEY, "inserted_at"), [KEY, "inserted_at"], "left_semi")
+    return conform(won, "fact_order").dropDuplicates([KEY])
+
+
+def apply_order_changes(store: OrderStore, changes: DataFrame) -> None:
     """``changes`` has an ``op`` column ('insert' | 'cancel' | 'return'), optionally ``seq``, and
     fact_order columns (only ``order_line_id`` is needed for cancel/return). Each line takes its
     last change: an inserted line replaces a stored one (A4), a cancelled one goes (A6), a
-    returned one gets a negated copy with a hashed key (A7). A replay changes nothing."""
-    last = last_changes(changes)
-    orders = store.read("fact_order")
-    changed = last.filter(F.col("present").isNotNull()).select("order_line_id")
-    merged = orders.join(changed, "order_line_id", "left_anti").unionByName(
-        conform(last.filter("present").select("inserted.*"), "fact_order"))
-    merged = M.apply_returns(merged, last.filter("returned").select("order_line_id"))
-    store.commit("fact_order", merged)
+    returned one gets a negated copy with a hashed key (A7). Partitions without any of these
+    keys keep their files. A replay changes nothing."""
+    last = last_changes(changes).persist()
+    try:
+        inserted = inserted_lines(changes, last).persist()
+        back = last.where("returned").select(KEY)
+        copies = back.select(row_key(KEY, F.lit("RET")).alias(KEY))
+        changed = last.where(F.col("present").isNotNull()).select(KEY)
+
+        def change(rows: DataFrame) -> DataFrame:
+            merged = rows.join(changed, KEY, "left_anti").unionByName(inserted)
+            return M.apply_returns(merged, back)
+
+        def added(stored: DataFrame) -> DataFrame:
+            """Key and date of the inserted lines and of returned lines' copies, which have their line's date."""
+            dated = stored.select(KEY, "order_date").join(changed, KEY, "left_anti").unionByName(inserted.select(KEY, "order_date"))
+            copied = dated.join(back, KEY, "left_semi").withColumn(KEY, row_key(KEY, F.lit("RET")))
+            return inserted.select(KEY, "order_date").unionByName(copied)
+
+        store.rewrite(last.select(KEY).unionByName(copies), added, change)
+        inserted.unpersist()
+    finally:
+        last.unpersist()
 
 
-def start_order_feed(changes_stream: DataFrame, store: TableStore, checkpoint: str, available_now: bool = False):
+def start_order_feed(changes_stream: DataFrame, store: OrderStore, checkpoint: str, available_now: bool = False):
     w = changes_stream.writeStream.foreachBatch(lambda df, _: apply_order_changes(store, df)) \
         .option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="900 seconds")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from coldlake.operators import maintenance as M
 from coldlake.operators.sensor_pipeline import SensorBatch
 from coldlake.sources import fixtures
-from coldlake.sources.tables import TableStore, export_csv, schema_matches
+from coldlake.sources.epochs import EpochStore
+from coldlake.sources.order_store import OrderStore
+from coldlake.sources.tables import SchemaMismatch, TableStore, export_csv, load_checked, schema_matches
 from coldlake.streaming.order_feed import apply_order_changes
 from coldlake.streaming.sensor_stream import commit_sensor_batch, event_stream, start_exact_dedupe, start_sensor_pipeline
 from tests.conftest import SF_SMALL
@@ -22,12 +24,12 @@ def test_missing_table_reads_empty_with_schema(spark, scratch):
 
 
 def test_insert_if_absent_is_idempotent(spark, scratch):
-    store = TableStore(spark, scratch)
+    store = EpochStore(spark, scratch)
     arrivals = fixtures.raw_sensor_arrivals(spark, SF_SMALL)
-    commit_sensor_batch(store, arrivals)
+    assert commit_sensor_batch(store, arrivals)
     counts = {n: store.read(n).count() for n in ("raw_sensor_events", "fact_sensor_reading", "fact_incident",
                                                  "rejected_events", "pipeline_runs", "data_quality_results")}
-    commit_sensor_batch(store, arrivals)          # a replayed batch changes nothing
+    assert not commit_sensor_batch(store, arrivals)          # a replayed batch changes nothing
     again = {n: store.read(n).count() for n in counts}
     assert counts == again
     assert counts["fact_sensor_reading"] == 952 and counts["pipeline_runs"] == 2
@@ -35,7 +37,7 @@ def test_insert_if_absent_is_idempotent(spark, scratch):
 
 
 def test_stream_equals_batch(spark, scratch):
-    store = TableStore(spark, os.path.join(scratch, "tables"))
+    store = EpochStore(spark, os.path.join(scratch, "tables"))
     q = start_sensor_pipeline(spark, f"{SF_SMALL}/events.parquet", store, os.path.join(scratch, "ckpt"),
                               available_now=True)
     q.awaitTermination(300)
@@ -51,7 +53,7 @@ def test_stream_over_parts_loses_nothing(spark, scratch):
     events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     events.orderBy(F.col("ts").desc()).repartitionByRange(3, F.col("ts").desc()).write.parquet(src)
     events.filter("event_id < 40").coalesce(1).write.mode("append").parquet(src)       # replays of an earlier batch
-    store = TableStore(spark, os.path.join(scratch, "tables"))
+    store = EpochStore(spark, os.path.join(scratch, "tables"))
     start_sensor_pipeline(spark, src, store, os.path.join(scratch, "ckpt"), max_files_per_trigger=1,
                           available_now=True).awaitTermination(600)
     whole = SensorBatch(fixtures.raw_sensor_arrivals(spark, SF_SMALL))
@@ -92,8 +94,7 @@ def test_kept_row_is_the_first_by_order_then_content(spark, scratch):
 
 
 def test_order_feed_takes_the_last_change_of_a_line(spark, scratch):
-    store = TableStore(spark, scratch)
-    store.commit("fact_order", fixtures.fact_order(spark, SF_SMALL).limit(0))
+    store = OrderStore(spark, scratch, buckets=3)
     names = "order_line_id string, op string, seq int, order_id string, quantity int, revenue decimal(15,2)"
     changes = [("a", "insert", 1, "O1", 1, None), ("a", "insert", 2, "O1", 7, None), ("b", "insert", 1, "O2", 2, None), ("b", "cancel", 2, None, None, None),
                ("c", "cancel", 1, None, None, None), ("c", "insert", 2, "O3", 3, None), ("c", "return", 3, None, None, None),
@@ -101,7 +102,7 @@ def test_order_feed_takes_the_last_change_of_a_line(spark, scratch):
     feed = spark.createDataFrame(changes, names)
     for _ in range(2):                                                                  # a replay changes nothing
         apply_order_changes(store, feed)
-        assert sorted((r["order_id"], r["quantity"]) for r in store.read("fact_order").collect()) == [("O1", 7), ("O3", 3), ("O3-RET", -3)]
+        assert sorted((r["order_id"], r["quantity"]) for r in store.read().collect()) == [("O1", 7), ("O3", 3), ("O3-RET", -3)]
 
 
 def test_upsert_delete_returns_purge_and_csv(spark, scratch):
@@ -188,3 +189,32 @@ def test_watermark_drops_and_reports_late_rows(spark, scratch):
         time.sleep(0.2)
     spark.streams.removeListener(late)
     assert late.dropped[str(q.id)] == 3
+
+
+def test_two_writers_of_one_version(spark, scratch):
+    """The second of two writers that start from one version fails instead of hiding the first."""
+    a, b = TableStore(spark, scratch), TableStore(spark, scratch)
+    dims = fixtures.dim_vehicle(spark)
+    a.commit("dim_vehicle", dims.limit(3))
+    b._version = lambda name, seen=b._version("dim_vehicle") - 1: seen
+    with pytest.raises(Exception):
+        b.commit("dim_vehicle", dims.limit(5))
+    assert a.read("dim_vehicle").count() == 3 and TableStore(spark, scratch).read("dim_vehicle").count() == 3
+
+
+def test_checked_load(spark, scratch):
+    path = os.path.join(scratch, "v")
+    assert load_checked(spark, "dim_vehicle", path).count() == 0
+    dims = fixtures.dim_vehicle(spark)
+    dims.drop("vehicle_type").write.parquet(path)
+    assert load_checked(spark, "dim_vehicle", path).where("vehicle_type is null").count() == 30
+    for k, wrong in enumerate((dims.drop("vehicle_id"), dims.withColumn("capacity_kg", F.lit("x")))):
+        wrong.write.parquet(f"{path}{k}")
+        with pytest.raises(SchemaMismatch):
+            load_checked(spark, "dim_vehicle", f"{path}{k}")
+
+
+def test_sample_is_the_same_under_any_partitioning(spark):
+    lines = fixtures.fact_order(spark, SF_SMALL).select("order_line_id")
+    a, b = (sorted(r[0] for r in M.random_sample(lines.repartition(n), 40).collect()) for n in (1, 13))
+    assert a == b and len(a) == 40 and a != sorted(r[0] for r in M.random_sample(lines, 40, seed=7).collect())
