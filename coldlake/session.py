@@ -47,6 +47,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, extra: di
     conf = {
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.warehouse.dir": os.path.join(os.environ.get("COLDLAKE_SCRATCH", "/tmp"), "coldlake-warehouse"),
     }
     conf.update(extra or {})
     spark = build_session(f"local[{cores}]", shuffle_partitions=shuffle_partitions, extra=conf)

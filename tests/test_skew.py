@@ -91,3 +91,25 @@ def test_hot_customer_in_customer_reports(spark):
         plan = _plan(out)
         # the per-customer window sits above a partial (map-side) aggregate to (customer, month)
         assert "partial_count" in plan or "partial_" in plan
+
+
+def test_stored_event_tables_join_without_a_shuffle(spark):
+    """C19, C31, C33 over the bucketed tables: only the small aggregate is exchanged."""
+    from coldlake.operators import ops_reports as R
+    from coldlake.plans.catalog import SENSOR_TABLES, Catalog
+    from tests.conftest import SF_SMALL
+
+    stored, lazy = Catalog(spark, SF_SMALL), Catalog(spark, SF_SMALL)
+    stored.materialize(SENSOR_TABLES)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = R.with_event_warehouse(stored.fact, stored.raw)
+        joined.count()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange hashpartitioning(event_id" not in plan
+        got = sorted(map(tuple, R.warehouse_comparison(stored.fact, stored.raw).collect()))
+        assert "Exchange hashpartitioning(event_id" not in R.status_by_warehouse(stored.fact, stored.raw)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == sorted(map(tuple, R.warehouse_comparison(lazy.fact, lazy.raw).collect()))
