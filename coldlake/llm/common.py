@@ -37,6 +37,11 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished steps' shuffle files: Spark deletes them when the driver's garbage is collected."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def utf8(c: Column) -> Column:
     """The text as bytes for Arrow; null is empty."""
     return F.coalesce(c, F.lit("")).cast("binary")

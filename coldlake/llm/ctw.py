@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coldlake.llm.common import discard, staged, utf8
+from coldlake.llm.common import discard, release, staged, utf8
 
 #: Bytes of context; at most 5, as a gram and a row number share 64 bits.
 DEPTH = 5
@@ -140,22 +140,28 @@ def fit(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     Every binary node of every context of 0 to ``depth`` bytes has its zero and one counts.
     Upwards, each node's weighted probability is half its Krichevsky-Trofimov estimate plus
     half the product of its children's; downwards, the share the estimate has in that mixes the
-    next-bit estimates of all depths that training saw. All levels are grouped tables.
+    next-bit estimates of all depths that training saw. All levels are grouped tables, deleted
+    as soon as the next step is stored; the deepest, by far the largest, holds counts alone.
     """
+    spark = counts.sparkSession
     bits = _bits(counts.select("gram", "n"), "n")
     level = bits.groupBy("ctx", "node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("n1"))
-    kt = _ln_kt(F.col("n0"), F.col("n1"))
-    levels = [staged(level.withColumn("ln_w", kt).withColumn("share", F.lit(1.0)), f"level{depth}")]
+    levels = [staged(level, f"level{depth}")]
+    release(spark)
     half = math.log(0.5)
     for d in range(depth - 1, -1, -1):
-        up = levels[-1].groupBy(F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("ctx"), "node").agg(
+        below = levels[-1] if levels[1:] else levels[0].withColumn("ln_w", _ln_kt(F.col("n0"), F.col("n1")))
+        up = below.groupBy(F.col("ctx").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("ctx"), "node").agg(
             F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("ln_w").alias("below"))
         up = up.withColumn("own", _ln_kt(F.col("n0"), F.col("n1")) + half).withColumn("rest", F.col("below") + half)
         top = F.greatest("own", "rest")
         up = up.withColumn("ln_w", top + F.log1p(F.exp(F.least("own", "rest") - top))).withColumn("share", F.exp(F.col("own") - F.col("ln_w")))
         levels.append(staged(up.select("ctx", "node", "n0", "n1", "ln_w", "share"), f"level{d}"))
-    mixed = None
+        release(spark)
+    mixed = previous = None
     for d, level in enumerate(reversed(levels)):
+        if d == depth:
+            level = level.withColumn("share", F.lit(1.0))
         one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
         if mixed is None:
             cur = level.withColumn("done", F.lit(0.0)).withColumn("left", F.lit(1.0)).withColumn("above", F.lit(0.5))
@@ -165,10 +171,18 @@ def fit(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
         seen = F.col("n0") + F.col("n1") > 0
         mixed = cur.select("ctx", "node", F.when(seen | F.lit(d == 0), F.col("done") + F.col("left") * one).otherwise(F.col("above")).alias("p1"),
                            (F.col("done") + F.col("left") * F.col("share") * one).alias("done_next"), (F.col("left") * (1 - F.col("share"))).alias("left_next"))
+        if d < depth:
+            shorter, mixed = previous, staged(mixed, f"mixed{d}")
+            for used in (level, shorter):
+                discard(used) if used is not None else None
+            previous = mixed
+            release(spark)
     p = F.when(F.col("bit") == 1, F.col("p1")).otherwise(1 - F.col("p1"))
     out = staged(_bits(counts.select("gram"), "gram").join(mixed.select("ctx", "node", "p1"), ["ctx", "node"]).groupBy("gram").agg(F.sum(F.log10(p)).alias("score")), "scores")
-    for x in levels:
-        discard(x)
+    for x in (levels[0], previous):
+        if x is not None:
+            discard(x)
+    release(spark)
     return out
 
 
@@ -232,6 +246,7 @@ def score(docs: DataFrame, train: Column | None = None, depth: int = DEPTH, broa
     src = _sources(docs, id_col, text_col, train)
     counts = gram_counts(src, depth)
     model = fit(counts, depth)
+    discard(counts)
     words = word_counts(src)
     totals = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     ends = src.where("train").count()
@@ -243,6 +258,7 @@ def score(docs: DataFrame, train: Column | None = None, depth: int = DEPTH, broa
     if small:
         rows = model.orderBy("gram").toArrow()
         shared = spark.sparkContext.broadcast((rows.column("gram").to_numpy(), rows.column("score").to_numpy()))
+        discard(model)
     end_score, end_known = math.log10(ends + 1), int(ends > 0)
     kind = src.schema["doc_id"].dataType.simpleString()
 

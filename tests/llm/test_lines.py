@@ -30,12 +30,12 @@ def edits(a, b):
     return row[-1]
 
 
-def plain(rows, distance=2, similarity=0.8, min_words=4):
-    """doc -> kept texts, for distinct non-null ids."""
+def plain(rows, distance=3, similarity=0.8, min_words=4):
+    """doc -> kept texts, for distinct non-null ids: equal lines of any length meet, near ones of ``min_words`` words or more."""
     where = defaultdict(list)
     for i, t in rows:
         for k, line in enumerate((t or "").split("\n")):
-            if t is not None and len(norm(line).split()) >= min_words:
+            if t is not None and norm(line):
                 where[norm(line)].append((i, k))
     root = {x: x for x in where}
 
@@ -46,7 +46,7 @@ def plain(rows, distance=2, similarity=0.8, min_words=4):
     fps = {x: print_of(x.split()) for x in where}
     for x, y in itertools.combinations(where, 2):
         a, b = x.split(), y.split()
-        if (fps[x] ^ fps[y]).bit_count() <= distance and edits(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9:
+        if min(len(a), len(b)) >= min_words and (fps[x] ^ fps[y]).bit_count() <= distance and edits(a, b) <= (1 - similarity) * max(len(a), len(b)) + 1e-9:
             root[find(x)] = find(y)
     groups = defaultdict(list)
     for x, at in where.items():
