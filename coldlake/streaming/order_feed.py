@@ -51,27 +51,32 @@ def apply_order_changes(store: OrderStore, changes: DataFrame) -> None:
     last change: an inserted line replaces a stored one (A4), a cancelled one goes (A6), a
     returned one gets a negated copy with a hashed key (A7). Partitions without any of these
     keys keep their files. A replay changes nothing."""
-    last = last_changes(changes).persist()
+    held = [last_changes(changes).persist()]
+    last = held[0]
     try:
         inserted = inserted_lines(changes, last).persist()
+        held.append(inserted)
         back = last.where("returned").select(KEY)
         copies = back.select(row_key(KEY, F.lit("RET")).alias(KEY))
         changed = last.where(F.col("present").isNotNull()).select(KEY)
 
         def change(rows: DataFrame) -> DataFrame:
-            merged = rows.join(changed, KEY, "left_anti").unionByName(inserted)
+            # read three times: as it is, for the copies, and without stored copies
+            merged = rows.join(changed, KEY, "left_anti").unionByName(inserted).persist()
+            held.append(merged)
             return M.apply_returns(merged, back)
 
         def added(stored: DataFrame) -> DataFrame:
-            """Key and date of the inserted lines and of returned lines' copies, which have their line's date."""
-            dated = stored.select(KEY, "order_date").join(changed, KEY, "left_anti").unionByName(inserted.select(KEY, "order_date"))
-            copied = dated.join(back, KEY, "left_semi").withColumn(KEY, row_key(KEY, F.lit("RET")))
-            return inserted.select(KEY, "order_date").unionByName(copied)
+            """Key and date of the inserted lines and of returned lines' copies, which have their line's
+            date (a replaced line's old date counts too, which can name a partition more)."""
+            new = inserted.select(KEY, "order_date")
+            lines = stored.select(KEY, "order_date").unionByName(new)
+            return new.unionByName(lines.join(back, KEY, "left_semi").withColumn(KEY, row_key(KEY, F.lit("RET"))))
 
         store.rewrite(last.select(KEY).unionByName(copies), added, change)
-        inserted.unpersist()
     finally:
-        last.unpersist()
+        for frame in held:
+            frame.unpersist()
 
 
 def start_order_feed(changes_stream: DataFrame, store: OrderStore, checkpoint: str, available_now: bool = False):
