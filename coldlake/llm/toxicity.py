@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -18,6 +19,8 @@ from coldlake.llm.decontaminate import words
 SAMPLE = {1: 500, 0: 1000}
 #: Longer texts are scored like any other but not drawn into the training sample.
 SAMPLE_BYTES = 20_000
+#: Ids drawn per row of the sample, so that long texts and near copies leave it full.
+OVERDRAW = 3
 FEATURE_BITS = 18
 EPOCHS = 30
 THRESHOLD = 0.3
@@ -112,36 +115,43 @@ def is_held_out(id_col: Column, parts: int, fold: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(parts)) == fold
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, held_out, sample: dict = SAMPLE) -> tuple[list[tuple[bytes, int]], dict]:
-    """A bounded sample of labelled whole texts per class, by id hash, and the class totals.
+def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, held_out, sample: dict = SAMPLE) -> tuple[DataFrame | None, dict]:
+    """Candidate texts (at, text, y) of the training sample, and the class totals.
 
-    Only ids outside ``held_out`` and labels 0 or 1 count. The ids, at most the sum of
-    ``sample``, are broadcast to fetch their texts; texts over SAMPLE_BYTES are not drawn.
+    Only ids outside ``held_out`` and labels 0 or 1 count. At most OVERDRAW times ``sample`` ids
+    per class, the first by id hash, are broadcast to fetch their whole texts; texts over
+    SAMPLE_BYTES are not drawn, and of ids with many different texts the first by (at, text)
+    fill the bound. ``at`` is the id's hash. None without a labelled row.
     """
-    known = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    known = (labels.select("doc_id", F.col(label_col).cast("int").alias("y"))
+             .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+             .select(F.xxhash64("doc_id").alias("at"), "doc_id", "y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     picked = None
     for y, n in sample.items():
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        part = known.where(F.col("y") == y).orderBy("at", "doc_id").limit(OVERDRAW * n)
         picked = part if picked is None else picked.unionByName(part)
     ids = picked.collect()
     if not ids:
-        return [], totals
-    spark = docs.sparkSession
-    few = spark.createDataFrame([(r["doc_id"], r["y"]) for r in ids], "doc_id long, y int")
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(few), "doc_id")
-            .select("text", "y").distinct().limit(2 * sum(sample.values())).collect())
-    return sorted((r["text"].encode(), r["y"]) for r in rows), totals
+        return None, totals
+    few = docs.sparkSession.createDataFrame(ids, picked.schema)
+    rows = (docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(few), "doc_id")
+            .select("at", "text", "y").distinct())
+    return rows.orderBy("at", "text", "y").limit(2 * OVERDRAW * sum(sample.values())), totals
 
 
-def _without_near_copies(docs: list[tuple[list[bytes], int]]) -> list[tuple[list[bytes], int]]:
-    """One of each family of near copies, else every word of a copied text looks telling."""
+def _without_near_copies(docs: list[tuple[list[bytes], int]], sample: dict = SAMPLE) -> list[tuple[list[bytes], int]]:
+    """The first documents of each class up to ``sample``, one of each family of near copies,
+    else every word of a copied text looks telling."""
     seen: set[int] = set()
-    out = []
+    left, out = dict(sample), []
     for ws, y in docs:
+        if not left[y]:
+            continue
         low = sorted({zlib.crc32(b" ".join(ws[i:i + 3])) for i in range(max(1, len(ws) - 2))})[:3]
         if sum(h in seen for h in low) * 2 <= len(low):
             out.append((ws, y))
+            left[y] -= 1
         seen.update(low)
     return out
 
@@ -158,7 +168,7 @@ def _log_likelihood(k: np.ndarray, n: int, j: np.ndarray, m: int) -> np.ndarray:
     return np.where(p1 > 8 * p0, 2 * (ll(k, n, p1) + ll(j, m, p0) - ll(k, n, p) - ll(j, m, p)), 0)
 
 
-def train(sample: list[tuple[bytes, int]], totals: dict, epochs: int = EPOCHS) -> Crf:
+def train(drawn: list[tuple[bytes, int]], totals: dict, epochs: int = EPOCHS, sample: dict = SAMPLE) -> Crf:
     """Fit the CRF on weakly tagged tokens, then the document score on its marginals.
 
     Labels mark documents, so a token is tagged toxic when its document is toxic and the word
@@ -166,7 +176,7 @@ def train(sample: list[tuple[bytes, int]], totals: dict, epochs: int = EPOCHS) -
     (log-likelihood ratio); everything else is tagged clean. Without both classes the score is
     the share of toxic labels for every text.
     """
-    docs = _without_near_copies([(words(t), y) for t, y in sample])
+    docs = _without_near_copies([(words(t), y) for t, y in drawn], sample)
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
     size = {y: sum(1 for _, z in docs if z == y) for y in (0, 1)}
     empty = Crf(np.zeros(1 << FEATURE_BITS), -12.0, 0.0, np.array([-3.0, 0.0, 0.0]), np.array([np.log(prior / (1 - prior)), 0, 0]))
@@ -306,4 +316,17 @@ def _tag(model: Crf, texts: list[str], cache: dict[bytes, float]):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=lambda c: is_held_out(c, 4, 2), sample: dict = SAMPLE) -> Crf:
-    return train(*sample_labelled(docs, labels, label_col, held_out, sample))
+    """The tagger fitted on the bounded sample, in one task; only its weights reach the driver.
+
+    Without documents, labels or one of the classes it is the prior of the labels seen.
+    """
+    rows, totals = sample_labelled(docs, labels, label_col, held_out, sample)
+
+    def run(batches):
+        drawn = [(r["at"], r["text"].encode(), r["y"]) for b in batches for r in b.to_pylist()]
+        if drawn:
+            crf = train([d[1:] for d in sorted(drawn)], totals, sample=sample)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(crf)], pa.binary())], names=["crf"])
+
+    done = [] if rows is None else rows.mapInArrow(run, "crf binary").collect()
+    return pickle.loads(bytes(done[0]["crf"])) if done else train([], totals)
