@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from coldlake.llm.decontaminate import words
 
@@ -270,7 +271,8 @@ def score(docs: DataFrame, crf: Crf, carry: list[str], text_col: str = "text", t
     """
     shared = docs.sparkSession.sparkContext.broadcast(crf)
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    out = src.select("row").schema.simpleString()[len("struct<row:"):-1]
+    found = T.ArrayType(T.StructType().add("start", T.IntegerType()).add("end", T.IntegerType()).add("p", T.DoubleType()))
+    out = T.StructType([src.schema["row"]]).add("score", T.DoubleType()).add("predicted", T.IntegerType()).add("spans", found)
 
     def run(batches):
         model, cache = shared.value, {}
@@ -287,7 +289,7 @@ def score(docs: DataFrame, crf: Crf, carry: list[str], text_col: str = "text", t
                     names=["row", "score", "predicted", "spans"])
                 lo = hi
 
-    return src.mapInArrow(run, f"row {out}, score double, predicted int, spans array<struct<start:int,end:int,p:double>>")
+    return src.mapInArrow(run, out)
 
 
 def _tag(model: Crf, texts: list[str], cache: dict[bytes, float]):

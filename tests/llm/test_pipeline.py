@@ -85,6 +85,20 @@ def test_packing_stage(spark, make_docs, edge_rows, small):
     assert len(ids_of) == sum(len(bpe.encode(t or "")) + 1 for _, t in edge_rows) and all(r["offset"] + r["length"] <= 1024 for r in got)
 
 
+def test_stages_pass_clashing_columns_through(spark, make_docs, edge_rows, small):
+    inside = prose(70, 30)
+    rows = edge_rows[:6] + [(100 + k, prose(300 + k, 25) + (" foulword" if k % 2 else "")) for k in range(80)] + [(600, inside), (600, inside), (None, inside)]
+    plain_docs, first = make_docs(rows, clash=False), ["doc_id", "text", "lang", "source", "n_chars"]
+    names = ["_id", "_t", "docs", "keys", "gone", "least", "t", "key", "row", "component_id", "n_words", "hits", "items", "a b"]
+    wide = plain_docs.withColumns({c: F.concat(F.lit("x"), "doc_id") for c in names})
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, wide, small)
+        assert got.columns == [*first, *names], name
+        assert all(r[c] == (f"x{r['doc_id']}" if r["doc_id"] is not None else None) for r in got.collect() for c in names), name
+        want = Counter(map(tuple, stage(spark, plain_docs, small).collect()))
+        assert Counter(map(tuple, got.select(first).collect())) == want and want, name
+
+
 def test_run_on_documents_and_on_none(spark, make_docs, small):
     out = P.run(spark, SF)
     assert out.count() > 0 and "doc_id" in out.columns
