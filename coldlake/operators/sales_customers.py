@@ -46,20 +46,46 @@ def new_vs_returning(df: DataFrame) -> DataFrame:
         .orderBy("period"))
 
 
+def activity_series(df: DataFrame) -> DataFrame:
+    """Customer sets by day and month as counts that add up, from one pass over the lines.
+
+    Lines become (customer_id, order_date) rows, at most one per customer and calendar day
+    however many lines a customer holds; each such row then knows whether it is the
+    customer's first of the month and of all time, so no distinct aggregate is needed. One
+    output row per (order_date, month, came_from): ``month`` numbers calendar months,
+    ``came_from`` is the customer's previous active month on its first day of a month (else
+    null). ``customers_of_day``, ``customers_of_month`` and ``customers`` count distinct
+    customers; ``active`` (of the month) and ``groups`` (of all time) also count the null
+    customer as one, ``repeaters`` are those of ``groups`` with more than one order. The result has
+    a row per day and earlier month at most: everything after it is small.
+    """
+    by_day, whole = W.partitionBy("customer_id").orderBy("order_date"), W.partitionBy("customer_id")
+    days = df.groupBy("customer_id", "order_date").agg(
+        F.sum("revenue").alias("rev"), F.sum("gross_profit").alias("gross"), F.sum("net_profit").alias("net"),
+        F.min("order_id").alias("lo"), F.max("order_id").alias("hi"))
+    days = days.withColumn("month", F.year("order_date") * 12 + F.month("order_date"))
+    marked = days.select("*", F.lag("month").over(by_day).alias("before"), (F.row_number().over(by_day) == 1).alias("first"),
+                         (F.min("lo").over(whole) != F.max("hi").over(whole)).alias("repeats"))
+    known, opens = F.col("customer_id").isNotNull(), F.col("first") | ~F.col("before").eqNullSafe(F.col("month"))
+    return (marked.groupBy("order_date", "month", F.when(opens, F.col("before")).alias("came_from"))
+            .agg(*[F.sum(m).alias(m) for m in ("rev", "gross", "net")],
+                 F.count_if(known).alias("customers_of_day"), F.count_if(opens & known).alias("customers_of_month"),
+                 F.count_if(F.col("first") & known).alias("customers"), F.count_if(opens).alias("active"),
+                 F.count_if("first").alias("groups"), F.count_if(F.col("first") & F.col("repeats")).alias("repeaters")))
+
+
 def retention_rate(df: DataFrame) -> DataFrame:
     """share of the previous OBSERVED month's customers active again this month.
 
-    Months are ranked among observed months; a customer is retained at rank r when its
-    previous active rank is r - 1 (``lag`` per customer over its month rows). No self-join.
+    A customer is retained when the month it was last active in is the last observed one:
+    both are known in the month-grain activity series, from one scan and without a join.
     """
-    cm = df.groupBy("customer_id", period_label("order_date", "month").alias("period")).agg(F.lit(1).alias("_x"))
-    months = cm.select("period").distinct().withColumn("rank", F.dense_rank().over(W.orderBy("period")))
-    ranked = cm.join(months, "period")
-    prev_rank = F.lag("rank").over(W.partitionBy("customer_id").orderBy("rank"))
-    per = ranked.withColumn("retained", F.coalesce((prev_rank == F.col("rank") - 1).cast("int"), F.lit(0)))
-    by_month = per.groupBy("period", "rank").agg(F.count(F.lit(1)).alias("active"),
-                                                F.sum("retained").alias("retained"))
-    prev_active = F.lag("active").over(W.orderBy("rank"))
+    monthly = activity_series(df.withColumn("order_date", F.trunc("order_date", "month"))).where(F.col("month").isNotNull())
+    seen = monthly.withColumn("observed", F.max("month").over(W.orderBy("month").rangeBetween(W.unboundedPreceding, -1)))
+    kept = F.when(F.col("came_from") == F.col("observed"), F.col("active")).otherwise(0)
+    by_month = seen.groupBy(period_label("order_date", "month").alias("period")).agg(
+        F.sum("active").alias("active"), F.sum(kept).alias("retained"))
+    prev_active = F.lag("active").over(W.orderBy("period"))
     out = by_month.select(
         "period",
         F.when(prev_active.isNull() | (prev_active == 0), F.lit(0.0))
@@ -83,9 +109,14 @@ def orders_per_customer(df: DataFrame) -> DataFrame:
 
 def repeat_purchase_rate(df: DataFrame) -> DataFrame:
     """F16: % of customers with more than one distinct order, 1 dp."""
-    per = orders_per_customer(df)
-    return per.agg(F.coalesce(half_even(pct(F.count_if(F.col("orders") > 1), F.count(F.lit(1))), 1), F.lit(0.0))
-                   .alias("repeat_rate"))
+    return repeaters(df).select(F.coalesce(half_even(pct("repeaters", "groups"), 1), F.lit(0.0)).alias("repeat_rate"))
+
+
+def repeaters(df: DataFrame) -> DataFrame:
+    """One row (groups, repeaters): customers, the null one included, and those with more than
+    one order, told by their least and greatest order id instead of a distinct count."""
+    per = df.groupBy("customer_id").agg((F.min("order_id") != F.max("order_id")).alias("repeats"))
+    return per.agg(F.count(F.lit(1)).alias("groups"), F.count_if("repeats").alias("repeaters"))
 
 
 def top_customers(df: DataFrame, limit: int = 10) -> DataFrame:

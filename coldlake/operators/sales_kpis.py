@@ -2,8 +2,8 @@
 
 Scalar results are one-row DataFrames. Growth compares the last two OBSERVED months
 (or, with fewer than two months, the last two observed days); both series are
-aggregated to period grain first and the last two rows are picked with ``max_by``
-over that small series - no window over order lines.
+aggregated to period grain first and the last two rows are picked from that small
+series - no window over order lines.
 """
 
 from __future__ import annotations
@@ -16,31 +16,30 @@ from pyspark.sql import functions as F
 
 from coldlake.config import DEFAULT_RULES, FUNNEL_STAGES, Rules
 from coldlake.functions.numeric import clamp, half_even, pct
-from coldlake.functions.periods import period_label
 from coldlake.operators.common import attach_scalars
-from coldlake.operators.sales_customers import orders_per_customer, retention_rate
+from coldlake.operators.sales_customers import activity_series, repeaters
 
 
-def order_grain(df: DataFrame) -> DataFrame:
-    """Lines pre-aggregated to (order_date, customer_id, order_id): the one shuffle every
-    headline KPI shares (partial aggregation runs map-side)."""
-    return df.groupBy("order_date", "customer_id", "order_id").agg(
-        F.sum("revenue").alias("rev"), F.sum("gross_profit").alias("gross"), F.sum("net_profit").alias("net"),
-        F.count(F.lit(1)).alias("lines"))
+def _kpi_row(df: DataFrame, rules: Rules) -> DataFrame:
+    """One row of totals, growth, mean retention and repeat rate from the activity series.
 
-
-def _kpi_row(og: DataFrame, rules: Rules) -> DataFrame:
-    """Totals, the monthly and the daily series from ONE grouping-sets aggregate over the
-    order-grain frame; windows then rank only that small result (one row per period)."""
-    gs = (og.withColumn("month", period_label("order_date", "month"))
-          .groupingSets([[], ["month"], ["order_date"]], "month", "order_date")
-          .agg(F.sum("rev").alias("rev"), F.sum("gross").alias("gross"), F.sum("net").alias("net"),
-               F.count_distinct("order_id").alias("orders"), F.count_distinct("customer_id").alias("cust"),
+    Grouping sets and windows see that series only (a row per day and earlier month).
+    """
+    earlier = W.orderBy("month").rangeBetween(W.unboundedPreceding, -1)
+    series = activity_series(df).withColumn("observed", F.max("month").over(earlier))
+    gs = (series.groupingSets([[], ["month"], ["order_date"]], "month", "order_date")
+          .agg(*[F.sum(m).alias(m) for m in ("rev", "gross", "net", "customers", "active", "groups", "repeaters")],
+               F.sum("customers_of_month").alias("of_month"), F.sum("customers_of_day").alias("of_day"),
+               F.sum(F.when(F.col("came_from") == F.col("observed"), F.col("active")).otherwise(0)).alias("kept"),
                F.grouping_id().alias("gid")))
-    key = F.coalesce(F.col("month"), F.col("order_date").cast("string"))
-    ranked = gs.select("*", F.row_number().over(W.partitionBy("gid").orderBy(key.desc())).alias("rn"),
-                       F.count(F.lit(1)).over(W.partitionBy("gid")).alias("n")).filter(F.col("rn") <= 2)
     TOTAL, MONTH, DAY = 3, 1, 2   # grouping_id over (month, order_date)
+    key = F.coalesce(F.col("month"), F.unix_date("order_date"))
+    of_gid, dated = W.partitionBy("gid"), W.partitionBy("gid", F.col("month").isNull()).orderBy("month")
+    ranked = gs.select("*", F.row_number().over(of_gid.orderBy(key.desc())).alias("rn"), F.count(F.lit(1)).over(of_gid).alias("n"),
+                       F.lag("active").over(dated).alias("was_active"),
+                       F.when(F.col("gid") == MONTH, F.col("of_month")).when(F.col("gid") == DAY, F.col("of_day"))
+                       .otherwise(F.col("customers")).alias("cust"))
+    retention = F.when(F.coalesce(F.col("was_active"), F.lit(0)) == 0, F.lit(0.0)).otherwise(half_even(pct("kept", "was_active"), 1))
 
     def pick(gid: int, rn: int, m: str) -> Column:
         return F.max(F.when((F.col("gid") == gid) & (F.col("rn") == rn), F.col(m)))
@@ -51,8 +50,9 @@ def _kpi_row(og: DataFrame, rules: Rules) -> DataFrame:
 
     out = ranked.agg(
         pick(TOTAL, 1, "rev").alias("rev"), pick(TOTAL, 1, "gross").alias("gross"),
-        pick(TOTAL, 1, "net").alias("net"), pick(TOTAL, 1, "orders").alias("transactions"),
-        pick(TOTAL, 1, "cust").alias("customers"),
+        pick(TOTAL, 1, "net").alias("net"), pick(TOTAL, 1, "cust").alias("customers"),
+        F.avg(F.when((F.col("gid") == MONTH) & F.col("month").isNotNull(), retention)).alias("avg_retention"),
+        half_even(pct(pick(TOTAL, 1, "repeaters"), pick(TOTAL, 1, "groups")), 1).alias("repeat_rate"),
         F.max(F.when(F.col("gid") == MONTH, F.col("n"))).alias("m_n"),
         F.max(F.when(F.col("gid") == DAY, F.col("n"))).alias("d_n"),
         *[g(MONTH, m).alias(f"m_{m}_g") for m in ("rev", "net", "cust")],
@@ -67,9 +67,7 @@ def _kpi_row(og: DataFrame, rules: Rules) -> DataFrame:
     rev = F.col("rev").cast("double")
     return out.select(
         F.coalesce(F.bround("rev", 2).cast("double"), F.lit(0.0)).alias("revenue"),
-        F.coalesce(F.col("transactions"), F.lit(0)).alias("transactions"),
         F.coalesce(F.col("customers"), F.lit(0)).alias("customers"),
-        F.coalesce(half_even(F.try_divide(rev, F.col("transactions")), 2), F.lit(0.0)).alias("aov"),
         F.coalesce(F.bround("gross", 2).cast("double"), F.lit(0.0)).alias("gross_profit"),
         F.coalesce(half_even(pct("gross", "rev"), 1), F.lit(0.0)).alias("gross_margin"),
         F.coalesce(F.bround("net", 2).cast("double"), F.lit(0.0)).alias("net_profit"),
@@ -78,25 +76,26 @@ def _kpi_row(og: DataFrame, rules: Rules) -> DataFrame:
         growth("net").alias("profit_growth"),
         growth("cust").alias("customer_growth"),
         F.coalesce(half_even(F.try_divide(rev, F.col("customers")), 2), F.lit(0.0)).alias("arpc"),
+        rev.alias("exact_revenue"), "avg_retention", F.coalesce("repeat_rate", F.lit(0.0)).alias("repeat_rate"),
     )
 
 
 def kpis(df: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """revenue, orders, customers, AOV, gross/net profit and margins, ARPC and growth
-    (last two observed months, else last two observed days, else 0; clamped)."""
-    return _kpi_row(order_grain(df), rules)
+    (last two observed months, else last two observed days, else 0; clamped).
+
+    Distinct orders are counted by a second scan of that one column: its ids then travel alone.
+    """
+    out = attach_scalars(_kpi_row(df, rules), df.agg(F.count_distinct("order_id").alias("transactions")))
+    aov = F.coalesce(half_even(F.try_divide(F.col("exact_revenue"), F.col("transactions")), 2), F.lit(0.0)).alias("aov")
+    return out.select("revenue", "transactions", "customers", aov, "gross_profit", "gross_margin", "net_profit", "net_margin",
+                      "revenue_growth", "profit_growth", "customer_growth", "arpc")
 
 
 def executive_score(df: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """weighted 0-100 score from rounded KPIs, mean monthly retention (first month's 0
-    included) and the repeat-purchase rate."""
-    og = order_grain(df)
-    k = _kpi_row(og, rules).select("gross_margin", "net_margin", "revenue_growth", "revenue")
-    ret = retention_rate(og).agg(F.avg("retention").alias("avg_retention"))
-    per = og.groupBy("customer_id").agg(F.count_distinct("order_id").alias("orders"))
-    rep = per.agg(F.coalesce(half_even(pct(F.count_if(F.col("orders") > 1), F.count(F.lit(1))), 1), F.lit(0.0))
-                  .alias("repeat_rate"))
-    out = attach_scalars(k, ret, rep)
+    included) and the repeat-purchase rate, all from one scan of the lines."""
+    out = _kpi_row(df, rules)
 
     def capped(x: Column, full: float) -> Column:
         return F.least(x / F.lit(full), F.lit(1.0))
@@ -135,9 +134,8 @@ def advanced_kpis(df: DataFrame) -> DataFrame:
                  F.coalesce(half_even(F.avg("discount_pct") * F.lit(100.0), 1), F.lit(0.0)).alias("avg_disc"),
                  F.coalesce(F.bround(F.sum("cost"), 2), F.lit(Decimal(0))).cast("double").alias("total_cost"),
                  F.sum("revenue").alias("_rev"))
-    per = orders_per_customer(df).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("orders") > 1).alias("_rep"))
-    out = attach_scalars(tot, per)
+    out = attach_scalars(tot, repeaters(df))
     return out.select("total_orders", "avg_qty", "avg_disc", "total_cost",
-                      F.coalesce(half_even(pct("_rep", "_n"), 1), F.lit(0.0)).alias("repeat_rate"),
-                      F.coalesce(half_even(F.try_divide(F.col("_rev").cast("double"), F.col("_n")), 2), F.lit(0.0))
+                      F.coalesce(half_even(pct("repeaters", "groups"), 1), F.lit(0.0)).alias("repeat_rate"),
+                      F.coalesce(half_even(F.try_divide(F.col("_rev").cast("double"), F.col("groups")), 2), F.lit(0.0))
                       .alias("clv"))

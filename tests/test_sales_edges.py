@@ -138,3 +138,58 @@ def test_wide_pivots_take_explicit_columns(spark):
     assert [tuple(r) for r in coh] == [("2024-01", 1, 1, 0), ("2024-02", 0, 1, 0)]
     hm = SD.heatmap_pivot(SD.kpi_heatmap(df), ["2024-01", "2024-02"]).collect()
     assert [tuple(r) for r in hm] == [("Dairy", 10.0, 25.0)]
+
+
+def _activity_rows():
+    """Three uneven months with a gap, a customer with a third of all lines, null customers and
+    orders, orders over two days and two customers."""
+    rows = []
+    for i in range(900):
+        cust = "HOT" if i % 3 == 0 else None if i % 50 == 1 else f"C{i * 7 % 61}"
+        order = None if i % 97 == 5 else f"O{i // 2 if i % 5 else i // 6}"
+        m = (1, 2, 4)[min(2, i * i % 11 // 4)]
+        rows.append((f"L{i}", order, date(2024, m, 1 + (i * 13) % 28), cust, 1 + i % 9, (i % 9) / 4))
+    return rows
+
+
+def test_activity_series_against_sets(spark):
+    """F1, F14, F16, F29 and F40 against sets of customers, nulls counted as each report states."""
+    rows = _activity_rows()
+    df = _orders(spark, rows).repartition(5)
+    months, people, orders = {}, {}, {}
+    for _, order, d, cust, rev, _ in rows:
+        months.setdefault(d.strftime("%Y-%m"), []).append((cust, rev))
+        people.setdefault(cust, set()).add(order)
+    order_names = sorted(months)
+    active = [{c for c, _ in months[m]} for m in order_names]
+    want = {order_names[0]: 0.0} | {m: round(100 * len(a & b) / len(a), 1) for m, a, b in zip(order_names[1:], active, active[1:])}
+    assert {r["period"]: r["retention"] for r in SC.retention_rate(df).collect()} == want and len(want) == 3
+    k = SK.kpis(df).first()
+    assert (k["transactions"], k["customers"]) == (len({r[1] for r in rows} - {None}), len(set(people) - {None}))
+    cur, pre = len(active[-1] - {None}), len(active[-2] - {None})
+    assert k["customer_growth"] == round(max(-200, min(200, (cur - pre) / pre * 100)), 1)
+    assert k["revenue"] == sum(r[4] for r in rows)
+    rate = round(100 * sum(len(o - {None}) > 1 for o in people.values()) / len(people), 1)
+    assert SC.repeat_purchase_rate(df).first()[0] == SK.advanced_kpis(df).first()["repeat_rate"] == rate
+    rev = [sum(v for _, v in months[m]) for m in order_names]
+    growth = round(max(-200, min(200, (rev[-1] - rev[-2]) / rev[-2] * 100)), 1)
+    score = (0.25 * min(k["gross_margin"] / 60, 1) + 0.2 * min(max(growth, 0) / 20, 1) + 0.2 * min(k["net_margin"] / 40, 1)
+             + 0.2 * min(sum(want.values()) / 3 / 80, 1) + 0.15 * min(rate / 100, 1)) * 100
+    assert SK.executive_score(df).first()[0] == round(score, 1)
+
+
+def test_lines_without_a_date_or_any_lines(spark):
+    df = _orders(spark, [("1", "o1", date(2024, 1, 1), "a", 10), ("2", "o2", None, "a", 5), ("3", None, None, None, 5), ("4", "o3", date(2024, 3, 1), "a", 1)])
+    assert [(r["period"], r["retention"]) for r in SC.retention_rate(df).collect()] == [("2024-01", 0.0), ("2024-03", 100.0)]
+    k = SK.kpis(df).first()
+    assert (k["revenue"], k["transactions"], k["customers"], k["revenue_growth"]) == (21.0, 3, 1, -90.0)
+    none = df.limit(0)
+    assert SK.executive_score(none).first()[0] == 0.0 and SK.kpis(none).first()["transactions"] == 0 and SC.retention_rate(none).count() == 0
+
+
+def test_executive_score_scans_the_lines_once(spark, tmp_path):
+    _orders(spark, _activity_rows()).write.parquet(str(tmp_path / "lines"))
+    df = spark.read.schema(FACT_ORDER).parquet(str(tmp_path / "lines"))
+    for out in (SK.executive_score(df), SC.retention_rate(df), SC.repeat_purchase_rate(df)):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert plan.count("FileScan") == 1 and "Join" not in plan and "distinct" not in plan
