@@ -23,10 +23,11 @@ from coldlake.operators.sales_customers import activity_series, repeaters
 def _kpi_row(df: DataFrame, rules: Rules) -> DataFrame:
     """One row of totals, growth, mean retention and repeat rate from the activity series.
 
-    Grouping sets and windows see that series only (a row per day and earlier month).
+    Grouping sets and windows see that series only (a row per day and earlier month), in one
+    partition from there on.
     """
     earlier = W.orderBy("month").rangeBetween(W.unboundedPreceding, -1)
-    series = activity_series(df).withColumn("observed", F.max("month").over(earlier))
+    series = activity_series(df).repartition(1).withColumn("observed", F.max("month").over(earlier))
     gs = (series.groupingSets([[], ["month"], ["order_date"]], "month", "order_date")
           .agg(*[F.sum(m).alias(m) for m in ("rev", "gross", "net", "customers", "active", "groups", "repeaters")],
                F.sum("customers_of_month").alias("of_month"), F.sum("customers_of_day").alias("of_day"),
