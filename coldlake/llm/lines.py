@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coldlake.llm.common import components, discard, staged
+from coldlake.llm.common import components, discard, release, staged
 from coldlake.llm.simhash import block_masks, signed
 
 DISTANCE = 3
@@ -16,6 +16,8 @@ SIMILARITY = 0.8
 MIN_WORDS = 4
 #: Most line keys, of about 60 bytes each, that are broadcast to find the lines' texts.
 BROADCAST_KEYS = 500_000
+#: Choices of agreeing blocks keyed at once: bounds the disk that keys take, not the result.
+CHOICES_A_ROUND = 5
 _WORDS_A_ROW = 15
 #: Thai, Lao, Tibetan, Myanmar, Khmer, kana and Han letters.
 _NO_SPACES = r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u31F0-\u31FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
@@ -96,13 +98,29 @@ def line_prints(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
 
 
 def blocks_for(n: int, distance: int) -> int:
-    """Fewest blocks whose keys, 32 bits at least, give under one chance meeting a fingerprint; results don't depend on it."""
-    blocks = max(distance + 2, 2 * distance)
+    """Fewest blocks whose keys give under one chance meeting a fingerprint; results don't depend on it."""
+    blocks = distance + 2
     while blocks < 16 and len(block_masks(blocks, distance)) * n > 2 ** (64 * (blocks - distance) / blocks):
         blocks += 1
     return blocks
 
 
+def _members(prints: DataFrame, masks: list[int], first: int) -> DataFrame:
+    """Staged rows (block, x, fp, n, y) of the blocks that several nodes share; y is the block's least node.
+
+    ``block`` is a hash of the choice, counted from ``first``, and the bits it keeps; blocks that
+    meet by a hash collision only give more pairs to verify. The shuffle files of these choices
+    go before the next ones are keyed.
+    """
+    blocks = F.array(*[F.xxhash64(F.lit(first + i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)])
+    keyed = prints.select("x", "fp", "n", F.explode(blocks).alias("block"))
+    shared = staged(keyed.groupBy("block").agg(F.count("*").alias("size"), F.min("x").alias("y")).where("size > 1").select("block", "y"), "blocks")
+    out = staged(keyed.join(shared, "block").select("block", "x", "fp", "n", "y"), "members")
+    discard(shared)
+    release(prints.sparkSession)
+    return out
+
+
 def codes(norm: Column) -> Column:
     """A line as a string with one character a word, so that edit distance counts words."""
     return F.decode(F.unhex(F.array_join(F.transform(words_of(norm), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xB000)) + 0x1000), 4, "0")), "")), "UTF-16BE")
@@ -151,38 +169,37 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
     seen = staged(line_prints(docs, min_words, id_col, text_col), "lines")
     nodes = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"),
                                           F.min(F.when(F.col("part") == 0, F.col("fp"))).alias("fp"), F.min("n").alias("n"), F.count(F.when(F.col("part") == 0, 1)).alias("rows"))
-    nodes = staged(nodes.select(F.struct("h1", "h2").alias("x"), "first", "fp", "n", "rows"), "nodes")
-    later = seen.where("part > 0").select(F.struct("h1", "h2").alias("x"), "fp", "n").distinct()
-    prints = nodes.where("fp is not null").select("x", "fp", "n").unionByName(later)
+    nodes = staged(nodes.withColumn("x", F.monotonically_increasing_id()), "nodes")
+    prints = nodes.where("fp is not null").select("x", "fp", "n")
+    later = seen.where("part > 0").select("h1", "h2", "fp").distinct()
+    if not later.isEmpty():
+        prints = staged(prints.unionByName(later.join(nodes.select("x", "h1", "h2", "n"), ["h1", "h2"]).select("x", "fp", "n")), "prints")
     masks = block_masks(blocks_for(prints.count(), distance), distance)
-    keyed = prints.select("x", "fp", "n", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("choice", "key"))
-    block = ["choice", "key"]
-    shared = keyed.groupBy(*block).agg(F.count("*").alias("size"), F.min("x.h1").alias("lead1"), F.min_by("x.h2", "x.h1").alias("lead2")).where("size > 1")
-    shared = staged(shared.select(*block, F.struct(F.col("lead1").alias("h1"), F.col("lead2").alias("h2")).alias("y")), "blocks")
-    members = staged(keyed.join(shared, block), "members")
+    rounds = [_members(prints, masks[i:i + CHOICES_A_ROUND], i) for i in range(0, len(masks), CHOICES_A_ROUND)]
+    members = reduce(DataFrame.unionByName, rounds)
 
     def near(fp1, n1, fp2, n2):
         return (F.bit_count(F.col(fp1).bitwiseXOR(F.col(fp2))) <= distance) & (F.abs(F.col(n1) - F.col(n2)) <= _allowed(F.col(n1), F.col(n2), similarity))
     lead = prints.select(F.col("x").alias("y"), F.col("fp").alias("fy"), F.col("n").alias("ny"))
     tried = members.where("x <> y").select("x", "fp", "n", "y").distinct().join(lead, "y").where(near("fp", "n", "fy", "ny")).select("x", "y")
     links = _verified(docs, nodes, tried, similarity, id_col, text_col)
-    groups = staged(components(links, "x", "y").withColumnRenamed("node", "x"), "groups")
-    labelled = members.select(*block, "x", "fp", "n").join(groups, "x", "left").withColumn("label", F.coalesce("component", "x")).drop("component")
+    groups = early = staged(components(links, "x", "y").withColumnRenamed("node", "x"), "groups")
+    labelled = members.select("block", "x", "fp", "n").join(groups, "x", "left").withColumn("label", F.coalesce("component", "x")).drop("component")
     labelled = staged(labelled, "labelled")
-    split = staged(labelled.groupBy(*block).agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select(*block), "split")
-    left = labelled.join(split, block, "left_semi")
+    split = staged(labelled.groupBy("block").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("block"), "split")
+    left = labelled.join(split, "block", "left_semi")
     a, b = left.alias("a"), left.alias("b")
-    rest = (a.join(b, (F.col("a.choice") == F.col("b.choice")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
+    rest = (a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.label") < F.col("b.label"))
                    & near("a.fp", "a.n", "b.fp", "b.n")).select(F.col("a.x").alias("x"), F.col("b.x").alias("y")))
     more = _verified(docs, nodes, rest, similarity, id_col, text_col)
     # the groups found so far are stars to their least node: only new links need more rounds
     stars = groups.where("x <> component").select("x", F.col("component").alias("y"))
     groups = components(stars.unionByName(more), "x", "y").withColumnRenamed("node", "x")
-    grouped = nodes.select("x", "first", "rows").join(groups, "x", "left").where((F.col("rows") > 1) | F.col("component").isNotNull())
-    grouped = staged(grouped.select("x", "first", F.coalesce("component", "x").alias("label")), "grouped")
+    grouped = nodes.select("x", "h1", "h2", "first", "rows").join(groups, "x", "left").where((F.col("rows") > 1) | F.col("component").isNotNull())
+    grouped = staged(grouped.select("h1", "h2", "first", F.coalesce("component", "x").alias("label")), "grouped")
     least = grouped.groupBy("label").agg(F.min("first").alias("keep"))
-    keep = staged(grouped.join(least, "label").select("x.h1", "x.h2", "keep"), "keep")
-    for old in (nodes, shared, members, links, labelled, split, more, grouped):
+    keep = staged(grouped.join(least, "label").select("h1", "h2", "keep"), "keep")
+    for old in (nodes, prints, *rounds, early, links, labelled, split, more, grouped):
         discard(old)
     return seen.where("part = 0").join(keep, ["h1", "h2"]).select("doc_id", "t", "line_no", (F.struct("doc_id", "t", "line_no") != F.col("keep")).alias("removed"))
 
