@@ -77,8 +77,11 @@ def line_prints(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     row for each _PART_WORDS of them.
     """
     line = ["doc_id", "t", "line_no", "h1", "h2"]
-    lines = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("t"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    norm = lines.select("doc_id", "t", "line_no", normalised(F.col("line")).alias("norm")).where("norm <> ''")
+    # The key is taken before the split and lines are chosen as written: else every line would carry
+    # and hash its whole text, and be normalised once for the filter and once for its value.
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_key(F.col(text_col)).alias("t"), F.col(text_col).alias("body"))
+    lines = texts.select("doc_id", "t", F.posexplode(F.split("body", "\n")).alias("line_no", "line"))
+    norm = lines.where(F.col("line").rlike(r"[\p{L}\p{N}]")).select("doc_id", "t", "line_no", normalised(F.col("line")).alias("norm"))
     split = norm.select("doc_id", "t", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), F.col("norm")).alias("h2"), words_of(F.col("norm")).alias("words"))
     known = split.select(*line, F.size("words").alias("n"), F.array_distinct("words").alias("words"))
     known = known.select(*line, "n", F.size("words").alias("kinds"), "words")
