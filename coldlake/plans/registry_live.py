@@ -15,7 +15,7 @@ from coldlake.operators.live_reports import LiveReports
 from coldlake.plans import registry_ops as ops
 from coldlake.plans.catalog import Catalog
 from coldlake.plans.registry_store import folder
-from coldlake.sources.epochs import EpochStore
+from coldlake.sources.epochs import EpochStore, Folder
 from coldlake.streaming import sensor_stream as S
 
 QUERIES: dict[str, tuple] = {}
@@ -31,15 +31,30 @@ def q(name: str, sql: str):
     return deco
 
 
-def written(rows: DataFrame, number: Column, files: int, path: str) -> str:
-    """``rows`` as ``files`` files, written one after another by their file ``number``."""
+#: Rows of a file: a number's rows are dealt over several files, so that no single task writes or reads them all.
+ROWS_A_FILE = 10_000
+
+
+def written(rows: DataFrame, number: Column, files: int, path: str, rows_a_file: int | None = None) -> tuple[str, int]:
+    """``rows`` written by their ``number``, one number after another, each as the same count of files; the
+    path and that count, which as ``maxFilesPerTrigger`` makes every number one micro-batch.
+
+    A number has a file per ``rows_a_file`` rows on average, at most one per core. One of too few
+    rows for all of its files is filled up with files without rows.
+    """
+    spark = rows.sparkSession
+    parts = max(1, min(spark.sparkContext.defaultParallelism, rows.count() // (files * (rows_a_file or ROWS_A_FILE))))
+    target, empty = Folder(spark, path), spark.createDataFrame([], rows.schema).coalesce(1)
     for k in range(files):
-        rows.where(number == k).coalesce(1).write.mode("append").parquet(path)
-    return path
+        own = rows.where(number == k)
+        (own.repartition(parts) if parts > 1 else own.coalesce(1)).write.mode("append").parquet(path)
+        for _ in range(parts * (k + 1) - sum(name.startswith("part-") for name in target.names())):
+            empty.write.mode("append").parquet(path)
+    return path, parts
 
 
-def _events_by_id(c: Catalog) -> str:
-    """The events as files of rising event ids."""
+def _events_by_id(c: Catalog) -> tuple[str, int]:
+    """The events in order of their ids, FILES times a number of files."""
     events = c.spark.read.parquet(f"{c.sf_dir}/events.parquet")
     lo = events.agg(F.min("event_id")).scalar()
     hi = events.agg(F.max("event_id")).scalar()
@@ -47,11 +62,12 @@ def _events_by_id(c: Catalog) -> str:
 
 
 def live_store(c: Catalog) -> EpochStore:
-    """The store that a stream over the files has filled: one epoch a file, run once per catalog."""
+    """The store that a stream over the files has filled: one epoch a file number, run once per catalog."""
     if "_live" not in c.__dict__:
         base = folder(c, "live")
         store = EpochStore(c.spark, f"{base}/tables", FOLD)
-        S.start_sensor_pipeline(c.spark, _events_by_id(c), store, f"{base}/checkpoint", c.rules, c.clock, max_files_per_trigger=1,
+        path, parts = _events_by_id(c)
+        S.start_sensor_pipeline(c.spark, path, store, f"{base}/checkpoint", c.rules, c.clock, max_files_per_trigger=parts,
                                 available_now=True, backfill_clock=True).awaitTermination()
         c.__dict__["_live"] = store
     return c.__dict__["_live"]
@@ -199,8 +215,8 @@ def _readings(c: Catalog) -> DataFrame:
     if "_mixed" not in c.__dict__:
         fact = live_store(c).read("fact_sensor_reading")
         c.__dict__["_mixed"] = written(fact, F.substring("event_id", 2, 20).cast("long") % MIXED, MIXED, f"{folder(c, 'readings')}/fact"), fact.schema
-    path, schema = c.__dict__["_mixed"]
-    return c.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    (path, parts), schema = c.__dict__["_mixed"]
+    return c.spark.readStream.schema(schema).option("maxFilesPerTrigger", parts).parquet(path)
 
 
 @q("H02_dedupe_within_watermark", O.sensor("""
@@ -220,8 +236,8 @@ def _h02_bounded(c: Catalog):
     for repeat in (later(0), later(2), raw.where(number == 1)):
         rows = rows.unionByName(repeat.withColumn("file", F.lit(3).cast("long")))
     base = folder(c, "h02-bounded")
-    src = written(rows, F.col("file"), 4, f"{base}/arrivals")
-    stream = c.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    src, parts = written(rows, F.col("file"), 4, f"{base}/arrivals")
+    stream = c.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(src)
     S.start_bounded_dedupe(stream, f"{base}/kept", f"{base}/checkpoint", f"{max(1, w // 4)} seconds").awaitTermination()
     return c.spark.read.schema(rows.schema).parquet(f"{base}/kept").drop("file")
 

@@ -193,3 +193,19 @@ def test_months(spark, scratch):
     assert store.read().count() == 0
     store.upsert(orders(spark, [("a", "A", datetime(2023, 12, 1).date(), 1, None), ("b", "B", datetime(2024, 2, 1).date(), 1, None)]))
     assert rows(store.months("2024-01").select("order_line_id")) == [("b",)]
+
+
+def test_a_micro_batch_is_dealt_over_several_files(spark, scratch):
+    """Every number is one micro-batch of several files, also one that has fewer rows than files."""
+    from coldlake.plans.registry_live import written
+    rows = spark.range(600).select("id", F.when(F.col("id") < 397, 0).when(F.col("id") < 400, 1).otherwise(2).alias("k"))
+    path, parts = written(rows, F.col("k"), 3, os.path.join(scratch, "dealt"), rows_a_file=50)
+    assert parts == min(4, spark.sparkContext.defaultParallelism) > 1
+    held = spark.read.parquet(path).groupBy("k", F.col("_metadata.file_name").alias("f")).count().collect()
+    assert sum(r["count"] for r in held) == 600
+    assert len([r for r in held if r["k"] == 0]) == len([r for r in held if r["k"] == 2]) == parts
+    seen = []
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(path)
+    (stream.writeStream.foreachBatch(lambda df, _: seen.append(sorted((r["k"], r["count"]) for r in df.groupBy("k").count().collect())) and None)
+     .option("checkpointLocation", os.path.join(scratch, "seen")).trigger(availableNow=True).start().awaitTermination())
+    assert seen == [[(0, 397)], [(1, 3)], [(2, 200)]]
