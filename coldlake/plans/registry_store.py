@@ -36,6 +36,13 @@ def folder(c: Catalog, name: str) -> str:
     return f"{ensure_checkpoint_dir(c.spark)}/{name}-{uuid.uuid4().hex[:8]}"
 
 
+def kept(c: Catalog, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a table in a folder of its own, for a query that reads them several times."""
+    path = folder(c, name)
+    rows.write.parquet(path)
+    return c.spark.read.schema(rows.schema).parquet(path)
+
+
 def new_store(c: Catalog, name: str) -> TableStore:
     return TableStore(c.spark, folder(c, name))
 
@@ -74,8 +81,9 @@ def _a03(c: Catalog):
 SELECT order_line_id, CASE WHEN order_date >= DATE '1996-01-01' THEN -quantity ELSE quantity END AS quantity FROM fo"""))
 def _a04(c: Catalog):
     store = OrderStore(c.spark, folder(c, "a04"), buckets=1)
-    store.load(c.orders)
-    store.upsert(c.orders.where("order_date >= DATE '1996-01-01'").withColumn("quantity", -F.col("quantity")))
+    orders = kept(c, c.orders, "a04-orders")
+    store.load(orders)
+    store.upsert(orders.where("order_date >= DATE '1996-01-01'").withColumn("quantity", -F.col("quantity")))
     return store.read().select("order_line_id", "quantity")
 
 
@@ -100,7 +108,7 @@ def _a06_store(c: Catalog):
     store.load(c.orders)
     path = folder(c, "a06-files")
     store.files().write.parquet(path)
-    store.cancel(c.orders.where("order_date BETWEEN DATE '1996-02-10' AND DATE '1996-03-20' AND quantity > 45").select("order_line_id"))
+    store.cancel(kept(c, c.orders.where("order_date BETWEEN DATE '1996-02-10' AND DATE '1996-03-20' AND quantity > 45").select("order_line_id"), "a06-keys"))
     old = c.spark.read.parquet(path).withColumn("old", F.lit(True))
     now = store.files().join(old, ["order_month", "bucket", "file"], "left")
     return now.groupBy("order_month", "bucket").agg(F.max(F.col("old").isNull()).alias("rewritten"))
@@ -137,9 +145,11 @@ UNION ALL SELECT 'fact_order (quantity as text)', false, 0
 UNION ALL SELECT 'dim_product (without its key)', false, 0"""))
 def _a11(c: Catalog):
     """The schema-checked load over stored tables: rows read per table, a missing one empty, a wrong one refused."""
-    orders, products = c.orders.select(*[f.name for f in FACT_ORDER.fields]), c.dim_product
     base = folder(c, "a11")
-    stored = {"fact_order": ("fact_order", orders), "dim_product": ("dim_product", products), "dim_customer": ("dim_customer", c.dim_customer),
+    c.orders.select(*[f.name for f in FACT_ORDER.fields]).write.parquet(f"{base}/0")
+    # the wrong table is made of the stored lines, which are joined once
+    orders, products = c.spark.read.schema(FACT_ORDER).parquet(f"{base}/0"), c.dim_product
+    stored = {"fact_order": ("fact_order", None), "dim_product": ("dim_product", products), "dim_customer": ("dim_customer", c.dim_customer),
               "dim_vehicle (missing)": ("dim_vehicle", None), "fact_order (quantity as text)": ("fact_order", orders.withColumn("quantity", F.col("quantity").cast("string"))),
               "dim_product (without its key)": ("dim_product", products.drop("product_id"))}
     out = None
@@ -295,9 +305,10 @@ WHERE order_line_id IN (SELECT id FROM returned) AND order_line_id NOT IN (SELEC
 def _h08(c: Catalog):
     """Half of the lines are stored; the feed brings the others twice, then cancellations and returns, and all is replayed."""
     store = OrderStore(c.spark, folder(c, "h08"), buckets=1)
-    store.load(c.orders.where("quantity % 2 = 0"))
+    orders = kept(c, c.orders, "h08-orders")
+    store.load(orders.where("quantity % 2 = 0"))
     blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in FACT_ORDER.fields if f.name != "order_line_id"]
-    inserts = c.orders.where("quantity % 2 = 1").select(*[f.name for f in FACT_ORDER.fields], F.lit("insert").alias("op"))
+    inserts = orders.where("quantity % 2 = 1").select(*[f.name for f in FACT_ORDER.fields], F.lit("insert").alias("op"))
     changes = inserts.unionByName(inserts)
     for op, keys in (("cancel", fixtures.cancelled_lines(c.spark, c.sf_dir)), ("return", fixtures.returned_lines(c.spark, c.sf_dir))):
         changes = changes.unionByName(keys.select("order_line_id", *blank, F.lit(op).alias("op")))

@@ -1,7 +1,8 @@
 """Order lines stored by month and key bucket, so that a change rewrites only the partitions it touches.
 
 A change set is resolved to partitions through the key column alone; the rows of those
-partitions are changed, staged, and put back with Spark's dynamic partition overwrite.
+partitions are changed and put back with Spark's dynamic partition overwrite, which keeps the
+old files until all new ones are written.
 Partitions that lose all their rows are deleted, and all others keep their files. Every change
 is idempotent by key, so a change set that fails half-way is simply applied again.
 """
@@ -69,8 +70,7 @@ class OrderStore:
         The touched partitions are at most all partitions of the table, a bounded list.
         """
         stored = self._stored()
-        wanted = keys.select(KEY).distinct().withColumn("bucket", self.bucket())
-        touched = stored.select(KEY, *PARTS).join(wanted, [KEY, "bucket"], "left_semi").select(*PARTS)
+        touched = stored.select(KEY, *PARTS).join(keys.select(KEY), KEY, "left_semi").select(*PARTS)
         if new is not None:
             touched = touched.unionByName(new(stored.drop(*PARTS)).select(F.date_format("order_date", "yyyy-MM").alias("order_month"), self.bucket().alias("bucket")))
         touched = touched.distinct()
@@ -78,13 +78,13 @@ class OrderStore:
         touched.write.parquet(self.folder.at(work, "touched"))
         touched = self.spark.read.schema("order_month string, bucket int").parquet(self.folder.at(work, "touched")).toDF("_month", "_bucket")
         same = F.col("order_month").eqNullSafe(F.col("_month")) & (F.col("bucket") == F.col("_bucket"))
-        changed = self._placed(change(stored.join(F.broadcast(touched), same, "left_semi").drop(*PARTS)))
-        changed.hint("rebalance", *PARTS).write.parquet(self.folder.at(work, "rows"))
-        staged = self.spark.read.schema(changed.schema).parquet(self.folder.at(work, "rows"))
-        emptied = touched.join(staged.select(*PARTS).distinct(), same, "left_anti").collect()
-        self._write(staged)
-        for p in emptied:
-            self.folder.delete("lines", f"order_month={p['_month'] or '__HIVE_DEFAULT_PARTITION__'}", f"bucket={p['_bucket']}")
+        places = [("lines", f"order_month={p['_month'] or '__HIVE_DEFAULT_PARTITION__'}", f"bucket={p['_bucket']}") for p in touched.collect()]
+        old = {p: set(self.folder.names(*p)) for p in places}
+        self._write(self._placed(change(stored.join(F.broadcast(touched), same, "left_semi").drop(*PARTS))))
+        for p in places:
+            # a partition that got rows has other files now
+            if old[p] & set(self.folder.names(*p)):
+                self.folder.delete(*p)
         self.folder.delete(work)
 
     def upsert(self, new: DataFrame) -> None:
