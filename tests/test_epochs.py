@@ -209,3 +209,34 @@ def test_a_micro_batch_is_dealt_over_several_files(spark, scratch):
     (stream.writeStream.foreachBatch(lambda df, _: seen.append(sorted((r["k"], r["count"]) for r in df.groupBy("k").count().collect())) and None)
      .option("checkpointLocation", os.path.join(scratch, "seen")).trigger(availableNow=True).start().awaitTermination())
     assert seen == [[(0, 397)], [(1, 3)], [(2, 200)]]
+
+
+def test_a_rewrite_writes_its_rows_once(spark, scratch):
+    """No copy of the changed rows lies beside the table; partitions that lose all rows go."""
+    orders = fixtures.fact_order(spark, SF_SMALL).limit(200).persist()
+    store = OrderStore(spark, scratch, buckets=1)
+    store.load(orders)
+    written, delete = [], store.folder.delete
+    store.folder.delete = lambda *parts: (written.extend(store.folder.names(*parts)), delete(*parts))
+    first = store.read().agg(F.min(F.date_format("order_date", "yyyy-MM"))).first()[0]
+    gone = orders.where(F.date_format("order_date", "yyyy-MM") == first)
+    n = gone.count()
+    store.cancel(gone.select("order_line_id"))
+    orders.unpersist()
+    assert store.read().count() == 200 - n and f"order_month={first}" not in {r[0] for r in store.files().select("order_month").collect()}
+    assert "touched" in written and "rows" not in written
+
+
+def test_replaced_lines_are_joined_once(spark):
+    """The change set and the load of A04 read one table of lines."""
+    from coldlake.plans import registry_store
+    from coldlake.plans.catalog import Catalog
+    built = []
+
+    class Counting(Catalog):
+        def table(self, name):
+            built.append(name)
+            return super().table(name)
+
+    assert registry_store.QUERIES["A04_replace_by_key"][0](Counting(spark, SF_SMALL)).count() > 0
+    assert built == ["fact_order"]
