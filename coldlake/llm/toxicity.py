@@ -6,6 +6,7 @@ import pickle
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +31,8 @@ MIN_EVIDENCE = 6.0
 #: Least marginal that counts towards a document's sum.
 MIN_MARGINAL = 0.2
 CACHE_WORDS = 300_000
+#: Words of whole documents that training tags at a time: bounds its arrays, not the sample.
+PART_WORDS = 200_000
 _WORD = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
 
 
@@ -141,20 +144,20 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label_col: str, held_out
     return rows.orderBy("at", "text", "y").limit(2 * OVERDRAW * sum(sample.values())), totals
 
 
-def _without_near_copies(docs: list[tuple[list[bytes], int]], sample: dict = SAMPLE) -> list[tuple[list[bytes], int]]:
-    """The first documents of each class up to ``sample``, one of each family of near copies,
-    else every word of a copied text looks telling."""
+def _without_near_copies(drawn: list[tuple[bytes, int]], sample: dict = SAMPLE) -> Iterator[tuple[list[bytes], int]]:
+    """Words and class of the first documents of each class up to ``sample``, one of each family of
+    near copies, else every word of a copied text looks telling. Texts are split one at a time."""
     seen: set[int] = set()
-    left, out = dict(sample), []
-    for ws, y in docs:
+    left = dict(sample)
+    for text, y in drawn:
         if not left[y]:
             continue
+        ws = words(text)
         low = sorted({zlib.crc32(b" ".join(ws[i:i + 3])) for i in range(max(1, len(ws) - 2))})[:3]
         if sum(h in seen for h in low) * 2 <= len(low):
-            out.append((ws, y))
+            yield ws, y
             left[y] -= 1
         seen.update(low)
-    return out
 
 
 def _log_likelihood(k: np.ndarray, n: int, j: np.ndarray, m: int) -> np.ndarray:
@@ -177,61 +180,71 @@ def train(drawn: list[tuple[bytes, int]], totals: dict, epochs: int = EPOCHS, sa
     (log-likelihood ratio); everything else is tagged clean. Without both classes the score is
     the share of toxic labels for every text.
     """
-    docs = _without_near_copies([(words(t), y) for t, y in drawn], sample)
+    types: dict[bytes, int] = {}  # documents are held as numbers of their words
+    docs = [(np.array([types.setdefault(w, len(types)) for w in ws], dtype=np.int32), y) for ws, y in _without_near_copies(drawn, sample)]
+    names = list(types)
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
     size = {y: sum(1 for _, z in docs if z == y) for y in (0, 1)}
     empty = Crf(np.zeros(1 << FEATURE_BITS), -12.0, 0.0, np.array([-3.0, 0.0, 0.0]), np.array([np.log(prior / (1 - prior)), 0, 0]))
     if not size[0] or not size[1]:
         return empty
     toxic, clean = Counter(), Counter()
-    for ws, y in docs:
+    for at, y in docs:
         if y == 1:
-            toxic.update({k for w in set(ws) for k in _evidence_keys(w)})
+            toxic.update({k for i in np.unique(at) for k in _evidence_keys(names[i])})
     toxic = {k: n for k, n in toxic.items() if n > 2}
-    for ws, y in docs:
+    for at, y in docs:
         if y == 0:
-            clean.update({k for w in set(ws) for k in _evidence_keys(w) if k in toxic})
+            clean.update({k for i in np.unique(at) for k in _evidence_keys(names[i]) if k in toxic})
     keys = list(toxic)
     g2 = _log_likelihood(np.array([toxic[k] for k in keys]), size[1], np.array([clean[k] for k in keys]), size[0])
     least = MIN_EVIDENCE + 2 * np.log(len(keys) + 1)  # many candidates meet some ratio by chance
     telling = {k for k, g in zip(keys, g2, strict=True) if g >= least}
     del toxic, clean
-    types: dict[bytes, int] = {}
-    ids = np.array([types.setdefault(w, len(types)) for ws, _ in docs for w in ws], dtype=np.int64)
-    lengths = np.array([len(ws) for ws, _ in docs])
+    ids = np.concatenate([at for at, _ in docs])
+    lengths = np.array([len(at) for at, _ in docs])
     first = np.zeros(len(ids), dtype=bool)
     first[np.concatenate(([0], np.cumsum(lengths)[:-1]))[lengths > 0]] = True
     toxic_doc = np.repeat(np.array([y for _, y in docs]), lengths)
     toxic_type = np.array([any(k in telling for k in _evidence_keys(w)) for w in types])
     tag = ((toxic_doc == 1) & toxic_type[ids]).astype(float)
-    listed = [features(w) for w in types]
-    col = np.concatenate([np.array(f) for f in listed])
+    listed = [np.array(features(w), dtype=np.int32) for w in types]
+    col = np.concatenate(listed)
     row = np.repeat(np.arange(len(listed)), [len(f) for f in listed])
+    parts = _parts(lengths)
 
     crf = Crf(np.zeros(1 << FEATURE_BITS), -4.0, -3.0, np.array([-3.0, 0.0, 0.0]), np.zeros(3))
-    inner, prev = np.flatnonzero(~first), np.flatnonzero(~first) - 1
-    y0, y1 = tag[prev], tag[inner]
-    goal = np.array([((1 - y0) * y1).sum(), (y0 * (1 - y1)).sum(), (y0 * y1).sum()])
+    goal = np.zeros(3)
+    for lo, hi in parts:
+        inner = np.flatnonzero(~first[lo:hi])
+        y0, y1 = tag[lo:hi][inner - 1], tag[lo:hi][inner]
+        goal += np.array([((1 - y0) * y1).sum(), (y0 * (1 - y1)).sum(), (y0 * y1).sum()])
     theta = [crf.weights, np.array([crf.bias, crf.start, *crf.trans])]
     m1, m2 = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
     for step in range(1, epochs + 1):
         crf.weights, (crf.bias, crf.start), crf.trans = theta[0], theta[1][:2], theta[1][2:]
         em = np.clip(crf.bias + np.bincount(row, weights=crf.weights[col], minlength=len(listed)), -30, 30)
-        fwd, back, x, marg = crf.marginals(em[ids], first)
-        by_type = np.bincount(ids, weights=tag - marg, minlength=len(listed))
         ot, to, tt = np.exp(crf.trans)
-        tail = x[inner] * back[inner]
-        pair = np.stack([ot * tail, to * fwd[prev], tt * fwd[prev] * tail])
-        pair /= 1 + pair.sum(axis=0)
+        by_type, starts, moves = np.zeros(len(listed)), 0.0, np.zeros(3)
+        for lo, hi in parts:
+            fwd, back, x, marg = crf.marginals(em[ids[lo:hi]], first[lo:hi])
+            off = tag[lo:hi] - marg
+            by_type += np.bincount(ids[lo:hi], weights=off, minlength=len(listed))
+            starts += off[first[lo:hi]].sum()
+            inner = np.flatnonzero(~first[lo:hi])
+            tail, before = x[inner] * back[inner], fwd[inner - 1]
+            pair = np.stack([ot * tail, to * before, tt * before * tail])
+            pair /= 1 + pair.sum(axis=0)
+            moves += pair.sum(axis=1)
         g = [np.bincount(col, weights=by_type[row], minlength=1 << FEATURE_BITS) - 0.05 * theta[0],
-             np.array([by_type.sum(), (tag - marg)[first].sum(), *(goal - pair.sum(axis=1))])]
+             np.array([by_type.sum(), starts, *(goal - moves)])]
         for k in range(2):  # Adam
             m1[k] = 0.9 * m1[k] + 0.1 * g[k]
             m2[k] = 0.99 * m2[k] + 0.01 * g[k] ** 2
             theta[k] = theta[k] + 0.25 * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)
     crf.weights, (crf.bias, crf.start), crf.trans = theta[0], theta[1][:2], theta[1][2:]
     em = np.clip(crf.bias + np.bincount(row, weights=crf.weights[col], minlength=len(listed)), -30, 30)
-    marg = crf.marginals(em[ids], first)[3]
+    marg = np.concatenate([crf.marginals(em[ids[lo:hi]], first[lo:hi])[3] for lo, hi in parts])
     top, total = document_sums(marg, lengths)
     y = np.array([z for _, z in docs], dtype=float)
     weight = np.where(y == 1, prior / size[1], (1 - prior) / size[0]) * len(y)
@@ -239,6 +252,15 @@ def train(drawn: list[tuple[bytes, int]], totals: dict, epochs: int = EPOCHS, sa
     return crf
 
 
+def _parts(lengths: np.ndarray, most: int = PART_WORDS) -> list[tuple[int, int]]:
+    """Ranges of words that cut concatenated documents, between documents only, at about ``most``."""
+    ends = np.cumsum(lengths)
+    cuts = [0]
+    while cuts[-1] < ends[-1]:
+        cuts.append(int(ends[max(np.searchsorted(ends, cuts[-1] + most, "right") - 1, np.searchsorted(ends, cuts[-1], "right"))]))
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def document_sums(marg: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Greatest marginal and sum of marginals of each document; zero without words.
 
@@ -325,9 +347,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", held_out=l
     rows, totals = sample_labelled(docs, labels, label_col, held_out, sample)
 
     def run(batches):
-        drawn = [(r["at"], r["text"].encode(), r["y"]) for b in batches for r in b.to_pylist()]
+        drawn = [row for b in batches for row in zip(*(c.to_pylist() for c in (b.column("at"), b.column("text").cast(pa.binary()), b.column("y"))), strict=True)]
         if drawn:
-            crf = train([d[1:] for d in sorted(drawn)], totals, sample=sample)
+            drawn.sort()
+            crf = train([d[1:] for d in drawn], totals, sample=sample)
+            pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(crf)], pa.binary())], names=["crf"])
 
     done = [] if rows is None else rows.mapInArrow(run, "crf binary").collect()

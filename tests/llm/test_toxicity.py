@@ -67,3 +67,27 @@ def test_edge_rows(spark, make_docs, edge_rows):
     none = toxicity.fit(docs, labels.limit(0))
     assert {round(r["score"], 9) for r in toxicity.score(docs, none, ["doc_id"]).collect()} == {0.5}
     assert toxicity.score(make_docs([]), crf, ["doc_id"]).count() == 0
+
+
+def test_training_in_parts_of_whole_documents(monkeypatch):
+    drawn = [(" ".join([prose(k, 40), "foulword" if k % 2 else "", prose(900 + k, k)]).encode(), k % 2) for k in range(120)]
+    lengths = np.array([0, 3, 0, 5, 2, 9, 0, 1])
+    assert toxicity._parts(lengths, 8) == [(0, 8), (8, 10), (10, 19), (19, 20)] and toxicity._parts(lengths, 100) == [(0, 20)]
+    whole, longest, marginals = toxicity.train(drawn, {0: 60, 1: 60}), [], toxicity.Crf.marginals
+
+    def seen(self, emission, first):
+        longest.append(len(emission))
+        return marginals(self, emission, first)
+    monkeypatch.setattr(toxicity.Crf, "marginals", seen)
+    monkeypatch.setattr(toxicity._parts, "__defaults__", (400,))
+    cut = toxicity.train(drawn, {0: 60, 1: 60})
+    assert max(longest) <= 400
+    assert np.allclose(cut.weights, whole.weights, atol=1e-6) and np.allclose(cut.platt, whole.platt, atol=1e-6)
+
+
+def test_training_splits_texts_one_at_a_time(monkeypatch):
+    split = []
+    monkeypatch.setattr(toxicity, "words", lambda t: split.append(t) or t.split())
+    taken = toxicity._without_near_copies([(prose(k, 30).encode(), k % 2) for k in range(40)], {0: 5, 1: 3})
+    assert next(taken)[1] == 0 and len(split) == 1
+    assert len(list(taken)) == 7 and len(split) == 8
