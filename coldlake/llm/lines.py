@@ -14,7 +14,7 @@ DISTANCE = 3
 SIMILARITY = 0.8
 #: Fewer words can't be near others: one edit is over a fifth of them. Equal lines meet at any length.
 MIN_WORDS = 4
-#: Most line keys, of about 60 bytes each, that are broadcast to find the lines' texts.
+#: Most line keys, of about 60 bytes each, that are broadcast to find the lines' texts, and most blocks to find their lines.
 BROADCAST_KEYS = 500_000
 #: Choices of agreeing blocks keyed at once: bounds the disk that keys take, not the result.
 CHOICES_A_ROUND = 5
@@ -108,20 +108,28 @@ def blocks_for(n: int, distance: int) -> int:
     return blocks
 
 
-def _members(prints: DataFrame, masks: list[int], first: int) -> DataFrame:
-    """Staged rows (block, x, fp, n, y) of the blocks that several nodes share; y is the block's least node.
+def _members(prints: DataFrame, masks: list[int], first: int, distance: int) -> tuple[DataFrame, DataFrame]:
+    """Staged near pairs (x, y) of blocks of two, and staged rows (block, x, fp, n, y) of larger blocks; y is the block's least node.
 
     ``block`` is a hash of the choice, counted from ``first``, and the bits it keeps; blocks that
-    meet by a hash collision only give more pairs to verify. The shuffle files of these choices
-    go before the next ones are keyed.
+    meet by a hash collision only give more pairs to verify. Most shared blocks are two lines that
+    meet by chance: the xor of their prints tells them apart while blocks are counted, so only
+    larger blocks are joined to their lines. The shuffle files of these choices go before the next
+    ones are keyed.
     """
     blocks = F.array(*[F.xxhash64(F.lit(first + i), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)])
     keyed = prints.select("x", "fp", "n", F.explode(blocks).alias("block"))
-    shared = staged(keyed.groupBy("block").agg(F.count("*").alias("size"), F.min("x").alias("y")).where("size > 1").select("block", "y"), "blocks")
-    out = staged(keyed.join(shared, "block").select("block", "x", "fp", "n", "y"), "members")
-    discard(shared)
+    met = keyed.groupBy("block").agg(F.count("*").alias("size"), F.min("x").alias("y"), F.max("x").alias("x"), F.bit_xor("fp").alias("bits"))
+    # y = x: the parts of one very long line
+    met = staged(met.where((F.col("y") < F.col("x")) & ((F.col("size") > 2) | (F.bit_count("bits") <= distance))), "blocks")
+    pairs = staged(met.where("size = 2").select("x", "y").distinct(), "pairs")
+    large = staged(met.where("size > 2").select("block", "y"), "large")
+    few = large.count() <= BROADCAST_KEYS  # else the keys are shuffled to their blocks
+    out = staged(keyed.join(F.broadcast(large) if few else large, "block").select("block", "x", "fp", "n", "y"), "members")
+    discard(met)
+    discard(large)
     release(prints.sparkSession)
-    return out
+    return pairs, out
 
 
 def codes(norm: Column) -> Column:
@@ -163,13 +171,14 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
     Equal normalised lines of any length are one node, so a line that a third of the documents
     repeat costs one row from there on. Nodes of at least ``min_words`` words meet on pigeonhole
     blocks of their SimHash, a very long line with the prints of all its parts; a pair within ``distance`` bits is a link if its edit similarity in
-    words, 1 - edits / longer line, is at least ``similarity``. First every node is tried with the least node of each of its blocks;
-    then only nodes of one block that are still in different groups are tried with each other.
+    words, 1 - edits / longer line, is at least ``similarity``. First every node is tried with the least node of each of its blocks, which settles blocks of two;
+    then only nodes of one larger block that are still in different groups are tried with each other.
     A crowd of near copies is so joined in proportion to its size, and as links inside a group
     cannot change it, the groups are those of all links. Of each group the least occurrence by
     (doc_id, text hash, line number) stays and ``removed`` marks the others.
     """
     seen = staged(line_prints(docs, min_words, id_col, text_col), "lines")
+    release(docs.sparkSession)
     nodes = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "t", "line_no")).alias("first"),
                                           F.min(F.when(F.col("part") == 0, F.col("fp"))).alias("fp"), F.min("n").alias("n"), F.count(F.when(F.col("part") == 0, 1)).alias("rows"))
     nodes = staged(nodes.withColumn("x", F.monotonically_increasing_id()), "nodes")
@@ -178,17 +187,20 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
     if not later.isEmpty():
         prints = staged(prints.unionByName(later.join(nodes.select("x", "h1", "h2", "n"), ["h1", "h2"]).select("x", "fp", "n")), "prints")
     masks = block_masks(blocks_for(prints.count(), distance), distance)
-    rounds = [_members(prints, masks[i:i + CHOICES_A_ROUND], i) for i in range(0, len(masks), CHOICES_A_ROUND)]
+    release(docs.sparkSession)
+    twos, rounds = zip(*[_members(prints, masks[i:i + CHOICES_A_ROUND], i, distance) for i in range(0, len(masks), CHOICES_A_ROUND)], strict=True)
     members = reduce(DataFrame.unionByName, rounds)
 
     def near(fp1, n1, fp2, n2):
         return (F.bit_count(F.col(fp1).bitwiseXOR(F.col(fp2))) <= distance) & (F.abs(F.col(n1) - F.col(n2)) <= _allowed(F.col(n1), F.col(n2), similarity))
     lead = prints.select(F.col("x").alias("y"), F.col("fp").alias("fy"), F.col("n").alias("ny"))
     tried = members.where("x <> y").select("x", "fp", "n", "y").distinct().join(lead, "y").where(near("fp", "n", "fy", "ny")).select("x", "y")
-    links = _verified(docs, nodes, tried, similarity, id_col, text_col)
+    links = _verified(docs, nodes, reduce(DataFrame.unionByName, twos, tried), similarity, id_col, text_col)
     groups = early = staged(components(links, "x", "y").withColumnRenamed("node", "x"), "groups")
     labelled = members.select("block", "x", "fp", "n").join(groups, "x", "left").withColumn("label", F.coalesce("component", "x")).drop("component")
     labelled = staged(labelled, "labelled")
+    for old in (*twos, *rounds):
+        discard(old)
     split = staged(labelled.groupBy("block").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("block"), "split")
     left = labelled.join(split, "block", "left_semi")
     a, b = left.alias("a"), left.alias("b")
@@ -202,7 +214,7 @@ def line_groups(docs: DataFrame, distance: int = DISTANCE, similarity: float = S
     grouped = staged(grouped.select("h1", "h2", "first", F.coalesce("component", "x").alias("label")), "grouped")
     least = grouped.groupBy("label").agg(F.min("first").alias("keep"))
     keep = staged(grouped.join(least, "label").select("h1", "h2", "keep"), "keep")
-    for old in (nodes, prints, *rounds, early, links, labelled, split, more, grouped):
+    for old in (nodes, prints, early, links, labelled, split, more, grouped):
         discard(old)
     return seen.where("part = 0").join(keep, ["h1", "h2"]).select("doc_id", "t", "line_no", (F.struct("doc_id", "t", "line_no") != F.col("keep")).alias("removed"))
 

@@ -137,3 +137,20 @@ def test_near_lines_of_several_parts_are_linked(spark, make_docs):
     rows = [(1, " ".join(words)), (2, " ".join([*words[:-2], "other", "tail"])), (3, " ".join(words[:-3]))]
     got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(make_docs(rows)).collect()}
     assert got == {1: rows[0][1], 2: "", 3: ""}
+
+
+def test_blocks_of_two_are_settled_without_a_join(spark):
+    masks = lines.block_masks(5, 3)
+    far, crowd = 0x0F0F0F0F0F0F0F0F, 0x123456789ABCDEF
+    prints = spark.createDataFrame([(1, 5, 9), (2, 6, 9), (3, far, 9), (4, far ^ 0x7FFFF, 9), (7, -far, 9), (7, -far, 9)] + [(10 + k, crowd ^ (1 << k), 9) for k in range(4)], "x long, fp long, n int")
+    pairs, large = lines._members(prints, masks, 0, 3)
+    # 3 and 4 share a block by chance, 7 is two parts of one line
+    assert {(r["x"], r["y"]) for r in pairs.collect()} == {(2, 1)}
+    assert {(r["x"], r["y"]) for r in large.collect()} == {(10 + k, 10) for k in range(4)}
+
+
+@pytest.mark.parametrize("keys", [0, 500_000])
+def test_groups_do_not_depend_on_how_blocks_are_joined(spark, make_docs, monkeypatch, keys):
+    monkeypatch.setattr(lines, "BROADCAST_KEYS", keys)
+    rows = fuzzy_rows()
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(make_docs(rows)).collect()} == plain(rows)
