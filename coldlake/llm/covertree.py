@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pickle
 from collections import defaultdict
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,10 @@ THRESHOLD = 0.93
 BLOCK = 1024
 #: Most pivots over all labels; with more vectors cells grow and are cut into more blocks.
 MOST_PIVOTS = 16_384
+#: Pairs of points that are compared at once rather than by opening their nodes.
+DENSE = 4096
+#: Blocks of a label in a crew on average; two crews meet in one task, so a block is sent once per crew it may meet.
+CREW = 16
 _SLACK = 1e-9
 
 
@@ -72,40 +77,71 @@ class CoverTree:
                 spot += len(laid[k][0])
         self.order = np.concatenate(order) if order else self.order
         self.points = vectors[self.order]
+        self._arrays()
+
+    def _arrays(self) -> None:
+        """What the traversal reads of all nodes at once: spans, radii and points in single precision."""
+        self.start, self.end = (np.array([n[k] for n in self.nodes], dtype=np.int64) for k in (0, 1))
+        self.radius = np.array([n[2] for n in self.nodes], dtype=np.float32) * np.float32(1 + 1e-6)
+        self.rough = self.points.astype(np.float32)
+
+    def children(self, node: int) -> np.ndarray:
+        """The node's children; a leaf is its own."""
+        return np.array(self.nodes[node][3] or [node])
+
+    def __getstate__(self) -> tuple:
+        return self.order, self.nodes, self.points
+
+    def __setstate__(self, state: tuple) -> None:
+        self.order, self.nodes, self.points = state
+        self._arrays()
 
 
 def _chords(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
+def _spans(tree: CoverTree, nodes: np.ndarray) -> np.ndarray:
+    """Stored positions of the points of ``nodes``."""
+    size = tree.end[nodes] - tree.start[nodes]
+    return np.repeat(tree.start[nodes] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def _compared(a: CoverTree, b: CoverTree, rows: np.ndarray, cols: np.ndarray, threshold: float, slack: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs among the points at ``rows`` and ``cols``: single precision rules most out, double precision decides."""
+    rough = a.rough[rows] @ b.rough[cols].T >= np.float32(threshold - slack)
+    rows, cols = rows[rough.any(axis=1)], cols[rough.any(axis=0)]
+    i, j = np.nonzero(a.points[rows] @ b.points[cols].T >= threshold)
+    return rows[i], cols[j]
+
+
 def close_pairs(a: CoverTree, b: CoverTree, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of original positions in ``a`` and ``b`` with cosine at least ``threshold``.
 
     Dual traversal: a pair of nodes whose centres are further apart than the threshold's chord
-    plus both radii holds no such pair and is dropped; others open into their children, and
-    single points are compared.
+    plus both radii holds no such pair and is dropped; others open into their children. Where
+    many small pairs are left, or nodes are small, their points are compared at once.
     """
     chord = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-7
+    slack = 1e-6 * max(16, a.points.shape[1])  # bounds the rounding of single precision
     left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     todo = [(0, 0)]
     while todo:
         x, y = todo.pop()
-        kx, ky = a.nodes[x][3] or [x], b.nodes[y][3] or [y]
-        sx, ex, rx, ox = (np.array(v) for v in zip(*((a.nodes[k][0], a.nodes[k][1], a.nodes[k][2], bool(a.nodes[k][3])) for k in kx), strict=True))
-        sy, ey, ry, oy = (np.array(v) for v in zip(*((b.nodes[k][0], b.nodes[k][1], b.nodes[k][2], bool(b.nodes[k][3])) for k in ky), strict=True))
-        dots = a.points[sx] @ b.points[sy].T
-        near = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * dots)) <= chord + rx[:, None] + ry[None, :]
-        single = (~ox & (ex - sx == 1))[:, None] & (~oy & (ey - sy == 1))[None, :]
-        i, j = np.nonzero(near & single & (dots >= threshold))
-        left.append(sx[i])
-        right.append(sy[j])
-        for i, j in zip(*(v.tolist() for v in np.nonzero(near & ~single)), strict=True):
-            if ox[i] or oy[j]:
-                todo.append((kx[i], ky[j]))
-            else:  # parallel vectors share a node
-                u, v = np.nonzero(a.points[sx[i]:ex[i]] @ b.points[sy[j]:ey[j]].T >= threshold)
-                left.append(u + sx[i])
-                right.append(v + sy[j])
+        kx, ky = a.children(x), b.children(y)
+        rows, cols = _spans(a, np.array([x])), _spans(b, np.array([y]))
+        if len(rows) * len(cols) > DENSE and (a.nodes[x][3] or b.nodes[y][3]):
+            # a chord of at most t means a cosine of at least 1 - t * t / 2
+            reach = np.float32(chord) + a.radius[kx][:, None] + b.radius[ky][None, :]
+            near = a.rough[a.start[kx]] @ b.rough[b.start[ky]].T >= 1 - reach * reach / 2 - np.float32(slack)
+            if np.count_nonzero(near) * DENSE <= len(rows) * len(cols):
+                i, j = np.nonzero(near)
+                todo += zip(kx[i].tolist(), ky[j].tolist(), strict=True)
+                continue
+            rows, cols = _spans(a, kx[near.any(axis=1)]), _spans(b, ky[near.any(axis=0)])
+        u, v = _compared(a, b, rows, cols, threshold, slack)
+        left.append(u)
+        right.append(v)
     return a.order[np.concatenate(left)], b.order[np.concatenate(right)]
 
 
@@ -122,6 +158,11 @@ def roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         low = new
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length, without nulls, as rows."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
 def _unit(vectors) -> np.ndarray:
     x = np.array(vectors, dtype=np.float64)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -139,7 +180,7 @@ def _assign(classes: DataFrame, pivots: dict) -> DataFrame:
                 groups[key].append(i)
             for key, rows in groups.items():
                 if key in shared.value:
-                    x = _unit(b.column("vec").take(pa.array(rows)).to_pylist())
+                    x = _unit(_matrix(b.column("vec").take(pa.array(rows))))
                     for lo in range(0, len(rows), 2048):
                         cell[rows[lo:lo + 2048]] = (x[lo:lo + 2048] @ shared.value[key].T).argmax(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=[*b.schema.names, "cell"])
@@ -166,13 +207,13 @@ def _blocks(classes: DataFrame, block: int, most_pivots: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for i in range(b.num_rows):
-                mine = b.column("rows")[i].as_py()
-                tree = CoverTree(_unit([r["vec"] for r in mine]))
+                mine = b.column("rows").slice(i, 1).flatten()
+                tree = CoverTree(_unit(_matrix(mine.field("vec"))))
                 yield pa.RecordBatch.from_arrays(
                     [b.column("label").slice(i, 1), b.column("dim").slice(i, 1), b.column("cell").slice(i, 1), b.column("part").slice(i, 1),
                      pa.array([tree.points[0].tolist()], pa.list_(pa.float64())), pa.array([tree.nodes[0][2]]),
-                     pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), b.column("rows").slice(i, 1).flatten().field("node")),
-                     pa.array([[r["n"] for r in mine]], pa.list_(pa.int64())), pa.array([pickle.dumps(tree, protocol=5)], pa.binary())],
+                     pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), mine.field("node")),
+                     pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), mine.field("n")), pa.array([pickle.dumps(tree, protocol=5)], pa.binary())],
                     names=["label", "dim", "cell", "part", "centre", "radius", "ids", "sizes", "tree"])
 
     label = classes.schema["label"].dataType.simpleString()
@@ -180,44 +221,66 @@ def _blocks(classes: DataFrame, block: int, most_pivots: int) -> DataFrame:
     return staged(out.withColumn("block", F.xxhash64("label", "dim", "cell", "part")), "blocks")
 
 
-def links(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most_pivots: int = MOST_PIVOTS) -> DataFrame:
-    """Staged rows (node, others, root), for each pair of blocks and each node linked in it.
-
-    ``others`` counts the vectors the node links to there, ``root`` is a node of its component
-    within the two blocks. A crowd of near copies so gives rows in proportion to its members,
-    while every single link is counted and joins its ends.
+def _met(blocks: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Per vector of two crews' ``blocks``, one after the other: the vectors it links to, and its component's least place."""
+    crews = blocks.column("crew").to_pylist()
+    trees = [pickle.loads(t) for t in blocks.column("tree").to_pylist()]
+    sizes = blocks.column("sizes").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+    base = np.cumsum([0, *(len(t.order) for t in trees)])
+    two = blocks.column("ca")[0].as_py() != blocks.column("cb")[0].as_py()
+    others, ends = np.zeros(len(sizes)), [np.zeros((2, 0), dtype=np.int64)]
+    for i, j in combinations_with_replacement(range(len(trees)), 2):
+        if two and crews[i] == crews[j]:
+            continue
+        u, v = close_pairs(trees[i], trees[j], threshold)
+        if i == j:
+            u, v = u[u != v], v[u != v]
+        if not len(u):
+            continue
+        ni, nj = len(trees[i].order), len(trees[j].order)
+        others[base[i]:base[i + 1]] += np.bincount(u, weights=sizes[base[j] + v], minlength=ni)
+        if i == j:
+            both = np.arange(ni) + base[i]
+        else:
+            others[base[j]:base[j + 1]] += np.bincount(v, weights=sizes[base[i] + u], minlength=nj)
+            both, v = np.r_[np.arange(ni) + base[i], np.arange(nj) + base[j]], v + ni
+        low = roots(len(both), u, v)  # of the links, one per node stays
+        moved = np.flatnonzero(low != np.arange(len(both)))
+        ends.append(np.stack([both[moved], both[low[moved]]]))
+    return others.astype(np.int64), roots(len(sizes), *np.concatenate(ends, axis=1))
+
+
+def links(classes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most_pivots: int = MOST_PIVOTS, crew: int = CREW) -> DataFrame:
+    """Staged rows (node, others, root), for each pair of crews and each node linked in it.
+
+    Blocks of a label form crews of about ``crew``; a task takes two of them, with those blocks
+    that some block of the other may reach. ``others`` counts the vectors the node links to there,
+    ``root`` is a node of its component within the two crews. A crowd of near copies so gives rows
+    in proportion to its members, while every single link is counted and joins its ends.
     """
     blocks = _blocks(classes, block, most_pivots)
     head = blocks.select("block", "label", "dim", "centre", "radius")
+    crews = head.groupBy("label", "dim").agg(F.ceil(F.count("*") / crew).alias("crews"))
+    head = head.join(crews, ["label", "dim"]).withColumn("crew", F.pmod(F.xxhash64("block"), F.col("crews")))
     x, y = head.alias("x"), head.alias("y")
     dot = F.aggregate(F.zip_with("x.centre", "y.centre", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
     reach = F.col("x.radius") + F.col("y.radius") + F.lit(float(np.sqrt(2 - 2 * threshold)) + 1e-6)
     pairs = staged(x.join(y, (F.col("x.label") == F.col("y.label")) & (F.col("x.dim") == F.col("y.dim")) & (F.col("x.block") <= F.col("y.block")))
-                   .where(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= reach).select(F.col("x.block").alias("bx"), F.col("y.block").alias("by")), "pairs")
-    left = blocks.select(F.col("block").alias("bx"), F.col("ids").alias("ix"), F.col("sizes").alias("nx"), F.col("tree").alias("tx"))
-    right = blocks.select(F.col("block").alias("by"), F.col("ids").alias("iy"), F.col("sizes").alias("ny"), F.col("tree").alias("ty"))
+                   .where(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= reach)
+                   .select("x.label", "x.dim", F.least("x.crew", "y.crew").alias("ca"), F.greatest("x.crew", "y.crew").alias("cb"),
+                           F.array(F.struct("x.block", "x.crew"), F.struct("y.block", "y.crew")).alias("both")), "pairs")
+    meet = ["label", "dim", "ca", "cb"]
+    needed = pairs.select(*meet, F.explode("both").alias("one")).select(*meet, "one.block", "one.crew").distinct()
     kind = classes.schema["node"].dataType.simpleString()
 
-    def run(batches):
-        for b in batches:
-            for i in range(b.num_rows):
-                same = b.column("bx")[i].as_py() == b.column("by")[i].as_py()
-                tx = pickle.loads(b.column("tx")[i].as_py())
-                ty = tx if same else pickle.loads(b.column("ty")[i].as_py())
-                u, v = close_pairs(tx, ty, threshold)
-                ids, sizes = b.column("ix").slice(i, 1).flatten(), np.array(b.column("nx")[i].as_py(), dtype=float)
-                if same:
-                    u, v = u[u != v], v[u != v]
-                    others = np.bincount(u, weights=sizes[v], minlength=len(sizes))
-                else:
-                    v = v + len(sizes)
-                    ids, sizes = pa.concat_arrays([ids, b.column("iy").slice(i, 1).flatten()]), np.concatenate([sizes, np.array(b.column("ny")[i].as_py(), dtype=float)])
-                    others = np.bincount(u, weights=sizes[v], minlength=len(sizes)) + np.bincount(v, weights=sizes[u], minlength=len(sizes))
-                mine = np.flatnonzero(others)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine)), pa.array(others[mine].astype(np.int64)), ids.take(pa.array(roots(len(sizes), u, v)[mine]))], names=["node", "others", "root"])
-
-    joined = pairs.join(left, "bx").join(right, "by")
-    return staged(joined.mapInArrow(run, f"node {kind}, others long, root {kind}"), "links")
+    def run(blocks: pa.Table) -> pa.Table:
+        others, low = _met(blocks, threshold)
+        ids = blocks.column("ids").combine_chunks().flatten()
+        mine = np.flatnonzero(others)
+        return pa.table([ids.take(pa.array(mine)), pa.array(others[mine]), ids.take(pa.array(low[mine]))], names=["node", "others", "root"])
+
+    joined = needed.join(blocks.select("block", "ids", "sizes", "tree"), "block").select(*meet, "crew", "ids", "sizes", "tree")
+    return staged(joined.groupBy(*meet).applyInArrow(run, f"node {kind}, others long, root {kind}"), "links")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most_pivots: int = MOST_PIVOTS,

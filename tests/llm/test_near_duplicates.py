@@ -132,5 +132,22 @@ def test_embedding_links_match_brute_force(spark, block):
     assert [(r["n_links"], r["component_id"]) for r in got if r["vec_id"] is None] == [(0, None)]
 
 
+def test_links_of_a_crowd_over_many_blocks(spark):
+    """Blocks meet in crews: a node of a crowd comes back once per crew pair, not once per block pair, and no link is lost."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=8) + rng.normal(size=(150, 8)) * 0.05, rng.normal(size=(150, 8))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    classes = spark.createDataFrame([(3, 8, v.tolist(), i * 7919, i, 1) for i, v in enumerate(x)], "label int, dim int, vec array<double>, hash long, node long, n long")
+    found = covertree.links(classes, block=4, crew=16).collect()
+    close = x @ x.T >= 0.93
+    others = {i: 0 for i in range(len(x))}
+    for r in found:
+        others[r["node"]] += r["others"]
+    assert others == {i: int(close[i].sum()) - 1 for i in range(len(x))}
+    assert close[:150, :150].sum() > 20_000 and len(found) < 150 * 20
+    group = least_reachable(range(len(x)), np.argwhere(close).tolist())
+    assert least_reachable(range(len(x)), [(r["node"], r["root"]) for r in found]) == group
+
+
 def test_no_vectors(spark):
     assert covertree.near_duplicates(vectors(spark, [])).count() == 0
