@@ -19,10 +19,11 @@ def cancel_lines(orders: DataFrame, cancelled: DataFrame) -> DataFrame:
     return orders.join(cancelled.select("order_line_id"), "order_line_id", "left_anti")
 
 
-def return_lines(orders: DataFrame, returned: DataFrame) -> DataFrame:
-    """Negated copies of the returned lines: new line id (hash of the original, so a retry
-    produces the same rows), order id + '-RET', quantity negated, money as -|x|."""
-    src = orders.join(returned.select("order_line_id"), "order_line_id", "left_semi")
+def return_lines(orders: DataFrame, returned: DataFrame | Column) -> DataFrame:
+    """Negated copies of the returned lines (listed by id, or where a condition holds): new line
+    id (hash of the original, so a retry produces the same rows), order id + '-RET', quantity
+    negated, money as -|x|."""
+    src = orders.where(returned) if isinstance(returned, Column) else orders.join(returned.select("order_line_id"), "order_line_id", "left_semi")
     neg = {c: (-F.abs(F.col(c))).cast(MONEY) for c in ("revenue", "cost", "gross_profit", "net_profit")}
     return src.withColumns({
         "order_line_id": row_key("order_line_id", F.lit("RET")),
@@ -32,9 +33,12 @@ def return_lines(orders: DataFrame, returned: DataFrame) -> DataFrame:
     }).select(*orders.columns)
 
 
-def apply_returns(orders: DataFrame, returned: DataFrame) -> DataFrame:
-    """A4 + A7: the order table with return rows added (replace-by-key, so re-applying is a no-op)."""
+def apply_returns(orders: DataFrame, returned: DataFrame | Column) -> DataFrame:
+    """A4 + A7: the order table with return rows added (replace-by-key, so re-applying is a no-op).
+    With a condition the caller has taken out earlier copies, and no join is needed."""
     ret = return_lines(orders, returned)
+    if isinstance(returned, Column):
+        return orders.unionByName(ret)
     return orders.join(ret.select("order_line_id"), "order_line_id", "left_anti").unionByName(ret)
 
 

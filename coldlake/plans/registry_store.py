@@ -39,7 +39,7 @@ def folder(c: Catalog, name: str) -> str:
 def kept(c: Catalog, rows: DataFrame, name: str) -> DataFrame:
     """``rows`` as a table in a folder of its own, for a query that reads them several times."""
     path = folder(c, name)
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return c.spark.read.schema(rows.schema).parquet(path)
 
 

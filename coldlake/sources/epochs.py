@@ -44,6 +44,10 @@ class Folder:
         path, fs = self.file(*parts)
         return [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
 
+    def size(self, *parts: str) -> int:
+        path, fs = self.file(*parts)
+        return fs.getContentSummary(path).getLength() if fs.exists(path) else 0
+
     def delete(self, *parts: str) -> None:
         path, fs = self.file(*parts)
         fs.delete(path, True)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from coldlake.functions.sensor import row_key
 from coldlake.operators import maintenance as M
 from coldlake.schemas import FACT_ORDER
-from coldlake.sources.order_store import KEY, OrderStore
-from coldlake.sources.tables import conform
+from coldlake.sources.order_store import KEY, PARTS, PLACE, OrderStore
+from coldlake.sources.tables import conform_column
 
 NAMES = [f.name for f in FACT_ORDER.fields]
 
@@ -39,10 +39,12 @@ def last_changes(changes: DataFrame) -> DataFrame:
 
 
 def inserted_lines(changes: DataFrame, last: DataFrame) -> DataFrame:
-    """The last inserted row of every line that ends present; of equal or rival rows with one ``seq``, one."""
-    rows = _sequenced(changes).where("op = 'insert'").withColumnRenamed("_seq", "inserted_at")
-    won = rows.join(last.where("present").select(KEY, "inserted_at"), [KEY, "inserted_at"], "left_semi")
-    return conform(won, "fact_order").dropDuplicates([KEY])
+    """The last inserted row of every line that ends present, and whether it is ``returned``; of equal or
+    rival rows with one ``seq``, one. Rows meet ``last`` and each other under the key, in one shuffle."""
+    rows = _sequenced(changes).where("op = 'insert'")
+    named = rows.select(*[conform_column(rows, "fact_order", f).alias(f.name) for f in FACT_ORDER.fields], "_seq")
+    won = named.join(last.where("present").select(KEY, "inserted_at", "returned"), KEY).where("_seq >= inserted_at")  # no equality, which would join the shuffle's key
+    return won.dropDuplicates([KEY]).select(*NAMES, "returned")
 
 
 def apply_order_changes(store: OrderStore, changes: DataFrame) -> None:
@@ -50,30 +52,37 @@ def apply_order_changes(store: OrderStore, changes: DataFrame) -> None:
     fact_order columns (only ``order_line_id`` is needed for cancel/return). Each line takes its
     last change: an inserted line replaces a stored one (A4), a cancelled one goes (A6), a
     returned one gets a negated copy with a hashed key (A7). Partitions without any of these
-    keys keep their files. A replay changes nothing."""
+    keys keep their files. A replay changes nothing.
+
+    Which stored rows go or are copied is found through their keys; the rows themselves are
+    marked where they lie. A returned line's copy has its line's date."""
     held = [last_changes(changes).persist()]
-    last = held[0]
+    last, work = held[0], store.work()
     try:
         inserted = inserted_lines(changes, last).persist()
         held.append(inserted)
-        back = last.where("returned").select(KEY)
-        copies = back.select(row_key(KEY, F.lit("RET")).alias(KEY))
-        changed = last.where(F.col("present").isNotNull()).select(KEY)
+        # a stored row that gets a copy keeps its key here; one that neither goes nor is copied is rewritten as it is
+        origin = F.when(F.col("present").isNull() & F.col("returned"), F.col(KEY))
+        hits = store.find(work, "hits", last.select(KEY, F.col("present").isNotNull().alias("goes"), origin.alias("origin")), "goes", "origin")
+        back = hits.where("origin is not null")
+        month = F.date_format("order_date", "yyyy-MM").alias("order_month")
+        copy = row_key(KEY, F.lit("RET")).alias(KEY)
+        copies = store.kept(work, "copies", back.withColumn(KEY, F.col("origin")).select(copy, "order_month").unionByName(inserted.where("returned").select(copy, month)))
+        stale = store.find(work, "stale", copies.select(KEY).distinct())
+        new = inserted
+        clash = store.kept(work, "clash", inserted.select(KEY).join(copies, KEY, "left_semi"))
+        if not clash.isEmpty():  # an inserted row with the key of a copy gives way to it
+            new = inserted.join(clash, KEY, "left_anti").select(inserted.columns)
+        touched = (hits.select(*PARTS).unionByName(stale.select(*PARTS)).unionByName(store.places_of(inserted))
+                   .unionByName(copies.select("order_month", store.bucket().alias("bucket"))))
+        gone = hits.where("goes").select(*PLACE).unionByName(stale.select(*PLACE))
 
         def change(rows: DataFrame) -> DataFrame:
-            # read three times: as it is, for the copies, and without stored copies
-            merged = rows.join(changed, KEY, "left_anti").unionByName(inserted).persist()
-            held.append(merged)
-            return M.apply_returns(merged, back)
-
-        def added(stored: DataFrame) -> DataFrame:
-            """Key and date of the inserted lines and of returned lines' copies, which have their line's
-            date (a replaced line's old date counts too, which can name a partition more)."""
-            new = inserted.select(KEY, "order_date")
-            lines = stored.select(KEY, "order_date").unionByName(new)
-            return new.unionByName(lines.join(back, KEY, "left_semi").withColumn(KEY, row_key(KEY, F.lit("RET"))))
-
-        store.rewrite(last.select(KEY).unionByName(copies), added, change)
+            rows = store.marked(work, store.marked(work, rows, gone, "_gone").where("not _gone"), back, "_back")
+            merged = rows.select(*NAMES, F.col("_back").alias("returned")).unionByName(new)
+            return M.apply_returns(merged, F.col("returned"))
+
+        store.rewrite(work, touched, change)
     finally:
         for frame in held:
             frame.unpersist()

@@ -1,5 +1,6 @@
 """Epoch store, folded tables, keyed sinks and the order store: crashes, replays, merging, untouched files."""
 
+import hashlib
 import os
 from datetime import datetime, timedelta
 
@@ -227,6 +228,34 @@ def test_a_rewrite_writes_its_rows_once(spark, scratch):
     assert "touched" in written and "rows" not in written
 
 
+def test_whole_rows_are_not_shuffled_by_a_change(spark, scratch, monkeypatch):
+    """Load and rewrite write rows where they are read; replaced rows are marked by their place, also among many of one file."""
+    plans, write = [], OrderStore._write
+    monkeypatch.setattr(OrderStore, "_write", lambda self, placed: (plans.append(placed._jdf.queryExecution().executedPlan().toString()), write(self, placed))[1])
+    day = datetime(2024, 1, 1).date()
+    store = OrderStore(spark, scratch, buckets=1)
+    lines = spark.range(0, 40_000, 1, 1).select(F.concat(F.lit("L"), F.col("id")).alias("order_line_id"), F.lit(day).alias("order_date"), F.col("id").cast("int").alias("quantity"))
+    store.load(lines)
+    new = lines.where("quantity % 1000 in (0, 7, 8, 999) or quantity in (32767, 32768)").withColumns({"quantity": -F.col("quantity") - 1, "order_date": F.lit(datetime(2024, 3, 1).date())})
+    store.upsert(new)
+    got = store.read()
+    assert got.count() == 40_000 and got.where("quantity < 0").count() == new.count() == 162 and got.where("quantity < 0 and month(order_date) <> 3").isEmpty()
+    assert got.select(F.when(F.col("quantity") < 0, -F.col("quantity") - 1).otherwise(F.col("quantity")).alias("q")).distinct().count() == 40_000
+    assert len(plans) == 2 and not any("Exchange hashpartitioning" in p or "Exchange rebalance" in p or "Rebalance" in p for p in plans)
+
+
+def test_feed_inserts_the_key_of_a_copy(spark, scratch):
+    """A returned line's copy wins over an inserted row with its key."""
+    key = hashlib.sha256(b"L1|RET").hexdigest()
+    store = OrderStore(spark, scratch, buckets=3)
+    store.load(orders(spark, [("L1", "O1", datetime(2024, 1, 1).date(), 3, None)]))
+    feed = orders(spark, [(key, "odd", datetime(2024, 2, 1).date(), 9, None)]).withColumn("op", F.lit("insert"))
+    feed = feed.unionByName(orders(spark, [("L1", None, None, None, None)]).withColumn("op", F.lit("return")))
+    for _ in range(2):
+        apply_order_changes(store, feed)
+        assert sorted((r["order_id"], r["quantity"]) for r in store.read().collect()) == [("O1", 3), ("O1-RET", -3)]
+
+
 def test_replaced_lines_are_joined_once(spark):
     """The change set and the load of A04 read one table of lines."""
     from coldlake.plans import registry_store
